@@ -32,15 +32,11 @@ def gaussian(seed, *keys) -> Column:
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)
 
 
-def poisson_one(seed, *keys, limit: int = 12) -> Column:
-    """Poisson(1) draw by inversion; mass beyond ``limit`` is below 1e-9."""
-    u = uniform(seed, *keys)
-    cdf, term, steps = 0.0, math.exp(-1.0), []
+def poisson_one(u: Column, limit: int = 12) -> Column:
+    """Poisson(1) draw from a uniform column by inversion; mass beyond ``limit`` is below 1e-9."""
+    cdf, term, out = 0.0, math.exp(-1.0), None
     for k in range(limit):
         cdf += term
         term /= k + 1
-        steps.append(F.when(u >= cdf, 1).otherwise(0))
-    total = steps[0]
-    for s in steps[1:]:
-        total = total + s
-    return total
+        out = F.when(u < cdf, k) if out is None else out.when(u < cdf, k)
+    return out.otherwise(limit)

@@ -37,7 +37,7 @@ def with_value_range(df: DataFrame, value: str, by: Sequence[str] = (), name: st
         tagged = df.join(cuts, by)
         return tagged.withColumn(name, _range_of(F.col(value), F.col("__cuts"), steps)).drop("__cuts")
     only = df.agg(F.percentile_approx(value, shares, 1000).alias("__cuts")).scalar()
-    return df.withColumn(name, _range_of(F.col(value), only, steps))
+    return df.withColumn("__cuts", only).withColumn(name, _range_of(F.col(value), F.col("__cuts"), steps)).drop("__cuts")
 
 
 def running_sums(df: DataFrame, value: str, sums: dict[str, str], by: Sequence[str] = (), descending: bool = False,
@@ -125,3 +125,21 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = ()
     final = Window.partitionBy(*by).orderBy(*order)
     survivors = sliced.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= k)
     return survivors.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).drop("__r", "__slice")
+
+
+def quantile_grid(counts: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], weight: str = "n") -> DataFrame:
+    """(by, prob, quantile) for many probabilities at once; interpolated linearly, input is (by, value, weight)."""
+    by = list(by)
+    cum = running_sums(counts.select(*by, value, weight), value, {"__cum": weight}, by)
+    cum = cum.join(counts.groupBy(*by).agg(F.sum(weight).alias("__total")), by)
+    grid = F.array(*[F.lit(float(p)) for p in probs])
+    first, last = F.col("__cum") - F.col(weight), F.col("__cum") - 1
+
+    def touches(p: Column) -> Column:
+        at = p * (F.col("__total") - 1)
+        return F.floor(at).between(first, last) | F.ceil(at).between(first, last)
+
+    hit = cum.withColumn("prob", F.explode(F.filter(grid, touches)))
+    at = F.col("prob") * (F.col("__total") - 1)
+    ends = hit.groupBy(*by, "prob").agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.max(at - F.floor(at)).alias("__fr"))
+    return ends.select(*by, "prob", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__fr")).alias("quantile"))

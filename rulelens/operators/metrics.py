@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rulelens.functions.hashing import poisson_one
+from rulelens.functions.hashing import poisson_one, uniform
 from rulelens.functions.ordering import exact_quantiles, running_sums, top_k
 from rulelens.functions.shapes import add, all_hold, failed_names, hits, long_form, ratio, rows_of_structs, share, unions
 
@@ -221,12 +221,16 @@ def subgroup_metrics(df: DataFrame, truth: str, pred: str, labels: Sequence[str]
     return scores.withColumn("claim", F.when(F.col("n") < min_n, "blocked").otherwise("allowed"))
 
 
+def poisson_replicas(df: DataFrame, key: Sequence[str], replicas: int, seed: int) -> DataFrame:
+    """Each row once per replica with a Poisson(1) weight ``w``: a bootstrap without collecting or indexing rows."""
+    keyed = df.withColumn("__h", F.xxhash64(*key)).drop(*key)
+    each = keyed.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
+    return each.withColumn("w", poisson_one(uniform(seed, "__h", "replica"))).drop("__h").filter("w > 0")
+
+
 def bootstrap_accuracy(df: DataFrame, correct: Column, key: Sequence[str], replicas: int = 50, seed: int = 7, level: float = 0.95) -> DataFrame:
     """Percentile interval of accuracy over Poisson(1) reweightings; one pass, all replicas at once."""
-    ok = F.when(correct, 1).otherwise(0)
-    draws = F.transform(F.sequence(F.lit(0), F.lit(replicas - 1)),
-                        lambda r: F.struct(r.alias("replica"), poisson_one(seed, *key, r).alias("w")))
-    rows = df.select(ok.alias("ok"), F.explode(draws).alias("d")).select("ok", "d.*")
+    rows = poisson_replicas(df.select(F.when(correct, 1).otherwise(0).alias("ok"), *key), key, replicas, seed)
     per = rows.groupBy("replica").agg((F.sum(F.col("ok") * F.col("w")) / F.sum("w")).alias("accuracy"))
     half = (1 - level) / 2
     return per.agg(F.percentile("accuracy", half).alias("ci_low"), F.percentile("accuracy", 1 - half).alias("ci_high"),

@@ -114,3 +114,36 @@ wide AS (SELECT year(shipdate) AS dataset, month(shipdate) AS split_id, count(*)
 runs AS (""" + " UNION ALL ".join(
     f"SELECT dataset, split_id, n_test, 'closed_form' AS oracle_name, '{a}' AS arm, '{m}' AS metric, {p}_{a}/n_test AS value FROM wide"
     for a in ARMS for m, p in (("accuracy", "acc"), ("fidelity", "fid")) if (a, m) != ("teacher", "fidelity")) + ")"
+
+
+def cases(t: Tables) -> DataFrame:
+    """One row per order with a unique id, mixed column kinds and a three-class label."""
+    orders = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("total"),
+                             F.col("o_orderdate").alias("odate"), F.month("o_orderdate").alias("month"), F.year("o_orderdate").alias("year"),
+                             F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("label"))
+    people = t.customer.select(F.col("c_custkey").alias("cust"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"),
+                               F.col("c_mktsegment").alias("segment"))
+    return orders.join(people, "cust")
+
+
+CASES = """cases AS (SELECT o_custkey AS cust, o_orderkey AS id, o_totalprice AS total, o_orderdate AS odate, month(o_orderdate) AS month, year(o_orderdate) AS year,
+  o_orderpriority AS priority, o_orderstatus AS label, c_acctbal AS balance, c_nationkey AS nation, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+def raw_text(t: Tables) -> DataFrame:
+    """Orders as a messy text table: missing markers, mixed numbers, dates, yes/no flags, a constant."""
+    k = F.col("o_orderkey")
+    return t.orders.select(
+        k.alias("id"), F.when(k % 13 == 0, " N/A ").otherwise(F.col("o_orderstatus")).alias("status"),
+        F.when(k % 17 == 0, "?").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
+        F.when(k % 19 == 0, "abc").otherwise(k.cast("string")).alias("mixed"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.when(k % 2 == 0, "yes").otherwise("no").alias("flag"),
+        F.col("o_orderkey").cast("string").alias("code"), (k % 5).cast("string").alias("grade"), F.lit("x").alias("same"),
+        F.when(k % 2 == 1, "null").otherwise(F.col("o_orderpriority")).alias("priority"))
+
+
+RAW_TEXT = """raw AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN ' N/A ' ELSE o_orderstatus END AS status,
+  CASE WHEN o_orderkey % 17 = 0 THEN '?' ELSE o_totalprice::VARCHAR END AS price, CASE WHEN o_orderkey % 19 = 0 THEN 'abc' ELSE o_orderkey::VARCHAR END AS mixed,
+  strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS flag, o_orderkey::VARCHAR AS code,
+  (o_orderkey % 5)::VARCHAR AS grade, 'x' AS same, CASE WHEN o_orderkey % 2 = 1 THEN 'null' ELSE o_orderpriority END AS priority FROM orders)"""
+RAW_COLUMNS = ["status", "price", "mixed", "day", "flag", "code", "grade", "same", "priority"]
