@@ -32,12 +32,16 @@ def with_value_range(df: DataFrame, value: str, by: Sequence[str] = (), name: st
     """Add the number of the value range each row falls in, about evenly filled inside each group."""
     by, steps = list(by), _range_steps(df)
     shares = [k / (1 << steps) for k in range(1, 1 << steps)]
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value, shares, 1000).alias("__cuts")) if by else None
+    found = F.percentile_approx(value, shares, 1000).alias("__cuts")
     if by:
-        tagged = df.join(cuts, by)
-        return tagged.withColumn(name, _range_of(F.col(value), F.col("__cuts"), steps)).drop("__cuts")
-    only = df.agg(F.percentile_approx(value, shares, 1000).alias("__cuts")).scalar()
-    return df.withColumn("__cuts", only).withColumn(name, _range_of(F.col(value), F.col("__cuts"), steps)).drop("__cuts")
+        tagged = df.join(df.groupBy(*by).agg(found), by)
+    else:
+        only = df.agg(found).first()["__cuts"]  # at most MAX_RANGES numbers
+        if not only:
+            return df.withColumn(name, F.lit(0))
+        tagged = df.withColumn("__cuts", F.lit(only))
+    # Generated rather than projected: joins on a projected lambda infer filters on the wrong side (Spark 4.1).
+    return tagged.withColumn(name, F.explode(F.array(_range_of(F.col(value), F.col("__cuts"), steps)))).drop("__cuts")
 
 
 def running_sums(df: DataFrame, value: str, sums: dict[str, str], by: Sequence[str] = (), descending: bool = False,
@@ -56,6 +60,8 @@ def running_sums(df: DataFrame, value: str, sums: dict[str, str], by: Sequence[s
     before = ranges.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "value_range", *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in sums],
                             *[F.lead(f"__f_{c}").over(ranges).alias(f"__n_{c}") for c in following])
+    if not by:  # at most MAX_RANGES rows: cheaper as a literal table than as a self-join
+        offsets = F.broadcast(df.sparkSession.createDataFrame(offsets.collect(), offsets.schema))
     inside = Window.partitionBy(*by, "value_range").orderBy(direction(value))
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     joined = ranged.join(offsets, [*by, "value_range"])
