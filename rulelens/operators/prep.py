@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import combinations
+import json
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -278,9 +279,9 @@ def pair_screen(df: DataFrame, target: str, labels: Sequence[str], columns: Sequ
     patterns = df.select(mask.alias("mask"), target).groupBy("mask").agg(*[F.count_if(F.col(target) == l).alias(f"n_{l}") for l in labels])
     where = {c: [j for j, (d, _) in enumerate(bits) if d == c] for c in columns}
     tests = [(a, b, (1 << x) | (1 << y), (x_on << x) | (y_on << y)) for a, b in combinations(columns, 2) for x in where[a] for y in where[b] for x_on in (1, 0) for y_on in (1, 0)]
-    table = F.broadcast(df.sparkSession.createDataFrame(tests, "left_feature string, right_feature string, care long, want long"))
-    # the pattern table meets a literal test table of pairs x 36 rows
-    hit = patterns.withColumn("one", F.lit(1)).join(table.withColumn("one", F.lit(1)), "one")
+    schema = "array<struct<left_feature:string,right_feature:string,care:long,want:long>>"
+    literal_tests = F.from_json(F.lit(json.dumps([dict(zip(("left_feature", "right_feature", "care", "want"), x)) for x in tests])), schema)
+    hit = patterns.select("*", F.explode(literal_tests).alias("x")).select("*", "x.*")
     yes = F.col("mask").bitwiseAND(F.col("care")) == F.col("want")
     counts = hit.groupBy("left_feature", "right_feature", "care", "want").agg(*[F.sum(F.when(yes, F.col(f"n_{l}")).otherwise(0)).alias(f"y_{l}") for l in labels],
                                                                              *[F.sum(f"n_{l}").alias(f"t_{l}") for l in labels])
@@ -335,10 +336,9 @@ def group_alignment(corr: DataFrame, groups: Mapping[str, Sequence[str]], column
     """Mean |correlation| inside declared groups against random groups of the same sizes."""
     spark = corr.sparkSession
     both = corr.select("left_feature", "right_feature", F.abs("r").alias("r"))
-    sizes = spark.createDataFrame([(g, len(cs)) for g, cs in groups.items()], "grp string, size int")
     members = spark.createDataFrame([(g, c) for g, cs in groups.items() for c in cs], "grp string, feature string").withColumn("draw", F.lit(0))
-    pool = spark.createDataFrame([(c,) for c in columns], "feature string").select("feature", F.explode(F.sequence(F.lit(1), F.lit(nulls))).alias("draw"))
-    drawn = pool.join(sizes.withColumn("k", F.lit(1)), F.lit(True)).withColumn("place", F.row_number().over(Window.partitionBy("grp", "draw").orderBy(uniform(seed, "grp", "draw", "feature"), "feature"))) \
+    pool = spark.createDataFrame([(g, len(cs), c) for g, cs in groups.items() for c in columns], "grp string, size int, feature string")
+    drawn = pool.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(nulls)))).withColumn("place", F.row_number().over(Window.partitionBy("grp", "draw").orderBy(uniform(seed, "grp", "draw", "feature"), "feature"))) \
         .filter("place <= size").select("grp", "feature", "draw")
     allm = members.unionByName(drawn)
     left, right = allm.withColumnRenamed("feature", "left_feature"), allm.withColumnRenamed("feature", "right_feature")

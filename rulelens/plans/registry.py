@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None, floats: str = "", ints: str = ""):
         run.__doc__ = build.__doc__
         QUERIES[name] = run
         if sql is not None:
-            casts = [f"round(({c})::DOUBLE, {DIGITS}) + 0 AS {c}" for c in real] + [f"({c})::BIGINT AS {c}" for c in whole]
+            casts = [f'round(("{c}")::DOUBLE, {DIGITS}) + 0 AS "{c}"' for c in real] + [f'("{c}")::BIGINT AS "{c}"' for c in whole]
             replace = f" REPLACE ({', '.join(casts)})" if casts else ""
             ORACLES[name] = f"SELECT *{replace} FROM ({sql.strip()}) AS result"
         return build
