@@ -384,33 +384,59 @@ def split_signatures(nodes: DataFrame, scales: Mapping[str, float], width: float
 
 # ---------------------------------------------------------------- semantic scoring and error regions
 
-def semantic_score(cands: DataFrame, kappa: float = 1.0, alpha: float = 0.05, beta: float = 0.1) -> DataFrame:
-    """gain x weight^kappa + alpha x depth + beta x share of node errors on the true side."""
-    return cands.withColumn("semantic_score", F.col("gain") * F.pow("weight", F.lit(kappa)) + alpha * F.col("semantic_depth") + beta * F.col("error_coverage"))
+def semantic_terms(cands: DataFrame, kappa: float = 1.0, alpha: float = 0.05, beta: float = 0.1) -> DataFrame:
+    """Score = gain x weight^kappa + alpha x depth + beta x error coverage; its net semantic part is kept apart."""
+    lift = F.pow("weight", F.lit(kappa)) - 1
+    extra = alpha * F.col("semantic_depth") + beta * F.col("error_coverage")
+    return cands.withColumns({"lift": lift, "extra": extra}).withColumn(
+        "semantic_score", F.when(F.col("gain") <= 1e-12, 0.0).otherwise(F.col("gain") * (1 + F.col("lift")) + F.col("extra")))
 
 
 def calibrated_scores(cands: DataFrame, strength: float = 0.2, c: float = 1.0) -> DataFrame:
-    """Three ways to keep semantics from overruling statistics: a clipped bonus, a tanh bonus, a tie-break."""
-    raw, gain, n = F.col("semantic_score"), F.col("gain"), F.col("n")
-    limit = strength * gain
+    """Three ways to keep semantics from overruling statistics: clipped to +-strength x gain, squashed by tanh, or a tie-break of size c / sqrt(n)."""
+    s = F.col("gain")
+    net, limit = s * F.col("lift") + F.col("extra"), strength * s
+    tie = (c / F.sqrt("n")) * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("lift") + F.col("extra")))
+    none = s <= 1e-12
     return cands.withColumns({
-        "bounded": gain + F.greatest(-limit, F.least(limit, raw - gain)),
-        "calibrated": gain * (1 + strength * F.tanh(F.ln(F.greatest(F.col("weight"), F.lit(1e-12))))),
-        "tiebreak": gain + (c / F.sqrt(n)) * (F.col("weight") - 1)})
+        "bounded": F.when(none, 0.0).otherwise(s + F.greatest(-limit, F.least(limit, net))),
+        "calibrated": F.when(none, 0.0).otherwise(s + limit * F.tanh(net / limit)),
+        "tiebreak": F.when(none, 0.0).otherwise(s + tie)})
 
 
-def error_regions(df: DataFrame, node: str, teacher: str, surrogate: str, uncertainty: Column, opportunity: Column, min_rows: int = 20, keep: int = 2,
-                  threshold: float = 0.5) -> DataFrame:
-    """Disagreement, uncertainty and semantic opportunity per node; the top ``keep`` are eligible when none passes."""
+def test_weights(tests: DataFrame, weights: DataFrame, relatedness: DataFrame, groups: DataFrame, strength: float = 0.15) -> DataFrame:
+    """Weight of an m-of-n test: geometric mean of feature weights x (1 + strength x coherence).
+
+    ``tests`` has (test_id, features array); coherence is the larger of the same-group share and the mean relatedness
+    over the feature pairs of the test.  Tests hold a few literals, so pairs stay inside one row.
+    """
+    each = tests.select("test_id", F.explode("features").alias("feature"))
+    base = each.join(weights, "feature").groupBy("test_id").agg(F.exp(F.avg(F.ln(F.greatest("weight", F.lit(1e-12))))).alias("base"))
+    spots = F.transform("features", lambda f, i: F.struct(f.alias("f"), i.alias("i")))
+    pairs = F.flatten(F.transform(spots, lambda a: F.transform(F.filter(spots, lambda b: b["i"] > a["i"]), lambda b: F.struct(
+        F.least(a["f"], b["f"]).alias("left_feature"), F.greatest(a["f"], b["f"]).alias("right_feature")))))
+    both = tests.select("test_id", F.explode(pairs).alias("p")).select("test_id", "p.*")
+    rel = relatedness.select(F.least("left_feature", "right_feature").alias("left_feature"), F.greatest("left_feature", "right_feature").alias("right_feature"), "r")
+    lg = groups.select(F.col("feature").alias("left_feature"), F.col("grp").alias("g1"))
+    rg = groups.select(F.col("feature").alias("right_feature"), F.col("grp").alias("g2"))
+    cohere = both.join(rel, ["left_feature", "right_feature"], "left").join(lg, "left_feature", "left").join(rg, "right_feature", "left").groupBy("test_id").agg(
+        F.greatest(F.avg(F.coalesce((F.col("g1") == F.col("g2")).cast("double"), F.lit(0.0))), F.avg(F.coalesce("r", F.lit(0.0)))).alias("coherence"))
+    return base.join(cohere, "test_id", "left").withColumn("coherence", F.coalesce("coherence", F.lit(0.0))).withColumn("weight", F.col("base") * (1 + strength * F.col("coherence")))
+
+
+def error_regions(df: DataFrame, node: str, teacher: str, surrogate: str, uncertainty: Column, opportunity: Column, threshold: float = 0.25, keep: int = 2,
+                  uncertainty_weight: float = 0.5, semantic_weight: float = 0.5) -> DataFrame:
+    """Disagreement, uncertainty on it and semantic opportunity per node; without a node over the threshold the ``keep`` first by priority are eligible."""
     total = df.agg(F.count(F.lit(1))).scalar()
+    wrong = F.col(teacher) != F.col(surrogate)
     per = df.groupBy(F.col(node).alias("node_id")).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg((F.col(teacher) != F.col(surrogate)).cast("double")).alias("disagreement"),
-        F.avg(uncertainty).alias("uncertainty"), F.avg(opportunity).alias("opportunity"))
-    per = per.withColumn("priority", F.col("rows") / total * F.col("disagreement") * (1 + F.col("uncertainty")) * (1 + F.col("opportunity")))
-    passed = (F.col("rows") >= min_rows) & (F.col("disagreement") >= threshold)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("priority"), "node_id")  # one row per tree node
-    return per.withColumns({"passed": passed, "any_passed": F.max(passed).over(Window.partitionBy(F.lit(0))), "place": F.row_number().over(order)}).withColumn(
-        "eligible", F.when(F.col("any_passed"), F.col("passed")).otherwise(F.col("place") <= keep)).drop("any_passed", "place")
+        F.count(F.lit(1)).alias("rows"), F.avg(wrong.cast("double")).alias("disagreement"), F.avg(uncertainty).alias("uncertainty"),
+        F.coalesce(F.avg(F.when(wrong, uncertainty)), F.lit(0.0)).alias("wrong_uncertainty"), F.avg(opportunity).alias("opportunity"))
+    per = per.withColumn("priority", F.col("rows") / total * F.col("disagreement") * (1 + uncertainty_weight * F.col("wrong_uncertainty")) * (1 + semantic_weight * F.col("opportunity")))
+    whole = Window.partitionBy(F.lit(0))  # one row per tree node
+    passed = (F.col("disagreement") > 0) & (F.col("disagreement") >= threshold)
+    ranked = per.withColumns({"passed": passed, "any_passed": F.max(passed).over(whole), "place": F.row_number().over(whole.orderBy(F.desc(F.round("priority", 12)), "node_id"))})
+    return ranked.withColumn("eligible", F.when(F.col("any_passed"), F.col("passed")).otherwise((F.col("place") <= keep) & (F.col("disagreement") > 0))).drop("any_passed", "place", "passed")
 
 
 def error_association(df: DataFrame, features: Sequence[str], flag: Column) -> DataFrame:
@@ -418,8 +444,9 @@ def error_association(df: DataFrame, features: Sequence[str], flag: Column) -> D
     rows = long_form(df.withColumn("flag", flag.cast("int")), ["flag"], features)
     med = exact_quantiles(rows, "value", {"mid": 0.5}, ["feature", "flag"])
     side = med.groupBy("feature").agg(F.max(F.when(F.col("flag") == 1, F.col("mid"))).alias("err"), F.max(F.when(F.col("flag") == 0, F.col("mid"))).alias("ok"))
-    iqr = exact_quantiles(rows, "value", {"q1": 0.25, "q3": 0.75}, ["feature"])
-    raw = side.join(iqr, "feature").withColumn("raw", F.tanh(ratio(F.abs(F.col("err") - F.col("ok")), F.col("q3") - F.col("q1"), 0.0)))
+    iqr = exact_quantiles(rows, "value", {"q1": 0.25, "q3": 0.75}, ["feature"]).join(rows.groupBy("feature").agg(F.stddev_pop("value").alias("std")), "feature")
+    scale = F.when(F.col("q3") - F.col("q1") > 1e-9, F.col("q3") - F.col("q1")).when(F.col("std") > 1e-9, F.col("std")).otherwise(1.0)
+    raw = side.join(iqr, "feature").withColumn("raw", F.tanh(F.abs(F.col("err") - F.col("ok")) / scale))
     top = raw.agg(F.max("raw")).scalar()
     return raw.select("feature", "raw", ratio(F.col("raw"), top, 0.0).alias("association"))
 
@@ -432,3 +459,43 @@ def normalised_entropy(probs: Sequence[str]) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     return ratio(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)), 1.0)
+
+
+def anchor_similarity(df: DataFrame, anchors: Sequence[Mapping[str, float]], features: Sequence[str], scales: Mapping[str, float]) -> DataFrame:
+    """max exp(-mean scaled L1) to a literal list of anchor rows (the anchors of one error region)."""
+    sims = [F.exp(-add([F.abs(F.col(f) - float(a[f])) / float(scales[f]) for f in features]) / len(features)) for a in anchors]
+    return df.withColumn("similarity", F.greatest(*sims) if len(sims) > 1 else sims[0])
+
+
+def candidate_log(log: DataFrame) -> DataFrame:
+    """Per node: best statistical candidate against the chosen one: regret, switch, median relative semantic share."""
+    best = F.max_by(F.struct("test_id", "gain"), F.struct(F.round("gain", 12), -F.col("test_id")))
+    chosen = F.max_by(F.struct("test_id", "gain"), F.struct(F.round("semantic_score", 12), -F.col("test_id")))
+    per = log.groupBy("node_id").agg(F.count(F.lit(1)).alias("candidates"), best.alias("b"), chosen.alias("c"),
+                                     F.percentile(F.when(F.col("gain") > 0, (F.col("semantic_score") - F.col("gain")) / F.col("gain")), F.lit(0.5)).alias("median_share"))
+    return per.select("node_id", "candidates", (F.col("b.gain") - F.col("c.gain")).alias("regret"), (F.col("b.test_id") != F.col("c.test_id")).alias("switched"), "median_share")
+
+
+def tree_stability(used: DataFrame) -> DataFrame:
+    """Mean Jaccard of the features used by consecutive and all other runs of an arm, from feature counts.
+
+    ``used``: (arm, run, feature).  Pairs of runs are formed per arm over its handful of repeated fits.
+    """
+    sets = used.groupBy("arm", "run").agg(F.collect_set("feature").alias("features"))
+    other = sets.select("arm", F.col("run").alias("run2"), F.col("features").alias("features2"))
+    both = sets.join(other, "arm").filter("run < run2")
+    return both.groupBy("arm").agg(F.avg(jaccard(F.col("features"), F.col("features2"))).alias("mean_jaccard"), F.count(F.lit(1)).alias("pairs"))
+
+
+def path_recovery(paths: DataFrame, rule: Sequence[str]) -> DataFrame:
+    """Are all rule features in one test, or along one path?  ``paths``: (leaf, tests array<array<string>>)."""
+    wanted = F.array(*[F.lit(f) for f in rule])
+    inside = lambda have: F.size(F.array_except(wanted, have)) == 0
+    return paths.agg(F.max(F.exists("tests", inside)).alias("same_test"), F.max(inside(F.flatten("tests"))).alias("same_path"))
+
+
+def node_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Nodes whose test differs between two trees, matched on the path that leads to them ((path, test) rows)."""
+    both = a.withColumnRenamed("test", "test_a").join(b.withColumnRenamed("test", "test_b"), "path", "full_outer")
+    state = F.when(F.col("test_a").isNull(), "only_b").when(F.col("test_b").isNull(), "only_a").when(F.col("test_a") == F.col("test_b"), "same").otherwise("changed")
+    return both.withColumn("state", state)
