@@ -25,8 +25,8 @@ SURROGATE = RuleTree.from_rows([
 ])
 
 
-def teacher_logits() -> dict:
-    qty, price, disc, tax = (F.col(c) for c in FEATURES)
+def teacher_logits(cols=None) -> dict:
+    qty, price, disc, tax = (cols[c] if cols else F.col(c) for c in FEATURES)
     return {
         "z_a": F.lit(0.04) * qty - F.lit(10.0) * disc,
         "z_n": price / F.lit(40000.0) - F.lit(10.0) * tax,
@@ -34,8 +34,9 @@ def teacher_logits() -> dict:
     }
 
 
-def teacher_class():
-    z = teacher_logits()
+def teacher_class(cols=None):
+    """Best logit, first in class order on ties; takes columns so that it can be asked about any point."""
+    z = teacher_logits(cols)
     return (F.when((z["z_a"] >= z["z_n"]) & (z["z_a"] >= z["z_r"]), "A")
             .when(z["z_n"] >= z["z_r"], "N").otherwise("R"))
 
@@ -147,3 +148,35 @@ RAW_TEXT = """raw AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THE
   strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS flag, o_orderkey::VARCHAR AS code,
   (o_orderkey % 5)::VARCHAR AS grade, 'x' AS same, CASE WHEN o_orderkey % 2 = 1 THEN 'null' ELSE o_orderpriority END AS priority FROM orders)"""
 RAW_COLUMNS = ["status", "price", "mixed", "day", "flag", "code", "grade", "same", "priority"]
+
+
+CASE_FEATURES = ["total", "balance", "month", "nation"]
+CASE_CLASSES = ["bronze", "gold", "silver"]
+
+
+def case_scores(cols=None) -> dict:
+    c = {f: (cols[f] if cols else F.col(f)) for f in CASE_FEATURES}
+    return {"bronze": F.lit(0.2), "gold": c["total"] / F.lit(200000.0) + c["balance"] / F.lit(10000.0) - F.lit(1.2),
+            "silver": c["month"] / F.lit(6.0) - c["total"] / F.lit(400000.0) - F.lit(0.3)}
+
+
+def case_teacher(cols=None):
+    """Closed-form teacher of the order table."""
+    s = case_scores(cols)
+    return F.when((s["gold"] >= s["silver"]) & (s["gold"] >= s["bronze"]), "gold").when(s["silver"] >= s["bronze"], "silver").otherwise("bronze")
+
+
+def case_margin(target, cols=None):
+    """Score of a class minus the best other score; the teacher says ``target`` where this is positive."""
+    s = case_scores(cols)
+    return s[target] - F.greatest(*[v for k, v in s.items() if k != target])
+
+
+def judged(t: Tables) -> DataFrame:
+    """Orders with the teacher's class, numeric features as doubles."""
+    return cases(t).withColumns({f: F.col(f).cast("double") for f in CASE_FEATURES}).withColumn("cls", case_teacher())
+
+
+JUDGED = CASES + """, j0 AS (SELECT id, cust, odate, year, priority, label, segment, total, balance, month::DOUBLE AS month, nation::DOUBLE AS nation, 0.2::DOUBLE AS s_bronze,
+  total/200000.0::DOUBLE + balance/10000.0::DOUBLE - 1.2::DOUBLE AS s_gold, month/6.0::DOUBLE - total/400000.0::DOUBLE - 0.3::DOUBLE AS s_silver FROM cases),
+judged AS (SELECT *, CASE WHEN s_gold >= s_silver AND s_gold >= s_bronze THEN 'gold' WHEN s_silver >= s_bronze THEN 'silver' ELSE 'bronze' END AS cls FROM j0)"""
