@@ -18,7 +18,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        self.__dict__[name] = table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return table
 
 
 def query(name: str, sql: str | None = None, floats: str = "", ints: str = ""):
