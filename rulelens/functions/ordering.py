@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rulelens.functions.hashing import order_key
+from rulelens.functions.lineage import cut
 
 MAX_RANGES = 4096
+SMALL_ROWS = 500_000  # a table this small is ordered by plain windows
 
 
 def _range_steps(df: DataFrame) -> int:
@@ -45,27 +47,37 @@ def with_value_range(df: DataFrame, value: str, by: Sequence[str] = (), name: st
 
 
 def running_sums(df: DataFrame, value: str, sums: dict[str, str], by: Sequence[str] = (), descending: bool = False,
-                 following: Sequence[str] = ()) -> DataFrame:
-    """Inclusive running sums over one-row-per-(by, value) input, plus ``next_*`` copies of ``following`` columns.
+                 following: Sequence[str] = (), totals: dict[str, str] | None = None) -> DataFrame:
+    """Inclusive running sums over one-row-per-(by, value) input.
 
-    ``sums`` maps an output name to the summed column.  Input must already be grouped by (by, value).
+    ``sums`` maps an output name to the summed column, ``totals`` does the same for whole-group sums, and
+    ``following`` names columns whose value in the next row is wanted as ``next_*``.
     """
-    by = list(by)
-    ranged = with_value_range(df.filter(F.col(value).isNotNull()), value, by)
+    by, totals = list(by), totals or {}
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    # The grouped table is read several times below, so it is written once; that also gives its size.
+    df = cut(df.filter(F.col(value).isNotNull()))
+    if df.count() <= SMALL_ROWS:
+        whole = Window.partitionBy(*(by or [F.lit(0)]))
+        inside = whole.orderBy(direction(value))
+        upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*df.columns, *[F.sum(c).over(upto).alias(o) for o, c in sums.items()], *[F.sum(c).over(whole).alias(o) for o, c in totals.items()],
+                         *[F.lead(c).over(inside).alias(f"next_{c}") for c in following])
+    ranged = with_value_range(df, value, by)
     pick_first = F.max_by if descending else F.min_by
-    totals = ranged.groupBy(*by, "value_range").agg(
-        *[F.sum(c).alias(f"__t_{o}") for o, c in sums.items()], *[pick_first(c, value).alias(f"__f_{c}") for c in following])
-    ranges = Window.partitionBy(*by).orderBy(direction("value_range"))
+    per_range = ranged.groupBy(*by, "value_range").agg(
+        *[F.sum(c).alias(f"__t_{o}") for o, c in {**sums, **totals}.items()], *[pick_first(c, value).alias(f"__f_{c}") for c in following])
+    group = Window.partitionBy(*(by or [F.lit(0)]))  # at most MAX_RANGES rows per group
+    ranges = group.orderBy(direction("value_range"))
     before = ranges.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "value_range", *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in sums],
-                            *[F.lead(f"__f_{c}").over(ranges).alias(f"__n_{c}") for c in following])
+    offsets = per_range.select(*by, "value_range", *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__o_{o}") for o in sums],
+                               *[F.sum(f"__t_{o}").over(group).alias(f"__g_{o}") for o in totals], *[F.lead(f"__f_{c}").over(ranges).alias(f"__n_{c}") for c in following])
     if not by:  # at most MAX_RANGES rows: cheaper as a literal table than as a self-join
         offsets = F.broadcast(df.sparkSession.createDataFrame(offsets.collect(), offsets.schema))
     inside = Window.partitionBy(*by, "value_range").orderBy(direction(value))
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     joined = ranged.join(offsets, [*by, "value_range"])
-    return joined.select(*df.columns, *[(F.sum(c).over(upto) + F.col(f"__o_{o}")).alias(o) for o, c in sums.items()],
+    return joined.select(*df.columns, *[(F.sum(c).over(upto) + F.col(f"__o_{o}")).alias(o) for o, c in sums.items()], *[F.col(f"__g_{o}").alias(o) for o in totals],
                          *[F.coalesce(F.lead(c).over(inside), F.col(f"__n_{c}")).alias(f"next_{c}") for c in following])
 
 
@@ -81,12 +93,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequ
     by = list(by)
     counts = df if weight else value_counts(df, value, by)
     n = weight or "n"
-    cum = running_sums(counts.select(*by, value, n), value, {"__cum": n}, by)
-    if by:
-        cum = cum.join(counts.groupBy(*by).agg(F.sum(n).alias("__total")), by)
-        total = F.col("__total")
-    else:
-        total = counts.agg(F.sum(n)).scalar()
+    cum = running_sums(counts.select(*by, value, n), value, {"__cum": n}, by, totals={"__total": n})
+    total = F.col("__total")
     picks, finals = [], []
     for name, p in probs.items():
         at = F.lit(float(p)) * (total - 1)
@@ -134,18 +142,19 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = ()
 
 
 def quantile_grid(counts: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], weight: str = "n") -> DataFrame:
-    """(by, prob, quantile) for many probabilities at once; interpolated linearly, input is (by, value, weight)."""
-    by = list(by)
-    cum = running_sums(counts.select(*by, value, weight), value, {"__cum": weight}, by)
-    cum = cum.join(counts.groupBy(*by).agg(F.sum(weight).alias("__total")), by)
-    grid = F.array(*[F.lit(float(p)) for p in probs])
-    first, last = F.col("__cum") - F.col(weight), F.col("__cum") - 1
-
-    def touches(p: Column) -> Column:
-        at = p * (F.col("__total") - 1)
-        return F.floor(at).between(first, last) | F.ceil(at).between(first, last)
-
-    hit = cum.withColumn("prob", F.explode(F.filter(grid, touches)))
+    """(by, prob, quantile) for evenly spaced probabilities at once; interpolated linearly, input is (by, value, weight)."""
+    by, m = list(by), len(probs)
+    start, step = float(probs[0]), (float(probs[-1]) - float(probs[0])) / (m - 1) if m > 1 else 1.0
+    if any(abs(p - (start + step * i)) > 1e-9 for i, p in enumerate(probs)):
+        raise ValueError("probabilities must be evenly spaced")
+    cum = running_sums(counts.select(*by, value, weight), value, {"__cum": weight}, by, totals={"__total": weight})
+    first, last, top = F.col("__cum") - F.col(weight), F.col("__cum") - 1, F.greatest(F.col("__total") - 1, F.lit(1))
+    # the probabilities whose rank falls on this value or right beside it
+    low = F.greatest(F.lit(0), F.floor(((first - 1) / top - start) / step)).cast("int")
+    high = F.least(F.lit(m - 1), F.ceil(((last + 1) / top - start) / step)).cast("int")
+    near = cum.filter(low <= high).withColumn("__i", F.explode(F.sequence(low, high)))
+    exact = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("__i") + 1)
     at = F.col("prob") * (F.col("__total") - 1)
+    hit = near.withColumn("prob", exact).filter(F.floor(at).between(first, last) | F.ceil(at).between(first, last))
     ends = hit.groupBy(*by, "prob").agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.max(at - F.floor(at)).alias("__fr"))
     return ends.select(*by, "prob", (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__fr")).alias("quantile"))

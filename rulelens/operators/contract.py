@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rulelens.functions.lineage import cut
 from rulelens.functions.ordering import quantile_grid, running_sums, with_hash_rank, exact_quantiles
 from rulelens.functions.shapes import add, as_text, failed_names, hits, long_form, ratio, rows_of_structs, share, unions
 
@@ -316,7 +317,7 @@ def numeric_leakage(df: DataFrame, features: Sequence[str], label: str, k: int =
     are tried as they are, otherwise 63 quantiles of the distinct values.
     """
     long = long_form(df.select("fold", label, *[F.col(f).cast("double").alias(f) for f in features]), ["fold", label], features).filter("value IS NOT NULL")
-    cells = long.groupBy("feature", "fold", "value", F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    cells = cut(long.groupBy("feature", "fold", "value", F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n")))  # read by every later step
     models = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("model")
     tagged = cells.select("*", models).withColumn("train", F.col("fold") != F.col("model"))
     train = tagged.filter("train")
@@ -325,12 +326,12 @@ def numeric_leakage(df: DataFrame, features: Sequence[str], label: str, k: int =
     few = unique.join(size.filter("size <= 64"), ["feature", "model"]).select("feature", "model", F.col("value").alias("edge"))
     many = unique.join(size.filter("size > 64"), ["feature", "model"])
     grid = [0.02 + 0.96 * i / 62 for i in range(63)]
-    cut = quantile_grid(many, "value", grid, ["feature", "model"]).select("feature", "model", F.col("quantile").alias("edge")).distinct()
-    edges = few.unionByName(cut)
+    spaced = quantile_grid(many, "value", grid, ["feature", "model"]).select("feature", "model", F.col("quantile").alias("edge")).distinct()
+    edges = few.unionByName(spaced)
     order = Window.partitionBy("feature", "model").orderBy("edge")  # at most 64 edges
     thresholds = edges.withColumn("thr", (F.col("edge") + F.lead("edge").over(order)) / 2).filter("thr IS NOT NULL").groupBy("feature", "model").agg(F.sort_array(F.collect_list("thr")).alias("thrs"))
     binned = tagged.join(thresholds, ["feature", "model"]).withColumn("bin", F.size(F.filter("thrs", lambda t: t < F.col("value"))))
-    counts = binned.groupBy("feature", "model", "train", "bin", "y").agg(F.sum("n").alias("n"))
+    counts = cut(binned.groupBy("feature", "model", "train", "bin", "y").agg(F.sum("n").alias("n")))  # at most 64 bins per feature and model
     totals = counts.groupBy("feature", "model", "train", "y").agg(F.sum("n").alias("total"))
     # every (threshold, class) pair: rows on the left = bins up to the threshold index
     steps = thresholds.select("feature", "model", F.posexplode("thrs").alias("at", "thr"))

@@ -14,6 +14,7 @@ from itertools import combinations, combinations_with_replacement, product
 from statistics import NormalDist
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rulelens.functions.ordering import quantile_grid, value_counts
@@ -207,6 +208,7 @@ def grow(df: DataFrame, features: Sequence[str], label: str, labels: Sequence[st
     split does not depend on the others, the result equals one-by-one growth.  ``top_up(tree, node, n)`` may return
     extra labelled rows for a node with fewer than ``min_sample`` rows.
     """
+    df = df.select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)  # every search step reads these columns again
     edges = bin_edges(df, features, cfg.bins)
     root = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     counts0 = np.array([next((r["n"] for r in root if r[label] == l), 0) for l in labels], float)
@@ -289,6 +291,7 @@ def grow(df: DataFrame, features: Sequence[str], label: str, labels: Sequence[st
             next_id += 1
         made += 2
     log += [dict(node_id=i, priority=-p, depth=state[i]["depth"], reach=state[i]["reach"], stop="MAX_NODES", gain=None) for p, _, i in queue]
+    df.unpersist()
     return Grown(tree, log, queries)
 
 
@@ -401,6 +404,7 @@ def grow_gain_ratio(df: DataFrame, numeric: Sequence[str], categorical: Sequence
                     min_split: float = 4.0, bins: int = 64, max_nodes_in_flight: int = 32) -> GainRatioTree:
     """Level-wise supervised growth: all nodes of a level share one numeric and one categorical count job."""
     labels = list(labels)
+    df = df.select(*numeric, *categorical, label).persist(StorageLevel.MEMORY_AND_DISK)  # read once per level
     edges = bin_edges(df, numeric, bins) if numeric else {}
     place = {l: j for j, l in enumerate(labels)}
     zero = np.zeros(len(labels))
@@ -447,6 +451,7 @@ def grow_gain_ratio(df: DataFrame, numeric: Sequence[str], categorical: Sequence
                         following.append(next_id)
                         next_id += 1
         level = following
+    df.unpersist()
     return tree
 
 

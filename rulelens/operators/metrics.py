@@ -93,24 +93,26 @@ def score_counts(df: DataFrame, truth: str, scores: dict[str, str]) -> DataFrame
         F.count(F.lit(1)).alias("n"), F.sum("hit").alias("pos"))
 
 
+def score_sums(counts: DataFrame) -> DataFrame:
+    """Counts at or above each score, with the positives and negatives of the label."""
+    return running_sums(counts.withColumn("neg", F.col("n") - F.col("pos")), "score", {"cum_n": "n", "cum_pos": "pos"}, ["label"], descending=True, totals={"pos_all": "pos", "neg_all": "neg"})
+
+
 def auc_and_average_precision(counts: DataFrame) -> DataFrame:
     """Tie-aware ROC AUC and average precision per label from distinct-score counts."""
-    down = running_sums(counts, "score", {"cum_n": "n", "cum_pos": "pos"}, ["label"], descending=True)
-    totals = counts.groupBy("label").agg(F.sum("pos").alias("pos_all"), F.sum(F.col("n") - F.col("pos")).alias("neg_all"))
+    down = score_sums(counts)
     neg = F.col("n") - F.col("pos")
     cum_neg = F.col("cum_n") - F.col("cum_pos")
     # negatives strictly below a score = N - negatives at or above it
     below = F.col("neg_all") - cum_neg
-    return down.join(totals, "label").groupBy("label").agg(
+    return down.groupBy("label").agg(
         (F.sum(F.col("pos") * (below + neg / 2)) / F.max(F.col("pos_all") * F.col("neg_all"))).alias("auc"),
         (F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")) / F.max("pos_all")).alias("average_precision"))
 
 
 def roc_points(counts: DataFrame) -> DataFrame:
     """(label, threshold, fpr, tpr), one row per distinct score."""
-    down = running_sums(counts, "score", {"cum_n": "n", "cum_pos": "pos"}, ["label"], descending=True)
-    totals = counts.groupBy("label").agg(F.sum("pos").alias("pos_all"), F.sum(F.col("n") - F.col("pos")).alias("neg_all"))
-    return down.join(totals, "label").select("label", F.col("score").alias("threshold"),
+    return score_sums(counts).select("label", F.col("score").alias("threshold"),
         ((F.col("cum_n") - F.col("cum_pos")) / F.col("neg_all")).alias("fpr"), (F.col("cum_pos") / F.col("pos_all")).alias("tpr"))
 
 

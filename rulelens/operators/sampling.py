@@ -129,9 +129,8 @@ def side_counts(local: DataFrame, reference: DataFrame, features: Sequence[str],
 def ks_statistics(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance per feature: largest gap of the two cumulative shares."""
     keys = [*by, "feature"]
-    cum = running_sums(counts, "value", {"cl": "n_local", "cr": "n_reference"}, keys)
-    total = counts.groupBy(*keys).agg(F.sum("n_local").alias("nl"), F.sum("n_reference").alias("nr"))
-    return cum.join(total, keys).groupBy(*keys).agg(F.max(F.abs(F.col("cl") / F.col("nl") - F.col("cr") / F.col("nr"))).alias("ks"), F.max("nl").alias("n_local"), F.max("nr").alias("n_reference"))
+    cum = running_sums(counts, "value", {"cl": "n_local", "cr": "n_reference"}, keys, totals={"nl": "n_local", "nr": "n_reference"})
+    return cum.groupBy(*keys).agg(F.max(F.abs(F.col("cl") / F.col("nl") - F.col("cr") / F.col("nr"))).alias("ks"), F.max("nl").alias("n_local"), F.max("nr").alias("n_reference"))
 
 
 def chi2_statistics(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

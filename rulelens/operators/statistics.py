@@ -92,10 +92,9 @@ def cliffs_delta(paired: DataFrame, by: Sequence[str]) -> DataFrame:
     sides = paired.select(*by, F.explode(F.array(F.struct(F.round("a", TIE_DIGITS).alias("v"), F.lit(1).alias("na"), F.lit(0).alias("nb")),
                                                  F.struct(F.round("b", TIE_DIGITS).alias("v"), F.lit(0).alias("na"), F.lit(1).alias("nb")))).alias("s")).select(*by, "s.*")
     counts = sides.groupBy(*by, "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    cum = running_sums(counts, "v", {"cb": "nb"}, by)
-    total = counts.groupBy(*by).agg(F.sum("nb").alias("tb"))
+    cum = running_sums(counts, "v", {"cb": "nb"}, by, totals={"tb": "nb"})
     below, above = F.col("cb") - F.col("nb"), F.col("tb") - F.col("cb")
-    return cum.join(total, by).groupBy(*by).agg((F.sum(F.col("na") * (below - above)) / (F.sum("na") * F.sum("nb"))).alias("cliffs_delta"))
+    return cum.groupBy(*by).agg((F.sum(F.col("na") * (below - above)) / (F.sum("na") * F.sum("nb"))).alias("cliffs_delta"))
 
 
 def holm(df: DataFrame, p: str, family: Sequence[str], order: Sequence[str], name: str = "p_holm") -> DataFrame:

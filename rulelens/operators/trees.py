@@ -204,21 +204,18 @@ def value_class_counts(df: DataFrame, node: str, label: str, features: Sequence[
 def boundaries(counts: DataFrame, node: str, labels: Sequence[str]) -> DataFrame:
     """Cut points between neighbouring value blocks that are not both pure in the same class, with left-side counts."""
     cols = list(class_columns(labels).values())
-    run = running_sums(counts, "value", {f"l_{c}": c for c in cols}, [node, "feature"], following=["value", *cols])
+    run = running_sums(counts, "value", {f"l_{c}": c for c in cols}, [node, "feature"], following=["value", *cols], totals={f"t_{c}": c for c in cols})
     same_pure = add([F.when((F.col(c) > 0) | (F.col(f"next_{c}") > 0), 1).otherwise(0) for c in cols]) == 1
-    totals = counts.filter("value IS NOT NULL").groupBy(node, "feature").agg(*[F.sum(c).alias(f"t_{c}") for c in cols])
-    cut = run.filter(F.col("next_value").isNotNull() & ~same_pure)
-    return cut.join(totals, [node, "feature"]).select(node, "feature", ((F.col("value") + F.col("next_value")) / 2).alias("thr"),
+    return run.filter(F.col("next_value").isNotNull() & ~same_pure).select(node, "feature", ((F.col("value") + F.col("next_value")) / 2).alias("thr"),
                                                       *[f"l_{c}" for c in cols], *[f"t_{c}" for c in cols])
 
 
 def spread_evenly(cuts: DataFrame, node: str, limit: int = 24) -> DataFrame:
     """At most ``limit`` thresholds per (node, feature), evenly spaced by position, ends included."""
-    pos = running_sums(cuts.withColumn("__one", F.lit(1)), "thr", {"__pos": "__one"}, [node, "feature"]).drop("__one")
-    size = cuts.groupBy(node, "feature").agg(F.count(F.lit(1)).alias("__size"))
+    pos = running_sums(cuts.withColumn("__one", F.lit(1)), "thr", {"__pos": "__one"}, [node, "feature"], totals={"__size": "__one"}).drop("__one")
     at = F.col("__pos") - 1
     wanted = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda j: F.rint(j * (F.col("__size") - 1) / F.lit(float(limit - 1))))
-    return pos.join(size, [node, "feature"]).filter((F.col("__size") <= limit) | F.array_contains(wanted, at.cast("double"))).drop("__pos", "__size")
+    return pos.filter((F.col("__size") <= limit) | F.array_contains(wanted, at.cast("double"))).drop("__pos", "__size")
 
 
 def gains(cuts: DataFrame, labels: Sequence[str], min_leaf: int = 1) -> DataFrame:
