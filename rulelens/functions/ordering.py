@@ -15,7 +15,7 @@ from rulelens.functions.hashing import order_key
 from rulelens.functions.lineage import cut
 
 MAX_RANGES = 4096
-SMALL_ROWS = 500_000  # a table this small is ordered by plain windows
+SMALL_ROWS = 4_000_000  # narrow rows; a counted table this small is ordered by plain windows
 
 
 def _range_steps(df: DataFrame) -> int:
@@ -47,16 +47,18 @@ def with_value_range(df: DataFrame, value: str, by: Sequence[str] = (), name: st
 
 
 def running_sums(df: DataFrame, value: str, sums: dict[str, str], by: Sequence[str] = (), descending: bool = False,
-                 following: Sequence[str] = (), totals: dict[str, str] | None = None) -> DataFrame:
+                 following: Sequence[str] = (), totals: dict[str, str] | None = None, written: bool = False) -> DataFrame:
     """Inclusive running sums over one-row-per-(by, value) input.
 
     ``sums`` maps an output name to the summed column, ``totals`` does the same for whole-group sums, and
-    ``following`` names columns whose value in the next row is wanted as ``next_*``.
+    ``following`` names columns whose value in the next row is wanted as ``next_*``.  ``written`` says that the
+    input is already a written table.
     """
     by, totals = list(by), totals or {}
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     # The grouped table is read several times below, so it is written once; that also gives its size.
-    df = cut(df.filter(F.col(value).isNotNull()))
+    df = df.filter(F.col(value).isNotNull())
+    df = df if written else cut(df)
     if df.count() <= SMALL_ROWS:
         whole = Window.partitionBy(*(by or [F.lit(0)]))
         inside = whole.orderBy(direction(value))
@@ -141,13 +143,13 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = ()
     return survivors.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).drop("__r", "__slice")
 
 
-def quantile_grid(counts: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], weight: str = "n") -> DataFrame:
+def quantile_grid(counts: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], weight: str = "n", written: bool = False) -> DataFrame:
     """(by, prob, quantile) for evenly spaced probabilities at once; interpolated linearly, input is (by, value, weight)."""
     by, m = list(by), len(probs)
     start, step = float(probs[0]), (float(probs[-1]) - float(probs[0])) / (m - 1) if m > 1 else 1.0
     if any(abs(p - (start + step * i)) > 1e-9 for i, p in enumerate(probs)):
         raise ValueError("probabilities must be evenly spaced")
-    cum = running_sums(counts.select(*by, value, weight), value, {"__cum": weight}, by, totals={"__total": weight})
+    cum = running_sums(counts.select(*by, value, weight), value, {"__cum": weight}, by, totals={"__total": weight}, written=written)
     first, last, top = F.col("__cum") - F.col(weight), F.col("__cum") - 1, F.greatest(F.col("__total") - 1, F.lit(1))
     # the probabilities whose rank falls on this value or right beside it
     low = F.greatest(F.lit(0), F.floor(((first - 1) / top - start) / step)).cast("int")

@@ -335,13 +335,16 @@ def rule_candidates(tasks: DataFrame, tree: RuleTree, specs: Specs, model: Model
                 moved = moved + F.when(change, 1).otherwise(0)
             cur = new
         cells.append(F.struct(F.lit(leaf).cast("long").alias("rule"), F.lit(tree.nodes[leaf]["prediction"]).alias("rule_class"), moved.alias("premise_changes"), *[cur[f].alias(f"w_{f}") for f in names]))
-    own = [c for c in tasks.columns]
-    each = tasks.select(*own, F.explode(F.array(*cells)).alias("c")).select(*own, "c.*").filter(F.col("rule_class") == F.col("target"))
-    pushed = each.withColumn("factor", F.explode(F.array(*[F.lit(float(x)) for x in factors]))).withColumns({f: F.col(f"o_{f}") + F.col("factor") * (F.col(f"w_{f}") - F.col(f"o_{f}")) for f in names})
-    fixed_up = project(pushed, specs).withColumns({"path_respected": tree.node_column() == F.col("rule"), "valid": model(cols_of(specs)) == F.col("target")})
-    good = F.col("path_respected") & F.col("valid")
-    first = Window.partitionBy("task", "target", "rule").orderBy(F.desc(good.cast("int")), "factor")  # the few factors of one rule
-    return fixed_up.withColumn("__r", F.row_number().over(first)).filter("__r = 1").drop("__r", *[f"w_{f}" for f in names], "rule_class")
+    own = list(tasks.columns)
+    each = tasks.select(*own, F.explode(F.filter(F.array(*cells), lambda c: c["rule_class"] == F.col("target"))).alias("c")).select(*own, "c.*")
+    # All push factors are tried inside the row, so choosing the first good one needs no shuffle.
+    tries = []
+    for x in factors:
+        made = {f: repaired(f, s, F.col(f"o_{f}") + float(x) * (F.col(f"w_{f}") - F.col(f"o_{f}")), F.col(f"o_{f}")) for f, s in specs.items()}
+        tries.append(F.struct(F.lit(float(x)).alias("factor"), (tree.node_column(made) == F.col("rule")).alias("path_respected"), (model(made) == F.col("target")).alias("valid"), *[v.alias(f) for f, v in made.items()]))
+    found = each.withColumn("tries", F.array(*tries))
+    first = F.coalesce(F.try_element_at(F.filter("tries", lambda r: r["path_respected"] & r["valid"]), F.lit(1)), F.element_at("tries", 1))
+    return found.withColumn("best", first).select(*own, "rule", "premise_changes", "best.*")
 
 
 def neighbourhood(tasks: DataFrame, pool: DataFrame, specs: Specs, model: Model, draws: int = 60, quota: int = 15, seed: int = 17) -> DataFrame:

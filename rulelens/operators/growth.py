@@ -17,9 +17,10 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rulelens.functions.lineage import cut
 from rulelens.functions.ordering import quantile_grid, value_counts
 from rulelens.functions.pvalues import chi2_tail
-from rulelens.functions.shapes import add, long_form
+from rulelens.functions.shapes import add, bin_column, long_form
 from rulelens.operators.trees import RuleTree, class_columns, evaluate_tests, gains, mask_counts, test_text
 
 Teacher = Callable[[DataFrame], DataFrame]
@@ -48,7 +49,7 @@ class Growth:
 def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> dict[str, list[float]]:
     """Cut points per feature: midpoints when there are few distinct values, exact quantiles otherwise."""
     rows = long_form(df.select(*[F.col(f).cast("double").alias(f) for f in features]), [], features)
-    counts = value_counts(rows, "value", ["feature"])
+    counts = cut(value_counts(rows, "value", ["feature"]))  # read three times below
     few = [r["feature"] for r in counts.groupBy("feature").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") <= bins).collect()]
     edges: dict[str, list[float]] = {}
     if few:
@@ -58,25 +59,21 @@ def bin_edges(df: DataFrame, features: Sequence[str], bins: int) -> dict[str, li
         edges |= {f: [(a + b) / 2 for a, b in zip(sorted(v), sorted(v)[1:])] for f, v in values.items()}
     many = [f for f in features if f not in few]
     if many:
-        grid = quantile_grid(counts.filter(F.col("feature").isin(many)), "value", [i / bins for i in range(1, bins)], ["feature"])
+        grid = quantile_grid(counts.filter(F.col("feature").isin(many)), "value", [i / bins for i in range(1, bins)], ["feature"], written=True)
         for r in grid.collect():
             edges.setdefault(r["feature"], []).append(r["quantile"])
     return {f: sorted(set(edges.get(f, []))) for f in features}
 
 
-def bin_column(feature: str, edges: Sequence[float], start: int = 0) -> Column:
-    """Number of edges below the value, as a balanced CASE; NULL stays NULL."""
-    if not edges:
-        return F.when(F.col(feature).isNotNull(), F.lit(start))
-    mid = len(edges) // 2
-    below, above = bin_column(feature, edges[:mid], start), bin_column(feature, edges[mid + 1:], start + mid + 1)
-    return F.when(F.col(feature) <= F.lit(float(edges[mid])), below).when(F.col(feature).isNotNull(), above)
+def with_bins(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
+    """Bin numbers as ``__b_<feature>`` columns, -1 for a missing value; found once, read by every level."""
+    return df.withColumns({f"__b_{f}": F.coalesce(bin_column(f, e), F.lit(-1)) for f, e in edges.items()})
 
 
 def histograms(rows: DataFrame, node: Column, label: str, labels: Sequence[str], edges: Mapping[str, Sequence[float]], weight: Column | None = None) -> dict[int, dict[str, np.ndarray]]:
     """node -> feature -> array[bin, class]; the last bin holds missing values.  One job, bounded result."""
     features = list(edges)
-    cells = F.array(*[F.struct(F.lit(i).alias("f"), F.coalesce(bin_column(f, edges[f]), F.lit(-1)).alias("b")) for i, f in enumerate(features)])
+    cells = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"__b_{f}").alias("b")) for i, f in enumerate(features)])
     w = weight if weight is not None else F.lit(1.0)
     each = rows.select(node.alias("node_id"), F.col(label).alias("y"), w.alias("w"), F.explode(cells).alias("c"))
     found = each.groupBy("node_id", "c.f", "c.b", "y").agg(F.sum("w").alias("n")).collect()
@@ -208,8 +205,8 @@ def grow(df: DataFrame, features: Sequence[str], label: str, labels: Sequence[st
     split does not depend on the others, the result equals one-by-one growth.  ``top_up(tree, node, n)`` may return
     extra labelled rows for a node with fewer than ``min_sample`` rows.
     """
-    df = df.select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)  # every search step reads these columns again
     edges = bin_edges(df, features, cfg.bins)
+    df = with_bins(df.select(*features, label), edges).persist(StorageLevel.MEMORY_AND_DISK)  # every search step reads these columns
     root = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     counts0 = np.array([next((r["n"] for r in root if r[label] == l), 0) for l in labels], float)
     tree = RuleTree({1: dict(node_id=1, parent_id=None, branch=None, m=0, literals=[], prediction=labels[int(counts0.argmax())])})
@@ -223,14 +220,14 @@ def grow(df: DataFrame, features: Sequence[str], label: str, labels: Sequence[st
     def search(ids: list[int]) -> None:
         """Histograms, pools, patterns and beams for a batch of nodes."""
         nonlocal queries
-        rows = df.select(*features, label).withColumn("node_id", tree.node_column()).filter(F.col("node_id").isin(ids))
+        rows = df.withColumn("node_id", tree.node_column()).filter(F.col("node_id").isin(ids))
         for i in ids:
             short = int(cfg.min_sample - state[i]["counts"].sum())
             if short > 0 and top_up is not None and queries < cfg.max_queries:
                 wanted = min(short, cfg.max_queries - queries)
                 extra = top_up(tree, i, wanted)
                 queries += wanted
-                rows = rows.unionByName(extra.select(*features, label).withColumn("node_id", F.lit(i).cast("long")))
+                rows = rows.unionByName(with_bins(extra.select(*features, label), edges).withColumn("node_id", F.lit(i).cast("long")))
         tables = histograms(rows, F.col("node_id"), label, labels, edges)
         pools = {}
         for i in ids:
@@ -404,8 +401,8 @@ def grow_gain_ratio(df: DataFrame, numeric: Sequence[str], categorical: Sequence
                     min_split: float = 4.0, bins: int = 64, max_nodes_in_flight: int = 32) -> GainRatioTree:
     """Level-wise supervised growth: all nodes of a level share one numeric and one categorical count job."""
     labels = list(labels)
-    df = df.select(*numeric, *categorical, label).persist(StorageLevel.MEMORY_AND_DISK)  # read once per level
     edges = bin_edges(df, numeric, bins) if numeric else {}
+    df = with_bins(df.select(*numeric, *categorical, label), edges).persist(StorageLevel.MEMORY_AND_DISK)  # read once per level
     place = {l: j for j, l in enumerate(labels)}
     zero = np.zeros(len(labels))
     tree = GainRatioTree({1: dict(parent_id=None, branch=None, kind="leaf", depth=0, counts=zero, used=frozenset())}, labels)
@@ -414,7 +411,7 @@ def grow_gain_ratio(df: DataFrame, numeric: Sequence[str], categorical: Sequence
         following = []
         for start in range(0, len(level), max_nodes_in_flight):
             ids = level[start:start + max_nodes_in_flight]
-            rows = tree.spread(df.select(*numeric, *categorical, label), ids)
+            rows = tree.spread(df, ids)
             tables = histograms(rows, F.col("node_id"), label, labels, edges, F.col("w")) if edges else {}
             cats: dict[tuple[int, str], dict] = {}
             if categorical:

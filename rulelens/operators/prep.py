@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rulelens.functions.hashing import uniform
 from rulelens.functions.ordering import average_ranks, exact_quantiles, quantile_grid, value_counts, with_hash_rank
-from rulelens.functions.shapes import add, long_form, ratio
+from rulelens.functions.shapes import add, bin_column, long_form, ratio
 from rulelens.operators.trees import entropy
 
 MAX_MASK_BITS = 60
@@ -203,11 +203,13 @@ def group_means(df: DataFrame, groups: Mapping[str, Sequence[str]], scales: Mapp
 # ---------------------------------------------------------------- information about the label
 
 def binned_long(df: DataFrame, keep: Sequence[str], columns: Sequence[str], bins: int) -> DataFrame:
-    """(keep, feature, bin): equal-frequency bins with edges from exact quantiles; few distinct values stay apart."""
-    rows = long_form(df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns]), list(keep), columns).filter("value IS NOT NULL")
-    edges = quantile_grid(value_counts(rows, "value", ["feature"]), "value", [i / bins for i in range(1, bins)], ["feature"])
-    per = edges.groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("edges"))
-    return rows.join(per, "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("value")))).drop("edges")
+    """(keep, feature, bin): equal-frequency bins with edges from exact quantiles; few distinct values stay apart.
+
+    The edges (columns x bins numbers) become a CASE per column, evaluated before the rows are made long.
+    """
+    edges = {c: sorted(set(q)) for c, q in quantile_cuts(df, columns, [i / bins for i in range(1, bins)]).items()}
+    wide = df.select(*keep, *[bin_column(c, edges.get(c, [])).alias(c) for c in columns])
+    return long_form(wide, list(keep), columns, value="bin").filter("bin IS NOT NULL")
 
 
 def mutual_information(binned: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:

@@ -18,15 +18,16 @@ NODE_SCHEMA = ("node_id long, parent_id long, branch string, m int, literals arr
                "prediction string, depth int")
 
 
-def literal(feature: str, op: str, thr: float) -> Column:
-    return F.col(feature) > F.lit(thr) if op == ">" else F.col(feature) <= F.lit(thr)
+def literal(feature: str, op: str, thr: float, cols: Mapping[str, Column] | None = None) -> Column:
+    value = cols[feature] if cols else F.col(feature)
+    return value > F.lit(thr) if op == ">" else value <= F.lit(thr)
 
 
-def m_of_n(m: int, literals: Sequence[tuple]) -> Column:
+def m_of_n(m: int, literals: Sequence[tuple], cols: Mapping[str, Column] | None = None) -> Column:
     """True when at least m literals hold; a missing feature casts no vote."""
     if not literals:
         return F.lit(True)
-    return add([F.when(literal(*l), 1).otherwise(0) for l in literals]) >= m
+    return add([F.when(literal(*l, cols), 1).otherwise(0) for l in literals]) >= m
 
 
 @dataclass
@@ -72,20 +73,23 @@ class RuleTree:
             out = out & (cond if outcome else ~cond)
         return out
 
-    def walk(self, leaf) -> Column:
-        """Nested CASE ending in ``leaf(node_id)`` at every leaf."""
+    def walk(self, leaf, cols: Mapping[str, Column] | None = None) -> Column:
+        """Nested CASE ending in ``leaf(node_id)`` at every leaf, over the named columns or the given expressions."""
 
         def visit(i: int) -> Column:
             kids = self.children(i)
             if not kids:
                 return leaf(i)
             n = self.nodes[i]
-            return F.when(m_of_n(n["m"], n["literals"]), visit(kids["yes"])).otherwise(visit(kids["no"]))
+            return F.when(m_of_n(n["m"], n["literals"], cols), visit(kids["yes"])).otherwise(visit(kids["no"]))
 
         return visit(self.root)
 
-    def node_column(self) -> Column:
-        return self.walk(lambda i: F.lit(i).cast("long"))
+    def node_column(self, cols: Mapping[str, Column] | None = None) -> Column:
+        return self.walk(lambda i: F.lit(i).cast("long"), cols)
+
+    def predict(self, cols: Mapping[str, Column] | None = None) -> Column:
+        return self.walk(lambda i: F.lit(self.nodes[i]["prediction"]), cols)
 
     def score(self, df: DataFrame, prediction: str = "prediction", node: str = "node_id") -> DataFrame:
         return df.withColumns({prediction: self.walk(lambda i: F.lit(self.nodes[i]["prediction"])), node: self.node_column()})

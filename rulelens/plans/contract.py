@@ -41,11 +41,11 @@ def _(t):
     return long_form(renamed.agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in names]), [], names, "name", "total")
 
 
-@query("dq03_numeric_coercion", f"WITH {CLEAN} SELECT count(price) AS price_n, sum(try_cast(trim(price) AS DOUBLE)) AS price_sum, sum(try_cast(trim(grade) AS DOUBLE)) AS grade_sum, max(mixed) AS mixed_max FROM clean",
-       floats="price_sum grade_sum", ints="price_n")
+@query("dq03_numeric_coercion", f"WITH {CLEAN} SELECT count(price) AS price_n, avg(try_cast(trim(price) AS DOUBLE)) AS price_mean, sum(try_cast(trim(grade) AS DOUBLE)) AS grade_sum, max(mixed) AS mixed_max FROM clean",
+       floats="price_mean grade_sum", ints="price_n")
 def _(t):
     typed = C.coerce_numeric(clean(t), RAW_COLUMNS)
-    return typed.agg(F.count("price").alias("price_n"), F.sum("price").alias("price_sum"), F.sum("grade").alias("grade_sum"), F.max("mixed").alias("mixed_max"))
+    return typed.agg(F.count("price").alias("price_n"), F.avg("price").alias("price_mean"), F.sum("grade").alias("grade_sum"), F.max("mixed").alias("mixed_max"))
 
 
 @query("dq04_schema_kinds", f"""WITH {LONG} SELECT column_name, CASE WHEN n_present=0 THEN 'categorical' WHEN n_unique<=2 AND yesno THEN 'boolean' WHEN all_numeric AND integer_like AND n_unique<=10 THEN 'categorical'

@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import Window, functions as F
 
 from rulelens.functions.neighbours import reference_block
-from rulelens.functions.shapes import add
 from rulelens.operators import counterfactual as CF
 from rulelens.operators import growth as G
 from rulelens.operators.derived import gram
@@ -188,24 +187,11 @@ def _(t):
 @query("cf11_robustness")
 def _(t):
     rows = fixed(t).withColumn("target", case_teacher())
-    models = {"teacher": case_teacher, "rules": rules_on}
+    models = {"teacher": case_teacher, "rules": RULES.predict}
     r = CF.robustness(rows, ["id", "candidate"], specs(t), models, "target", samples=8)
     return r.groupBy("candidate").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in ("robust_teacher", "robust_rules", "robust_joint")])
 
 
-def rules_on(cols):
-    """The longer surrogate as a function of columns."""
-    def lits(ls):
-        return add([F.when(cols[f] > thr if op == ">" else cols[f] <= thr, 1).otherwise(0) for f, op, thr in ls])
-
-    def visit(i):
-        kids = RULES.children(i)
-        n = RULES.nodes[i]
-        return F.lit(n["prediction"]) if not kids else F.when(lits(n["literals"]) >= n["m"], visit(kids["yes"])).otherwise(visit(kids["no"]))
-
-    return visit(RULES.root)
-
-
 @query("cf12_donor_search")
 def _(t):
     s = specs(t)

@@ -11,6 +11,20 @@ ORACLES: dict[str, str] = {}
 DIGITS = 6
 
 
+MANY_ROWS = 100_000
+_ONE_TASK: dict[str, bool] = {}
+
+
+def _read_by_one_task(table: DataFrame, path: str) -> bool:
+    """A long table stored as a single row group: one task would do all the work above the scan.
+
+    Tables of a real size have many splits and are left alone.
+    """
+    if path not in _ONE_TASK:
+        _ONE_TASK[path] = table.rdd.getNumPartitions() == 1 and table.count() >= MANY_ROWS
+    return _ONE_TASK[path]
+
+
 class Tables:
     """Lazily opened input tables of one data folder."""
 
@@ -18,7 +32,11 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        self.__dict__[name] = table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        table = self.spark.read.parquet(path)
+        if _read_by_one_task(table, path):
+            table = table.repartition(self.spark.sparkContext.defaultParallelism)
+        self.__dict__[name] = table
         return table
 
 

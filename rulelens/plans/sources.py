@@ -99,13 +99,13 @@ def derived(t):
 
 @query("src10_feature_audit", f"""WITH {DERIVED}, {mi_sql('dr', 't', ['per_unit', 'gap', 'scaled'])}, c AS (SELECT {', '.join(f"abs(corr({d}, {o})) AS {d}_{o}" for d in ('per_unit', 'gap', 'scaled') for o in FEATURES)}, {', '.join(f'var_pop({d}) AS v_{d}' for d in ('per_unit', 'gap', 'scaled'))} FROM dr),
 a AS ({' UNION ALL '.join(f"SELECT '{d}' AS feature, v_{d} AS variance, greatest({', '.join(f'{d}_{o}' for o in FEATURES)}) AS max_correlation FROM c" for d in ('per_unit', 'gap', 'scaled'))})
-SELECT feature, variance, max_correlation, mi, CASE WHEN mi > 0.05 THEN 1.0 ELSE 0.0 END AS frequency, CASE WHEN max_correlation >= 0.999 THEN 'redundant' WHEN mi > 0.05 THEN 'keep' ELSE 'unstable' END AS decision FROM a JOIN mi USING (feature)""", floats="variance max_correlation mi frequency")
+SELECT feature, variance/1000000 AS variance, max_correlation, mi, CASE WHEN mi > 0.05 THEN 1.0 ELSE 0.0 END AS frequency, CASE WHEN max_correlation >= 0.999 THEN 'redundant' WHEN mi > 0.05 THEN 'keep' ELSE 'unstable' END AS decision FROM a JOIN mi USING (feature)""", floats="variance max_correlation mi frequency")
 def _(t):
     names = ["per_unit", "gap", "scaled"]
     rows = derived(t)
     mi = P.mutual_information(P.binned_long(rows, ["t"], names, 8), "t")
     selection = mi.select("feature", F.when(F.col("mi") > 0.05, 1.0).otherwise(0.0).alias("frequency"))
-    return RS.feature_audit(rows, names, FEATURES, mi, selection).drop("closest")
+    return RS.feature_audit(rows, names, FEATURES, mi, selection).drop("closest").withColumn("variance", F.col("variance") / 1000000)
 
 
 @query("src11_consolidation", f"""WITH {RUNS}, c AS (SELECT arm, metric, avg(value) AS value, count(*) AS rows FROM runs WHERE dataset IN (1996, 1997, 1998) GROUP BY 1, 2), n AS (SELECT arm, metric, avg(n_test) AS n_test FROM runs GROUP BY 1, 2) SELECT * FROM c LEFT JOIN n USING (arm, metric)""", floats="value n_test", ints="rows")

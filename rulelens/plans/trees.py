@@ -91,7 +91,7 @@ def searched(t, widest=False):
     rows = scored(t).select("leaf", "t", *FEATURES)
     cfg = G.Growth(bins=16, pool=10 ** 6 if widest else 16, min_leaf=50)
     edges = G.bin_edges(rows, FEATURES, cfg.bins)
-    tables = G.histograms(rows, F.col("leaf").cast("long"), "t", CLASSES, edges)
+    tables = G.histograms(G.with_bins(rows, edges), F.col("leaf").cast("long"), "t", CLASSES, edges)
     pools = {i: G.literal_pool(tb, edges, cfg) for i, tb in tables.items()}
     if widest:
         pools = {i: G.one_per_direction(p) for i, p in pools.items()}
