@@ -15,6 +15,7 @@ from rulelens.functions.hashing import order_key
 from rulelens.functions.lineage import cut
 
 MAX_RANGES = 4096
+BROADCAST_GROUPS = 1000  # at most 32 MB of cut points
 SMALL_ROWS = 4_000_000  # narrow rows; a counted table this small is ordered by plain windows
 
 
@@ -36,7 +37,9 @@ def with_value_range(df: DataFrame, value: str, by: Sequence[str] = (), name: st
     shares = [k / (1 << steps) for k in range(1, 1 << steps)]
     found = F.percentile_approx(value, shares, 1000).alias("__cuts")
     if by:
-        tagged = df.join(df.groupBy(*by).agg(found), by)
+        cuts = cut(df.groupBy(*by).agg(found))
+        # few groups: their cuts travel to the rows; many groups: the rows spread over the groups anyway
+        tagged = df.join(F.broadcast(cuts) if cuts.count() <= BROADCAST_GROUPS else cuts, by)
     else:
         only = df.agg(found).first()["__cuts"]  # at most MAX_RANGES numbers
         if not only:

@@ -65,3 +65,14 @@ def bin_column(feature: str, edges: Sequence[float], start: int = 0) -> Column:
     mid = len(edges) // 2
     below, above = bin_column(feature, edges[:mid], start), bin_column(feature, edges[mid + 1:], start + mid + 1)
     return F.when(F.col(feature) <= F.lit(float(edges[mid])), below).when(F.col(feature).isNotNull(), above)
+
+
+FEW_ROWS = 10_000
+
+
+def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a table expected to be tiny (one row per class or group): broadcast when counted so, a shuffle join otherwise.
+
+    A shuffle join on a handful of keys would send each key's rows to one task.
+    """
+    return df.join(F.broadcast(small) if small.count() <= FEW_ROWS else small, list(on), how)

@@ -110,7 +110,7 @@ def step_regularity(values: DataFrame, columns: Sequence[str]) -> DataFrame:
     counts = gaps.groupBy("column_name", "gap").agg(F.count(F.lit(1)).alias("n"))
     mid = exact_quantiles(counts, "gap", {"median_gap": 0.5}, ["column_name"], weight="n")
     near = F.abs(F.col("gap") - F.col("median_gap")) <= 1e-9 + 1e-5 * F.abs("median_gap")
-    return counts.join(mid, "column_name").groupBy("column_name").agg((F.sum(F.when(near, F.col("n")).otherwise(0)) / F.sum("n")).alias("regular_share"))
+    return counts.join(F.broadcast(mid), "column_name").groupBy("column_name").agg((F.sum(F.when(near, F.col("n")).otherwise(0)) / F.sum("n")).alias("regular_share"))
 
 
 def contract_kind(values: DataFrame, p: DataFrame) -> DataFrame:
@@ -323,6 +323,7 @@ def numeric_leakage(df: DataFrame, features: Sequence[str], label: str, k: int =
     train = tagged.filter("train")
     unique = train.groupBy("feature", "model", "value").agg(F.lit(1).alias("n"))
     size = unique.groupBy("feature", "model").agg(F.count(F.lit(1)).alias("size"))
+    size = F.broadcast(size)  # one row per column and fold
     few = unique.join(size.filter("size <= 64"), ["feature", "model"]).select("feature", "model", F.col("value").alias("edge"))
     many = unique.join(size.filter("size > 64"), ["feature", "model"])
     grid = [0.02 + 0.96 * i / 62 for i in range(63)]
@@ -330,7 +331,7 @@ def numeric_leakage(df: DataFrame, features: Sequence[str], label: str, k: int =
     edges = few.unionByName(spaced)
     order = Window.partitionBy("feature", "model").orderBy("edge")  # at most 64 edges
     thresholds = edges.withColumn("thr", (F.col("edge") + F.lead("edge").over(order)) / 2).filter("thr IS NOT NULL").groupBy("feature", "model").agg(F.sort_array(F.collect_list("thr")).alias("thrs"))
-    binned = tagged.join(thresholds, ["feature", "model"]).withColumn("bin", F.size(F.filter("thrs", lambda t: t < F.col("value"))))
+    binned = tagged.join(F.broadcast(thresholds), ["feature", "model"]).withColumn("bin", F.size(F.filter("thrs", lambda t: t < F.col("value"))))
     counts = cut(binned.groupBy("feature", "model", "train", "bin", "y").agg(F.sum("n").alias("n")))  # at most 64 bins per feature and model
     totals = counts.groupBy("feature", "model", "train", "y").agg(F.sum("n").alias("total"))
     # every (threshold, class) pair: rows on the left = bins up to the threshold index
@@ -342,7 +343,7 @@ def numeric_leakage(df: DataFrame, features: Sequence[str], label: str, k: int =
         *[F.min_by("y", F.struct(-side, F.col("y"))).alias(f"{name}_label") for name, side in (("left", F.when(F.col("train"), F.col("l")).otherwise(-1)), ("right", F.when(F.col("train"), F.col("total") - F.col("l")).otherwise(-1)))],
         F.max(F.when(F.col("train"), F.col("l"))).alias("hit_l"), F.max(F.when(F.col("train"), F.col("total") - F.col("l"))).alias("hit_r"))
     best = sides.groupBy("feature", "model").agg(F.min_by(F.struct("thr", "left_label", "right_label"), F.struct(-(F.col("hit_l") + F.col("hit_r")), F.col("thr"))).alias("b")).select("feature", "model", "b.*")
-    held = tagged.filter("NOT train").join(best, ["feature", "model"])
+    held = tagged.filter("NOT train").join(F.broadcast(best), ["feature", "model"])  # one row per column and fold
     guess = F.when(F.col("value") <= F.col("thr"), F.col("left_label")).otherwise(F.col("right_label"))
     fold_acc = held.groupBy("feature", "model").agg((F.sum(F.when(guess == F.col("y"), F.col("n")).otherwise(0)) / F.sum("n")).alias("acc"))
     return fold_acc.groupBy("feature").agg(F.avg("acc").alias("cv_accuracy")).withColumn("leak", F.col("cv_accuracy") > 0.98)
@@ -359,7 +360,7 @@ def categorical_leakage(df: DataFrame, features: Sequence[str], label: str, k: i
         per = train.groupBy(*keys, "y").agg(F.sum("n").alias("c"))
         return per.groupBy(*keys).agg(F.min_by("y", F.struct(-F.col("c"), F.col("y"))).alias(name))
 
-    held = tagged.filter("fold = model").join(majority(["feature", "model", "value"], "own"), ["feature", "model", "value"], "left").join(majority(["feature", "model"], "overall"), ["feature", "model"])
+    held = tagged.filter("fold = model").join(majority(["feature", "model", "value"], "own"), ["feature", "model", "value"], "left").join(F.broadcast(majority(["feature", "model"], "overall")), ["feature", "model"])
     ok = F.coalesce("own", "overall") == F.col("y")
     fold_acc = held.groupBy("feature", "model").agg((F.sum(F.when(ok, F.col("n")).otherwise(0)) / F.sum("n")).alias("acc"))
     return fold_acc.groupBy("feature").agg(F.avg("acc").alias("cv_accuracy")).withColumn("leak", F.col("cv_accuracy") > 0.98)

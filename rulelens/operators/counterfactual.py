@@ -18,7 +18,7 @@ from rulelens.functions.hashing import gaussian, pick, uniform
 from rulelens.functions.lineage import cut
 from rulelens.functions.neighbours import mean_distance_to, nearest
 from rulelens.functions.ordering import quantile_grid, top_k, value_counts, with_hash_rank
-from rulelens.functions.shapes import add, all_hold, hits, long_form, ratio, share
+from rulelens.functions.shapes import add, all_hold, hits, join_small, long_form, ratio, share
 from rulelens.operators.growth import gain_of
 from rulelens.operators.prep import feature_specs
 from rulelens.operators.trees import RuleTree
@@ -192,10 +192,8 @@ def density(df: DataFrame, reference: pd.DataFrame, key: str, specs: Specs, k: i
     np.fill_diagonal(d, np.inf)
     loo = np.sort(np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1).mean(axis=1))
     threshold = float(np.quantile(loo, quantile))
-    scored = mean_distance_to(df, reference, key, names, k, spans(specs), keep=keep)
-    literal_loo = F.lit([float(v) for v in loo])
-    at_least = F.size(F.filter(literal_loo, lambda v: v >= F.col("knn_distance")))
-    return scored.withColumns({"plausibility": at_least / len(loo), "plausible": F.col("knn_distance") <= threshold, "excess": F.greatest(F.lit(0.0), F.col("knn_distance") - threshold) / max(threshold, EPS)})
+    scored = mean_distance_to(df, reference, key, names, k, spans(specs), keep=keep, compared_with=loo).withColumnRenamed("share_above", "plausibility")
+    return scored.withColumns({"plausible": F.col("knn_distance") <= threshold, "excess": F.greatest(F.lit(0.0), F.col("knn_distance") - threshold) / max(threshold, EPS)})
 
 
 def proximity(df: DataFrame, specs: Specs, inverse_cov: np.ndarray | None = None) -> DataFrame:
@@ -260,7 +258,7 @@ def donor_pool(rows: DataFrame, key: str, label: str, features: Sequence[str], s
     """Training rows numbered inside their predicted class, with the class size."""
     ranked = with_hash_rank(rows.select(key, label, *features), seed, [key], [label], "donor_no")
     size = rows.groupBy(label).agg(F.count(F.lit(1)).alias("donors"))
-    return ranked.join(size, label).select(F.col(label).alias("target"), "donor_no", "donors", *[F.col(f).cast("double").alias(f"d_{f}") for f in features])
+    return join_small(ranked, size, [label]).select(F.col(label).alias("target"), "donor_no", "donors", *[F.col(f).cast("double").alias(f"d_{f}") for f in features])
 
 
 def donor_search(tasks: DataFrame, pool: DataFrame, specs: Specs, model: Model, margin: Callable[[Column], Column], population: int = 24, elite: int = 6, generations: int = 3, seed: int = 21) -> DataFrame:
@@ -270,7 +268,7 @@ def donor_search(tasks: DataFrame, pool: DataFrame, specs: Specs, model: Model,
     ``margin(target)`` is the model's preference for the target, used as a smooth objective.
     """
     names = list(specs)
-    sizes = pool.select("target", "donors").distinct()
+    sizes = F.broadcast(pool.select("target", "donors").distinct())  # one row per class
     own = ["task", "target", *[f"o_{f}" for f in names]]
 
     def with_donor(df: DataFrame, tag: str) -> DataFrame:
@@ -353,7 +351,7 @@ def neighbourhood(tasks: DataFrame, pool: DataFrame, specs: Specs, model: Model,
     ``pool``: donors of the instance's own class and of the target (see donor_pool); draws mix original and donor values.
     """
     names = list(specs)
-    sizes = pool.select("target", "donors").distinct()
+    sizes = F.broadcast(pool.select("target", "donors").distinct())  # one row per class
     each = tasks.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).join(sizes, "target").withColumn("donor_no", pick(seed, F.col("donors"), "task", "draw") + 1).drop("donors")
     mixed = each.join(pool.drop("donors"), ["target", "donor_no"])
     near = mixed.select("task", "target", "draw", *[f"o_{f}" for f in names], *[(F.col(f"o_{f}") + uniform(f"{seed}:t", "task", "draw") * F.when(uniform(f"{seed}:{f}", "task", "draw") < 0.6, F.col(f"d_{f}") - F.col(f"o_{f}")).otherwise(0.0)).alias(f) for f in names])
@@ -498,7 +496,7 @@ def rough_set_relevance(df: DataFrame, label: str, features: Sequence[str], chan
     values = rows.groupBy("feature", "value", label).agg(F.count(F.lit(1)).alias("n"))
     distinct = values.groupBy("feature").agg(F.count_distinct("value").alias("k"))
     edges = quantile_grid(value_counts(rows, "value", ["feature"]), "value", [i / bins for i in range(1, bins)], ["feature"]).groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("edges"))
-    coarse = values.join(distinct, "feature").join(edges, "feature")
+    coarse = values.join(F.broadcast(distinct), "feature").join(F.broadcast(edges), "feature")  # one row per column
     cell = F.when(F.col("k") <= max(2, bins), F.col("value")).otherwise(F.size(F.filter("edges", lambda e: e < F.col("value"))).cast("double"))
     per = coarse.withColumn("cell", cell).groupBy("feature", "cell").agg(F.count_distinct(label).alias("labels"), F.sum("n").alias("n"))
     dep = per.groupBy("feature").agg((F.sum(F.when(F.col("labels") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("dependency"))

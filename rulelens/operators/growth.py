@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import combinations, combinations_with_replacement, product
@@ -573,18 +574,21 @@ def lexicographic_choice(results: DataFrame, by: Sequence[str], t_critical: floa
     return staged.select(*by, "config", "mean", "sd", "nodes", "delta", verdict.alias("verdict"))
 
 
-def choice_robustness(results: DataFrame, repeats: int, t_critical: float, ratio_: float) -> DataFrame:
+def choice_robustness(results: DataFrame, repeats: int, t_critical: float, ratio_: float, exact_limit: int = 2000, draws: int = 1000, seed: int = 7) -> DataFrame:
     """Win share of each candidate over every multiset of CV repeats, weighted as ordered resamples.
 
-    Each distinct multiset is evaluated once, all of them in one job keyed by the multiset.
+    Each distinct multiset is evaluated once, all of them in one job keyed by the multiset.  Beyond ``exact_limit``
+    multisets, ``draws`` resamples stand in for the enumeration.
     """
     spark = results.sparkSession
-    rows = []
-    for s, chosen in enumerate(combinations_with_replacement(range(repeats), repeats)):
-        weight = math.factorial(repeats)
-        for r in set(chosen):
-            weight //= math.factorial(chosen.count(r))
-        rows += [(s, r, copy, float(weight)) for copy, r in enumerate(chosen)]
+    if math.comb(2 * repeats - 1, repeats) <= exact_limit:
+        samples = list(combinations_with_replacement(range(repeats), repeats))
+        weights = [math.factorial(repeats) // math.prod(math.factorial(c.count(r)) for r in set(c)) for c in samples]
+    else:  # too many multisets: draw them
+        rng = np.random.default_rng(seed)
+        drawn = Counter(tuple(sorted(rng.integers(0, repeats, repeats).tolist())) for _ in range(draws))
+        samples, weights = list(drawn), list(drawn.values())
+    rows = [(s, r, copy, float(w)) for s, (chosen, w) in enumerate(zip(samples, weights)) for copy, r in enumerate(chosen)]
     plan = F.broadcast(spark.createDataFrame(rows, "sample int, repeat int, copy int, weight double"))
     blown = results.join(plan, "repeat").withColumn("fold", F.concat_ws("-", "copy", "fold"))
     won = lexicographic_choice(blown, ["sample"], t_critical, ratio_).filter("verdict = 'WINNER'").select("sample", "config")

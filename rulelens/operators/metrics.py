@@ -204,7 +204,7 @@ def disagreement_profile(df: DataFrame, features: Sequence[str], flag: Column) -
     fences = exact_quantiles(rows.filter("flag = 0"), "value", {"q1": 0.25, "q3": 0.75}, ["feature"])
     on, off = F.col("flag") == 1, F.col("flag") == 0
     width = F.col("q3") - F.col("q1")
-    out = rows.join(fences, "feature")
+    out = rows.join(F.broadcast(fences), "feature")  # one row per column
     outside = (F.col("value") < F.col("q1") - 1.5 * width) | (F.col("value") > F.col("q3") + 1.5 * width)
     v_on, v_off = F.when(on, F.col("value")), F.when(off, F.col("value"))
     return out.groupBy("feature").agg(

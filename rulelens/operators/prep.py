@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rulelens.functions.hashing import uniform
 from rulelens.functions.ordering import average_ranks, exact_quantiles, quantile_grid, value_counts, with_hash_rank
-from rulelens.functions.shapes import add, bin_column, long_form, ratio
+from rulelens.functions.shapes import add, bin_column, join_small, long_form
 from rulelens.operators.trees import entropy
 
 MAX_MASK_BITS = 60
@@ -96,7 +96,7 @@ def oversample(df: DataFrame, key: Sequence[str], label: str, seed: int = 42) ->
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     top = sizes.agg(F.max("n")).scalar()
     plan = sizes.withColumn("goal", top)
-    ranked = with_hash_rank(df, seed, key, [label]).join(plan, label)
+    ranked = join_small(with_hash_rank(df, seed, key, [label]), plan, [label])
     copies = F.floor(F.col("goal") / F.col("n")) + F.when(F.col("hash_rank") <= F.pmod("goal", "n"), 1).otherwise(0)
     return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long")))).drop("n", "goal", "hash_rank")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rulelens.functions.hashing import gaussian, pick, uniform
 from rulelens.functions.neighbours import nearest
 from rulelens.functions.ordering import running_sums, top_k, with_hash_rank
-from rulelens.functions.shapes import add, hits, long_form, ratio, share, unions
+from rulelens.functions.shapes import add, hits, join_small, long_form, share, unions
 from rulelens.operators.trees import normalised_entropy
 
 TINY = 1e-12
@@ -137,7 +137,7 @@ def chi2_statistics(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Chi-square of the 2 x values table per feature, with its degrees of freedom."""
     keys = [*by, "feature"]
     total = counts.groupBy(*keys).agg(F.sum("n_local").alias("nl"), F.sum("n_reference").alias("nr"), (F.count(F.lit(1)) - 1).alias("df"))
-    both = counts.join(total, keys)
+    both = join_small(counts, total, keys)
     n, rows = F.col("nl") + F.col("nr"), F.col("n_local") + F.col("n_reference")
     el, er = rows * F.col("nl") / n, rows * F.col("nr") / n
     return both.groupBy(*keys).agg(F.sum((F.col("n_local") - el) ** 2 / el + (F.col("n_reference") - er) ** 2 / er).alias("chi2"), F.max("df").alias("df"))

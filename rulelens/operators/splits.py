@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from rulelens.functions.ordering import with_hash_rank
-from rulelens.functions.shapes import share
+from rulelens.functions.shapes import join_small
 
 
 def _class_sizes(df: DataFrame, label: str, name: str = "class_rows") -> DataFrame:
@@ -22,7 +22,7 @@ def holdout(df: DataFrame, key: Sequence[str], label: str, seeds: Sequence[int],
     groups = ["seed", label] if stratify else ["seed"]
     ranked = with_hash_rank(base, "holdout", [*key, "seed"], groups)
     if stratify:
-        sized = ranked.join(_class_sizes(df, label), label)
+        sized = join_small(ranked, _class_sizes(df, label), [label])
     else:
         sized = ranked.withColumn("class_rows", F.lit(sum(sizes)))
     role = F.when(F.col("hash_rank") <= F.round(F.col("class_rows") * test_share), "test").otherwise("train")
@@ -53,7 +53,7 @@ def identity(split: DataFrame, key: str) -> DataFrame:
 
 def stratified_share(df: DataFrame, key: Sequence[str], label: str, share_of: float, maximum: int = 0, seed: int = 42) -> DataFrame:
     """ceil(share * n) rows of every class (at least one), optionally limited to ``maximum`` rows in hash order."""
-    ranked = with_hash_rank(df, seed, key, [label]).join(_class_sizes(df, label), label)
+    ranked = join_small(with_hash_rank(df, seed, key, [label]), _class_sizes(df, label), [label])
     kept = ranked.filter(F.col("hash_rank") <= F.greatest(F.lit(1), F.ceil(F.col("class_rows") * share_of))).drop("hash_rank", "class_rows")
     if maximum:
         kept = with_hash_rank(kept, f"{seed}:all", key).filter(F.col("hash_rank") <= maximum).drop("hash_rank")
@@ -62,7 +62,7 @@ def stratified_share(df: DataFrame, key: Sequence[str], label: str, share_of: fl
 
 def three_way(df: DataFrame, key: Sequence[str], label: str, validation: float = 0.2, selection: float = 0.2, seed: int = 7) -> DataFrame:
     """train / selection / validation with every class on every side where its size allows."""
-    ranked = with_hash_rank(df.select(*key, label), seed, key, [label]).join(_class_sizes(df, label), label)
+    ranked = join_small(with_hash_rank(df.select(*key, label), seed, key, [label]), _class_sizes(df, label), [label])
     n = F.col("class_rows")
     v = F.greatest(F.lit(1), F.least(F.ceil(n * validation), n - 2))
     s = F.greatest(F.lit(1), F.least(F.ceil(n * selection), n - v - 1))

@@ -10,6 +10,8 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rulelens.functions.lineage import cut
+from rulelens.functions.neighbours import blocks
 from rulelens.functions.ordering import average_ranks, running_sums
 from rulelens.functions.pvalues import binomial_two_sided, chi2_p, normal_p, signed_rank_p, t_p
 from rulelens.functions.shapes import add, failed_names, hits, long_form, ratio, unions
@@ -302,7 +304,8 @@ def formatted(table: DataFrame, digits: int = 4) -> DataFrame:
 def pareto_front(df: DataFrame, key: str, metrics: Sequence[str], eps: float = 1e-12) -> DataFrame:
     """Rows no other row beats on every metric.
 
-    Each task first drops the rows beaten inside its own slice; only the local fronts meet each other.
+    Each task first drops the rows beaten inside its own slice; the surviving rows are then shipped in counted blocks
+    and compared where they lie.
     """
     cols = [key, *metrics]
 
@@ -321,16 +324,21 @@ def pareto_front(df: DataFrame, key: str, metrics: Sequence[str], eps: float = 1
         if kept is not None:
             yield kept
 
-    local = df.select(*cols).mapInPandas(local_front, df.select(*cols).schema)
-    other = local.select(F.col(key).alias("__k"), *[F.col(m).alias(f"__{m}") for m in metrics])
-    ge = [F.col(f"__{m}") >= F.col(m) - eps for m in metrics]
-    gt = [F.col(f"__{m}") > F.col(m) + eps for m in metrics]
-    beats, strictly = ge[0], gt[0]
-    for c in ge[1:]:
-        beats = beats & c
-    for c in gt[1:]:
-        strictly = strictly | c
-    return local.join(other, beats & strictly & (F.col("__k") != F.col(key)), "left_anti")
+    local = cut(df.select(*cols).mapInPandas(local_front, df.select(*cols).schema))
+    key_type = local.schema[key].dataType.simpleString()
+    beaten = None
+    for block in blocks(local, key, metrics):  # counted; several blocks when the local fronts are many rows
+        names, rivals = block[key].to_numpy(), block[list(metrics)].to_numpy(float)
+
+        def lose(batches, names=names, rivals=rivals):
+            for pdf in batches:
+                v = pdf[list(metrics)].to_numpy(dtype=float)
+                out = [((rivals >= x - eps).all(axis=1) & (rivals > x + eps).any(axis=1) & (names != k)).any() for k, x in zip(pdf[key].to_numpy(), v)]
+                yield pdf.loc[out, [key]]
+
+        found = local.mapInPandas(lose, f"{key} {key_type}")
+        beaten = found if beaten is None else beaten.unionByName(found)
+    return local if beaten is None else local.join(beaten.distinct(), key, "left_anti")
 
 
 def ablation_coverage(results: DataFrame, required: Sequence[str]) -> DataFrame:

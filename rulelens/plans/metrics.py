@@ -9,7 +9,6 @@ from rulelens.plans.bases import CLASSES, FEATURES, RUNS, SCORED, runs, scored
 from rulelens.plans.registry import query
 
 PROBS = {"A": "p_a", "N": "p_n", "R": "p_r"}
-Y, S, T = F.col("y"), F.col("s"), F.col("t")
 GRID = "grid AS (SELECT a.c AS truth, b.c AS pred FROM (VALUES ('A'),('N'),('R')) a(c), (VALUES ('A'),('N'),('R')) b(c))"
 
 
@@ -76,12 +75,12 @@ def _(t):
 @query("me07_calibration_error", f"""WITH {SCORED}, b AS (SELECT least(floor(conf*10), 9) AS band, count(*) AS n, avg((t=y)::INT) AS acc, avg(conf) AS mc FROM scored GROUP BY 1)
 SELECT sum(n*abs(acc-mc))/sum(n) AS ece, count(*) AS bands_used FROM b""", floats="ece", ints="bands_used")
 def _(t):
-    return M.calibration_error(scored(t), T == Y, F.col("conf"))
+    return M.calibration_error(scored(t), F.col("t") == F.col("y"), F.col("conf"))
 
 
 @query("me08_calibration_line")
 def _(t):
-    return M.calibration_line(scored(t), Y == "R", F.col("p_r"))
+    return M.calibration_line(scored(t), F.col("y") == "R", F.col("p_r"))
 
 
 THRESHOLDS = [round(0.05 * k, 2) for k in range(1, 20)]
@@ -91,7 +90,7 @@ THRESHOLDS = [round(0.05 * k, 2) for k in range(1, 20)]
 SELECT threshold, sum((y='R' AND p_r >= threshold)::INT)/count(*)::DOUBLE - sum((y<>'R' AND p_r >= threshold)::INT)/count(*)::DOUBLE*threshold/(1-threshold) AS net_benefit
 FROM scored, th GROUP BY threshold""", floats="threshold net_benefit")
 def _(t):
-    return M.decision_curve(scored(t), Y == "R", F.col("p_r"), THRESHOLDS)
+    return M.decision_curve(scored(t), F.col("y") == "R", F.col("p_r"), THRESHOLDS)
 
 
 @query("me10_kappa", f"""WITH {SCORED}, {cells_sql('y', 's')}, m AS (SELECT sum(tp)/sum(support) AS po, sum(support*predicted)::DOUBLE/(sum(support)::DOUBLE*sum(support)) AS pe FROM classes)
@@ -144,7 +143,7 @@ def _(t):
 @query("me15_disagreement_examples", f"""WITH {SCORED} SELECT t, s, y, qty, price, conf FROM scored WHERE t <> s ORDER BY conf DESC, price, qty, disc, tax, okey, lno, pkey LIMIT 20""", floats="qty price conf")
 def _(t):
     order = [F.desc("conf"), *[F.col(c) for c in ("price", "qty", "disc", "tax", "okey", "lno", "pkey")]]
-    return M.examples(scored(t), T != S, 20, order, ["okey", "lno", "pkey", "skey"]).select("t", "s", "y", "qty", "price", "conf")
+    return M.examples(scored(t), F.col("t") != F.col("s"), 20, order, ["okey", "lno", "pkey", "skey"]).select("t", "s", "y", "qty", "price", "conf")
 
 
 @query("me16_disagreement_profile", f"""WITH {SCORED}, l AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {f} AS value, (t<>s)::INT AS flag FROM scored" for f in FEATURES)}),
@@ -154,7 +153,7 @@ SELECT feature, abs(avg(value) FILTER (flag=1)-avg(value) FILTER (flag=0)) AS me
  count_if(flag=1 AND (value < q1-1.5*(q3-q1) OR value > q3+1.5*(q3-q1))) AS outliers FROM l JOIN q USING (feature) GROUP BY feature""",
        floats="mean_gap f_score correlation", ints="outliers")
 def _(t):
-    return M.disagreement_profile(scored(t), FEATURES, T != S)
+    return M.disagreement_profile(scored(t), FEATURES, F.col("t") != F.col("s"))
 
 
 @query("me17_subgroups", f"""WITH {SCORED}, l AS (SELECT 'status' AS attribute, status AS "group", y, s FROM scored UNION ALL SELECT 'lno', lno::VARCHAR, y, s FROM scored),
@@ -167,7 +166,7 @@ def _(t):
 
 @query("me18_bootstrap_accuracy")
 def _(t):
-    return M.bootstrap_accuracy(scored(t), S == Y, ["okey", "lno", "pkey", "skey", "price", "qty"])
+    return M.bootstrap_accuracy(scored(t), F.col("s") == F.col("y"), ["okey", "lno", "pkey", "skey", "price", "qty"])
 
 
 @query("me19_utility", f"""WITH {SCORED}, r AS (SELECT status, y, count(*) AS sup, count_if(y=s) AS tp FROM scored GROUP BY 1, 2),
@@ -201,8 +200,8 @@ SELECT skey, 'hits' AS column_name, a.hits AS left_value, b.hits AS right_value
 UNION ALL SELECT skey, 'n', a.n, b.n FROM a JOIN b USING (skey) WHERE abs(a.n::DOUBLE-b.n::DOUBLE) > 1""")
 def _(t):
     rows = scored(t)
-    left = rows.groupBy("skey").agg(F.count(F.lit(1)).alias("n"), F.sum((S == Y).cast("int")).alias("hits"), F.lit(0.1).alias("seconds"))
-    right = rows.groupBy("skey").agg(F.count(F.lit(1)).alias("n"), F.sum((T == Y).cast("int")).alias("hits"), F.lit(0.2).alias("seconds"))
+    left = rows.groupBy("skey").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("s") == F.col("y")).cast("int")).alias("hits"), F.lit(0.1).alias("seconds"))
+    right = rows.groupBy("skey").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("t") == F.col("y")).cast("int")).alias("hits"), F.lit(0.2).alias("seconds"))
     return M.frame_differences(left, right, ["skey"], ignore=["seconds"], tol=1.0)
 
 
