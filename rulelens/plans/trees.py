@@ -412,3 +412,26 @@ g AS (SELECT previous, max_nodes, avg(d) AS delta, var_samp(d) AS v, count(d) AS
 SELECT previous, max_nodes, delta, j, at_cap, t, t > {T_CRIT} AND delta > 0 AS supported, CASE WHEN at_cap < 0.5 THEN 'not_saturated' WHEN t > {T_CRIT} AND delta > 0 THEN 'expand' ELSE 'plateau' END AS decision FROM u""", floats="delta at_cap t", ints="previous max_nodes j")
 def _(t):
     return G.capacity_steps(tuning(t), T_CRIT, 0.5)
+
+
+@query("tr11_stop_reasons", f"""WITH {SCORED}, nd AS (SELECT lno*10+leaf AS node_id, t AS label, count(*) AS n FROM scored GROUP BY 1, 2), d AS (SELECT node_id, sum(n) AS rows, max(n)/sum(n) AS fidelity, sum(n)/(SELECT count(*) FROM scored) AS reach FROM nd GROUP BY 1),
+l AS (SELECT *, CASE WHEN fidelity >= 0.85 THEN 'PURE' WHEN reach < 0.03 THEN 'MIN_SAMPLES' END AS stop FROM d)
+SELECT stop, count(*) AS leaves, round(sum(reach), 6) AS reach, CASE WHEN (SELECT count(*) FROM l WHERE stop IS NULL) = 0 THEN 'stump' WHEN (SELECT count(*) FROM l WHERE stop IS NULL) <= 2 THEN 'very_small' ELSE 'grown' END AS diagnosis FROM l WHERE stop IS NOT NULL GROUP BY 1""", floats="reach", ints="leaves")
+def _(t):
+    rows = TR.node_distribution(scored(t).withColumn("node", F.col("lno") * 10 + F.col("leaf")), "node", "t")
+    log = rows.withColumn("stop", F.when(F.col("fidelity") >= 0.85, "PURE").when(F.col("reach") < 0.03, "MIN_SAMPLES"))
+    return G.stop_summary(log)
+
+
+MEDIANS = SCORED + """, md AS (SELECT status, lno || '/' || leaf AS path, 'price <= ' || (floor(quantile_cont(price, 0.5)/2000)*2000)::BIGINT AS test FROM scored WHERE NOT (status = 'O' AND lno = 7 AND leaf = 3) GROUP BY status, lno, leaf)"""
+
+
+@query("tr35_node_choices", f"""WITH {MEDIANS} SELECT path, a.test AS test_a, b.test AS test_b, CASE WHEN a.test IS NULL THEN 'only_b' WHEN b.test IS NULL THEN 'only_a' WHEN a.test = b.test THEN 'same' ELSE 'changed' END AS state
+FROM (SELECT path, test FROM md WHERE status = 'F') a FULL JOIN (SELECT path, test FROM md WHERE status = 'O') b USING (path)""")
+def _(t):
+    """Median splits of the same nodes in two halves of the data."""
+    from rulelens.functions.ordering import exact_quantiles
+    rows = scored(t).withColumn("path", F.concat_ws("/", "lno", "leaf")).filter(~((F.col("status") == "O") & (F.col("path") == "7/3")))
+    mid = exact_quantiles(rows, "price", {"m": 0.5}, ["status", "path"])
+    tests = mid.select("status", "path", F.concat(F.lit("price <= "), (F.floor(F.col("m") / 2000) * 2000).cast("long").cast("string")).alias("test"))
+    return TR.node_differences(tests.filter("status = 'F'").drop("status"), tests.filter("status = 'O'").drop("status"))
