@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rulelens.functions.lineage import cut
 from rulelens.functions.ordering import quantile_grid, running_sums, with_hash_rank, exact_quantiles
-from rulelens.functions.shapes import add, as_text, failed_names, hits, long_form, ratio, rows_of_structs, share, unions
+from rulelens.functions.shapes import add, as_text, hits, long_form, ratio, share, unions
 
 # fixed values: missing markers of the contract rules and of the schema rules
 CONTRACT_MISSING = ("", "?", "na", "n/a", "null")

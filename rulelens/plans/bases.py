@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rulelens.functions.shapes import unions
 from rulelens.operators.trees import RuleTree
 from rulelens.plans.registry import Tables
 

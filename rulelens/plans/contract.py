@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rulelens.functions.shapes import as_text, long_form
+from rulelens.functions.shapes import long_form
 from rulelens.operators import contract as C
-from rulelens.plans.bases import CASES, OBSERVED, RAW_COLUMNS, RAW_TEXT, SCORED, cases, observed, raw_text, scored
+from rulelens.plans.bases import CASES, OBSERVED, RAW_COLUMNS, RAW_TEXT, cases, observed, raw_text
 from rulelens.plans.registry import query
 
 MISS = "('', '?', 'na', 'n/a', 'null')"

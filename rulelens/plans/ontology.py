@@ -8,7 +8,7 @@ from rulelens.functions.shapes import unions
 from rulelens.operators import derived as D
 from rulelens.operators import ontology as ON
 from rulelens.operators import prep as P
-from rulelens.plans.bases import FEATURES, JUDGED, OBSERVED, RUNS, SCORED, judged, observed, runs, scored
+from rulelens.plans.bases import FEATURES, OBSERVED, RUNS, observed, runs
 from rulelens.plans.registry import query
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rulelens.operators import growth as G
 from rulelens.operators import sampling as SM
 from rulelens.operators.splits import repeated_folds
-from rulelens.plans.bases import CASE_CLASSES, CASE_FEATURES, CLASSES, FEATURES, JUDGED, SCORED, SURROGATE, case_teacher, cases, judged, scored, teacher_class, with_teacher
+from rulelens.plans.bases import CASE_FEATURES, CLASSES, FEATURES, JUDGED, SCORED, SURROGATE, case_teacher, judged, scored, teacher_class, with_teacher
 from rulelens.plans.registry import query
 
 PROBS = {"A": "p_a", "N": "p_n", "R": "p_r"}

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from rulelens.functions.lineage import new_folder
 from rulelens.functions.shapes import unions
-from rulelens.operators import metrics as M
 from rulelens.operators import prep as P
-from rulelens.plans.bases import FEATURES, OBSERVED, RUNS, SCORED, judged, observed, runs, scored
+from rulelens.plans.bases import FEATURES, RUNS, SCORED, judged, runs, scored
 from rulelens.plans.prep import mi_sql
 from rulelens.plans.registry import query
 from rulelens.sources import results as RS

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rulelens.functions import pvalues as PV
 from rulelens.functions.hashing import gaussian
 from rulelens.operators import resampling as R
 from rulelens.operators import statistics as ST
-from rulelens.plans.bases import FEATURES, RUNS, SCORED, SURROGATE, predictions, runs, scored
+from rulelens.plans.bases import FEATURES, RUNS, SCORED, SURROGATE, runs, scored
 from rulelens.plans.registry import query
 
 CONTRASTS = [dict(name="architecture", a="core", b="plain"), dict(name="incremental", a="full", b="core"), dict(name="negative_control", a="full", b="shuffled"),
