@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -63,3 +66,66 @@ SMALL_ROWS = 10_000
 def beside(df: DataFrame, few: DataFrame, on: Column) -> DataFrame:
     """Left join with a table of one row a group; it is broadcast only if a count shows that it is small."""
     return df.join(F.broadcast(few) if few.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else few, on, "left")
+
+
+def runs(df: DataFrame, key: list[str], finer: list[str]) -> DataFrame:
+    """``df`` in order of key and finer key, each row with what its two neighbours tell.
+
+    ``many``: another row has the same key and finer key. ``split``: a neighbour has the same key and another finer key, so
+    that every pair of finer keys of a key is present among the split rows. ``edge``: first or last row of its task, whose
+    neighbour there is unknown. Rows are range-partitioned and streamed, so a key however frequent is spread over tasks.
+    """
+    shape = T.StructType([*df.schema.fields, *[T.StructField(c, T.BooleanType(), False) for c in ("many", "split", "edge")]])
+
+    def known(batch: pa.RecordBatch, before: tuple | None, after: tuple | None) -> pa.RecordBatch:
+        """``batch`` with its flags; ``before`` and ``after`` are the keys of the rows around it, if the task has them."""
+        same = []
+        for names, part in ((key, slice(0, len(key))), (finer, slice(len(key), None))):
+            equal = np.ones(batch.num_rows + 1, dtype=bool)  # row i and the one before it
+            for c, lo, hi in zip(names, before[part] if before else names, after[part] if after else names):
+                values = batch.column(c).to_numpy(zero_copy_only=False)
+                equal[1:-1] &= values[1:] == values[:-1]
+                equal[0] &= before is not None and values[0] == lo
+                equal[-1] &= after is not None and values[-1] == hi
+            same.append(equal)
+        twin, cousin = same[0] & same[1], same[0] & ~same[1]
+        edge = np.zeros(batch.num_rows, dtype=bool)
+        edge[-1] |= after is None
+        edge[0] |= before is None
+        flags = [twin[1:] | twin[:-1], cousin[1:] | cousin[:-1], edge]
+        return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, flags)], [*batch.schema.names, "many", "split", "edge"])
+
+    def ends(batch: pa.RecordBatch, at: int) -> tuple:
+        return tuple(batch.column(c)[at].as_py() for c in [*key, *finer])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, None
+        for b in batches:
+            if b.num_rows:
+                if held is not None:
+                    yield known(held, before, ends(b, 0))
+                    before = ends(held, -1)
+                held = b
+        if held is not None:
+            yield known(held, before, None)
+
+    dealt = df.repartitionByRange(*key, *finer).sortWithinPartitions(*key, *finer)
+    return by_batch(dealt, build, shape)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written; else they stay until memory runs short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def saved_by(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``df`` as a written table dealt by ``key``, so that later joins on the key do not move it again."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = new_folder(spark, label)
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", folder).option("compression", "zstd").option("parquet.block.size", ROW_GROUP).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved: the name is not needed any more
+    spark.sql(f"DROP TABLE {name}")
+    return table

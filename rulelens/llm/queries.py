@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulelens.llm import media, mixing, packing, sharding, tokenindex
+from rulelens.llm import media, mixing, neardup, packing, sharding, suffix, tokenindex
 from rulelens.llm.common import documents
 
 END_ID = 2
@@ -31,6 +31,10 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
 
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, folder))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed, _ = mixing.replicate(documents(spark, folder))
     return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "copies", "copy", "place")
@@ -40,7 +44,12 @@ def op9_token_index(spark: SparkSession, folder: str) -> DataFrame:
     return tokenindex.token_records(documents(spark, folder), vocabulary(), END_ID).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.repeated_bytes(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_media": op1_media, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op7_mixing": op7_mixing, "op9_token_index": op9_token_index,
+    "op1_media": op1_media, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op6_near_duplicates": op6_near_duplicates, "op7_mixing": op7_mixing, "op9_token_index": op9_token_index,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES = {"op4_sharding": sharding.SHARDS_SQL, "op7_mixing": mixing.MIX_SQL}
+ORACLES = {"op4_sharding": sharding.SHARDS_SQL, "op6_near_duplicates": neardup.NEAR_SQL, "op7_mixing": mixing.MIX_SQL}
