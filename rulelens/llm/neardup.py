@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rulelens.llm.common import by_batch, runs, saved, tidy
+from rulelens.llm.common import by_batch, fresh, runs, saved, tidy
 from rulelens.llm.graph import components
 
 WORDS = 5
@@ -88,19 +88,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t, hashes) for t in b.column("text").to_pylist()]
         sketches = [sketch(s) if len(s) else None for s in sets]
         arrays = [
-            b.column("doc_id"), b.column("rid"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+            b.column("doc_id"), b.column("rid"), b.column("tid"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
             pa.array([None if k is None else bands(k) for k in sketches], pa.list_(pa.int64())), pa.array([None if k is None else mix(k).astype(np.uint8).tobytes() for k in sketches], pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "rid", "node", "n", "bands", "bytes"])
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "rid", "tid", "node", "n", "bands", "bytes"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, rid (finds the text again), node (128-bit hash of the shingle set; null for none), n, bands, sketch bytes."""
-    return by_batch(_with_rid(docs), _sign, "doc_id long, rid long, node binary, n long, bands array<long>, bytes binary")
+    """doc_id, rid (finds the text again), tid (hash of the text), node (128-bit hash of the shingle set; null for none), n, bands, sketch bytes."""
+    return by_batch(_with_rid(docs), _sign, "doc_id long, rid long, tid long, node binary, n long, bands array<long>, bytes binary")
 
 
 def _with_rid(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"), F.xxhash64("text").alias("tid"), "text")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,16 +207,12 @@ def _block_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: in
     return likely.join(sets, "node").groupBy(*by).applyInPandas(decide, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row: components of the links 100 * both >= percent * either.
+def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, tid, n, label and component_id of every row; rows of a group share the label, rows without words have none.
 
     Equal sets are one node, so copies never meet each other. Bands give buckets; rounds of stars join the bulk of every group
     with no more checks than rows; then each bucket that still holds different labels is searched wholly, in blocks. Every link
     counts only after a check on whole sets, so groups are exact but for links that no band shares (a chance of 3e-7 each).
-
-    Null, empty and blank texts: no shingles, linked with nothing, component_id = doc_id. Null doc_id: takes part, and is null
-    in a component only if all its ids are. Repeated rows: equal ids are all kept. Extra columns are ignored. An empty table
-    gives no rows. Very long texts are shingled whole.
     """
     spark = docs.sparkSession
     signed = saved(signatures(docs), "signatures")
@@ -248,11 +244,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     labels = components(last if links is None else links.union(last))
 
     smallest = nodes.select("node", "lo").join(labels, "node").groupBy("label").agg(F.min("lo").alias("component"))
-    groups = labels.join(smallest, "label").select("node", "component")
-    own = nodes.select("node", "lo").join(groups, "node", "left").select("node", F.coalesce("component", "lo").alias("component"))
-    out = signed.select("doc_id", "n", "node").join(own, "node", "left")
+    grouped = labels.join(smallest, "label").select("node", "label", "component")
+    own = nodes.select("node", "lo").join(grouped, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("component", "lo").alias("component"))
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return signed.select("doc_id", "tid", "n", "node").join(own, "node", "left").select("doc_id", "tid", "n", "label", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row: components of the links 100 * both >= percent * either.
+
+    Null, empty and blank texts: no shingles, linked with nothing, component_id = doc_id. Null doc_id: takes part, and is null
+    in a component only if all its ids are. Repeated rows: equal ids are all kept. Extra columns are ignored. An empty table
+    gives no rows. Very long texts are shingled whole.
+    """
+    out = groups(docs, percent)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest doc_id (a null one last), then of the least text hash.
+
+    Rows without words are linked with nothing and all stay, with their columns as they are.
+    """
+    key, tid, copies = fresh(docs, "key", "tid", "copies")
+    rows = groups(docs, percent)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tid"))
+    first = rows.where("label is not null").groupBy("label").agg(F.min(order).alias("r")).select(F.col("r.doc_id").alias("doc_id"), F.col("r.tid").alias("tid"))
+    counted = rows.where("label is not null").groupBy("doc_id", "tid").agg(F.count("*").alias("n"))
+    first = first.join(counted, first["doc_id"].eqNullSafe(counted["doc_id"]) & (first["tid"] == counted["tid"])).select(first["doc_id"], first["tid"], "n")
+    blank = rows.where("label is null").select("doc_id", "tid").distinct().withColumn("n", F.lit(1).cast("long"))
+    stay = first.union(blank).select(F.col("doc_id").alias(key), F.col("tid").alias(tid), F.col("n").alias(copies))
+    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(tid)))
+    twice = kept.where(F.col(copies) > 1).dropDuplicates([key, tid])  # rows repeated as a whole
+    return kept.where(F.col(copies) == 1).union(twice).drop(key, tid, copies)
 
 
 NEAR_SQL = r"""

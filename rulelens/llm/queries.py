@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulelens.llm import media, mixing, neardup, packing, sharding, suffix, tokenindex
+from rulelens.llm import fingerprints, langid, media, mixing, neardup, packing, quality, sharding, suffix, tokenindex
 from rulelens.llm.common import documents
 
 END_ID = 2
@@ -23,6 +23,14 @@ def op1_media(spark: SparkSession, folder: str) -> DataFrame:
     return media.media_digest(documents(spark, folder))
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(documents(spark, folder))
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.predict_quality(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards(documents(spark, folder))
 
@@ -40,6 +48,10 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "copies", "copy", "place")
 
 
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_neighbours(documents(spark, folder))
+
+
 def op9_token_index(spark: SparkSession, folder: str) -> DataFrame:
     return tokenindex.token_records(documents(spark, folder), vocabulary(), END_ID).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -49,7 +61,6 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_media": op1_media, "op4_sharding": op4_sharding, "op5_packing": op5_packing, "op6_near_duplicates": op6_near_duplicates, "op7_mixing": op7_mixing, "op9_token_index": op9_token_index,
-    "op10_suffix_dedup": op10_suffix_dedup,
+    q.__name__: q for q in (op1_media, op2_language, op3_quality, op4_sharding, op5_packing, op6_near_duplicates, op7_mixing, op8_fingerprints, op9_token_index, op10_suffix_dedup)
 }
 ORACLES = {"op4_sharding": sharding.SHARDS_SQL, "op6_near_duplicates": neardup.NEAR_SQL, "op7_mixing": mixing.MIX_SQL}

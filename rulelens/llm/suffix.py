@@ -218,13 +218,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     key, spans = fresh(docs, "text_id", "spans")
     few = removals(docs, length).select(F.col("text_id").alias(key), F.col("spans").alias(spans))
-    joined = docs.withColumn(key, text_id()).join(few, key, "left")
+    joined, columns = docs.withColumn(key, text_id()).join(few, key, "left"), docs.columns
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = [t if s is None else cut(t.encode(), s).decode("utf-8", "ignore") for t, s in zip(b.column("text").to_pylist(), b.column(spans).to_pylist())]
-            arrays = [pa.array(new, pa.string()) if c == "text" else b.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(arrays, docs.columns)
+            arrays = [pa.array(new, pa.string()) if c == "text" else b.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    out = by_batch(joined.select(*docs.columns, spans), build, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = by_batch(joined.select(*columns, spans), build, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ BLOCK_BYTES = 1 << 18  # ids of a block, unless one document alone has more
 KEYS_PER_BUCKET = 50_000
 GAMMA = 2.0  # slots of a level for each key that is left
 LEVELS = 48
-CACHE = 400_000  # pieces whose ids a worker keeps
+CACHE = 600_000  # words whose ids a worker keeps
 
 
 @lru_cache(maxsize=2)
@@ -32,6 +33,51 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+def _visible_bytes() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if it is visible, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Words(dict):
+    """Ids, as bytes, of words with what parts them from the word before: a space, or a line end kept as first character.
+
+    None for a word that begins or ends with white space, or is empty: its ids depend on what is around it.
+    """
+
+    VISIBLE = _visible_bytes()
+
+    def __init__(self, tokenizer, code: str, lead: str):
+        super().__init__()
+        self.tokenizer, self.code, self.lead = tokenizer, code, lead
+        self.marks = {m: self.pack(tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,\n"}
+
+    def pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def ids(self, lead: str, word: str) -> bytes:
+        if word.isalpha() and max(word) < "\u0250":  # one piece: straight to the model
+            piece = lead + word if word.isascii() else (lead + word).encode().decode("latin-1")
+            return self.pack([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.VISIBLE))])
+        return self.pack(self.tokenizer.encode(lead + word, add_special_tokens=False).ids)
+
+    def __missing__(self, word: str) -> bytes | None:
+        if len(self) >= CACHE:
+            self.clear()
+        bare = word[1:] if word[:1] == "\n" else word
+        if not bare or bare[0].isspace() or bare[-1].isspace():
+            value = None
+        elif len(bare) > 1 and bare[-1] in ".," and bare[-2].isalpha():  # a letter and a full stop are always cut apart
+            value = self[word[:-1]] + self.marks[bare[-1]]
+        elif bare is word:
+            value = self.ids(self.lead, word)
+        else:
+            value = self.marks["\n"] + self.ids("", bare)
+        self[word] = value
+        return value
+
+
 class Encoder:
     """Ids of whole texts, as bytes. Words that single spaces or line ends part are encoded once and kept.
 
@@ -42,34 +88,24 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.code = "I" if self.wide else "H"
         self.kind = "<u4" if self.wide else "<u2"
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        out = []
-        for i, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if i:
-                out.append("\n")
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
-            for w in words:
-                if not w or w[0].isspace() or w[-1].isspace():
-                    return [text]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known, cut = self.known, [self.pieces(t) if t else [] for t in texts]
-        new = list({p for c in cut for p in c if p not in known})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[p] = np.array(e.ids, dtype=self.kind).tobytes()
-        out = [b"".join([known[p] for p in c]) for c in cut]
-        for c in cut:  # a whole text is not worth keeping
-            if len(c) == 1:
-                known.pop(c[0], None)
-        return out
+        self.first, self.later = Words(self.tokenizer, self.code, ""), Words(self.tokenizer, self.code, " ")
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        words = text.replace("\n", " \n").split(" ")
+        try:
+            return b"".join([self.first[words[0]], *map(self.later.__getitem__, words[1:])])
+        except TypeError:  # a word without ids of its own
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path)
 
 
 def write_blocks(docs: DataFrame, vocabulary: str, end_id: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -81,9 +117,9 @@ def write_blocks(docs: DataFrame, vocabulary: str, end_id: int = 2, block_bytes:
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, block = Encoder(vocabulary), TaskContext.get().partitionId(), 0
-        width = 4 if encoder.wide else 2
-        end = np.array([end_id], dtype=encoder.kind).tobytes()
+        encode, shard, block = encoder(vocabulary), TaskContext.get().partitionId(), 0
+        width = 4 if encode.wide else 2
+        end = np.array([end_id], dtype=encode.kind).tobytes()
         held: list[bytes] = []
         ids: list[int | None] = []
 
@@ -94,8 +130,8 @@ def write_blocks(docs: DataFrame, vocabulary: str, end_id: int = 2, block_bytes:
 
         size = 0
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for doc_id, data in zip(b.column("doc_id").to_pylist(), encoder.encode(texts)):
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                data = encode.encode(text.as_py() or "")
                 if held and size + len(data) > block_bytes:
                     yield flush()
                     held, ids, size, block = [], [], 0, block + 1
