@@ -68,12 +68,13 @@ def beside(df: DataFrame, few: DataFrame, on: Column) -> DataFrame:
     return df.join(F.broadcast(few) if few.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else few, on, "left")
 
 
-def runs(df: DataFrame, key: list[str], finer: list[str]) -> DataFrame:
+def runs(df: DataFrame, key: list[str], finer: list[str], ties: list[str]) -> DataFrame:
     """``df`` in order of key and finer key, each row with what its two neighbours tell.
 
     ``many``: another row has the same key and finer key. ``split``: a neighbour has the same key and another finer key, so
     that every pair of finer keys of a key is present among the split rows. ``edge``: first or last row of its task, whose
-    neighbour there is unknown. Rows are range-partitioned and streamed, so a key however frequent is spread over tasks.
+    neighbour there is unknown. Rows are range-partitioned by the keys and ``ties``, which tell rows of equal keys apart, and
+    streamed, so that a key however frequent is spread over tasks. The rows are read twice: ``df`` had better be a table.
     """
     shape = T.StructType([*df.schema.fields, *[T.StructField(c, T.BooleanType(), False) for c in ("many", "split", "edge")]])
 
@@ -109,8 +110,8 @@ def runs(df: DataFrame, key: list[str], finer: list[str]) -> DataFrame:
         if held is not None:
             yield known(held, before, None)
 
-    dealt = df.repartitionByRange(*key, *finer).sortWithinPartitions(*key, *finer)
-    return by_batch(dealt, build, shape)
+    order = [*key, *finer, *ties]
+    return by_batch(df.repartitionByRange(*order).sortWithinPartitions(*order), build, shape)
 
 
 def tidy(spark: SparkSession) -> None:

@@ -219,7 +219,7 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     nodes = saved(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("lo"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bytes").alias("bytes")), "nodes")
     each = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = F.col("many") | F.col("edge")  # a bucket that ends a task's rows may go on in the next
-    rows = saved(runs(each.select("bucket", "band", "node", "n"), ["bucket"], ["band"]).where(shared).drop("many", "split", "edge"), "buckets")
+    rows = saved(runs(each.select("bucket", "band", "node", "n"), ["bucket"], ["band"], ["node"]).where(shared).drop("many", "split", "edge"), "buckets")
     tidy(spark)
     wanted = rows.select("node").distinct().join(nodes.select("node", "rid"), "node").select("rid").distinct()
     again = by_batch(_with_rid(docs).join(wanted, "rid", "left_semi"), _sets, "node binary, items binary")

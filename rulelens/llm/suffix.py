@@ -134,8 +134,8 @@ def repeated_windows(table: DataFrame, length: int = LENGTH) -> DataFrame:
     """(text_id, first, last): runs of window starts whose ``length`` bytes occur somewhere else too, in any distinct text."""
     spark, found, rows = table.sparkSession, [], table
     for size in LEVELS:
-        made = by_batch(rows, _rows(size, length), ROWS)
-        told = saved(runs(made, ["shared"], ["covered"]).where("many or split or edge"), f"windows-{size}")
+        made = saved(by_batch(rows, _rows(size, length), ROWS), f"nodes-{size}")
+        told = saved(runs(made, ["shared"], ["covered"], ["text_id", "at"]).where("many or split or edge"), f"windows-{size}")
         tidy(spark)
         span = (F.col("at") - F.col("hi")).alias("first"), (F.col("at") - F.col("lo")).alias("last")
         found.append(told.where("many and open").select("text_id", *span))
