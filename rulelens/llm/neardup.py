@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from rulelens.llm.common import by_batch, fresh, runs, saved, tidy
+from rulelens.llm.common import by_batch, by_group, fresh, runs, saved, tidy
 from rulelens.llm.graph import components
 
 WORDS = 5
@@ -145,16 +144,20 @@ def _star_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
-def _likely(pdf: pd.DataFrame, percent: int) -> Iterator[tuple[int, int]]:
+def _likely(rows: dict[str, list], percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of rows of one block pair with different labels, whose sketches do not rule out the threshold, and that share no
     earlier band."""
-    side, label = pdf["side"].to_numpy(), pd.factorize(pdf["label"])[0]
-    codes = np.frombuffer(b"".join(pdf["bytes"]), np.uint8).reshape(len(pdf), -1)
-    keys, band, n = np.stack(pdf["bands"].to_list()), int(pdf["band"].iloc[0]), pdf["n"].to_numpy()
+    numbers: dict[bytes, int] = {}
+    label = np.array([numbers.setdefault(x, len(numbers)) for x in rows["label"]])
+    if len(numbers) < 2:
+        return
+    side, n, band = np.array(rows["side"]), np.array(rows["n"]), rows["band"][0]
+    codes = np.frombuffer(b"".join(rows["bytes"]), np.uint8).reshape(len(n), -1)
+    keys = np.array(rows["bands"])
     share = percent / 100
     least = (share - SURE * (share * (1 - share) / codes.shape[1]) ** 0.5) * codes.shape[1]
-    alone = pdf["p"].iloc[0] == pdf["q"].iloc[0]
-    left, right = (np.arange(len(pdf)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    alone = rows["p"][0] == rows["q"][0]
+    left, right = (np.arange(len(n)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     for i in left:
         j = right[right > i] if alone else right
         j = j[(label[j] != label[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent)]
@@ -176,35 +179,32 @@ def _block_links(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: in
     dealt = rows.join(counts, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("yours", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("bucket", "band", F.least("mine", "yours").alias("p"), F.greatest("mine", "yours").alias("q"), F.when(F.col("mine") > F.col("yours"), 1).otherwise(0).alias("side"), "node", "label", "n")
     dealt = dealt.join(nodes.select("node", "bands", "bytes"), "node")
-    shape = dealt.select("bucket", "band", "p", "q", "side", "node", "label", "n", "bands", "bytes").schema
+    dealt = dealt.select("bucket", "band", "p", "q", "side", "node", "label", "n", "bands", "bytes")
 
-    def partners(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "node"], kind="stable").reset_index(drop=True)
-        wanted = np.zeros(len(pdf), dtype=bool)
-        for i, j in _likely(pdf, percent):
-            wanted[i] = wanted[j] = True
-        return pdf[wanted]
+    def partners(rows: dict[str, list]) -> list[tuple]:
+        wanted = sorted({i for pair in _likely(rows, percent) for i in pair})
+        return [tuple(c[i] for c in rows.values()) for i in wanted]
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "node"], kind="stable").reset_index(drop=True)
-        items = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
-        root, out = {x: x for x in pdf["label"]}, []
+    def decide(rows: dict[str, list]) -> list[tuple]:
+        items = [np.frombuffer(x, np.uint64) for x in rows["items"]]
+        root, out = {x: x for x in rows["label"]}, []
 
-        def find(x):
+        def find(x: bytes) -> bytes:
             while root[x] != x:
                 root[x] = x = root[root[x]]
             return x
 
-        for i, j in _likely(pdf, percent):
-            x, y = find(pdf["label"][i]), find(pdf["label"][j])
+        for i, j in _likely(rows, percent):
+            x, y = find(rows["label"][i]), find(rows["label"][j])
             if x != y and linked(items[i], items[j], percent):
                 root[x] = y
-                out.append((pdf["node"][i], pdf["node"][j]))
-        return pd.DataFrame(out, columns=["a", "b"])
+                out.append((rows["node"][i], rows["node"][j]))
+        return out
 
-    by = ["bucket", "band", "p", "q"]
-    likely = saved(dealt.select(*shape.names).groupBy(*by).applyInPandas(partners, shape), "likely")
-    return likely.join(sets, "node").groupBy(*by).applyInPandas(decide, "a binary, b binary")
+    by, order = ["bucket", "band", "p", "q"], ["side", "node"]
+    likely = saved(by_group(dealt, by, order, partners, dealt.schema), "likely")
+    pairs = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    return by_group(likely.join(sets, "node").select(*dealt.columns, "items"), by, order, decide, pairs)
 
 
 def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
