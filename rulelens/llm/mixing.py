@@ -45,10 +45,11 @@ def replicate(docs: DataFrame, temperature: float = TEMPERATURE, weights: DataFr
     The order comes from a sampled range partition of hashed keys, so no source, however large, lies in one task.
     """
     rate, copies, copy, place = fresh(docs, "rate", "copies", "copy", "place")
-    few = rates(docs, temperature, weights).select(F.col("source").alias("_of"), F.col("rate").alias("_rate"), F.col("cdf").alias("_cdf"))
+    of, mean, cdf = fresh(docs, "of", "mean", "cdf")
+    few = rates(docs, temperature, weights).select(F.col("source").alias(of), F.col("rate").alias(mean), F.col("cdf").alias(cdf))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    drawn = beside(docs, few, docs["source"].eqNullSafe(F.col("_of")))
-    drawn = drawn.withColumn(copies, F.size(F.filter("_cdf", lambda c: c <= unit(key, seed=seed)))).withColumn(rate, F.col("_rate")).drop("_of", "_rate", "_cdf")
+    drawn = beside(docs, few, docs["source"].eqNullSafe(F.col(of)))
+    drawn = drawn.withColumn(copies, F.size(F.filter(cdf, lambda c: c <= unit(key, seed=seed)))).withColumn(rate, F.col(mean)).drop(of, mean, cdf)
     each = drawn.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
     each = each.withColumn(place, F.substring(F.md5(F.concat_ws("|", key, F.col(copy).cast("string"), F.lit(f"place {seed}"))), 1, 16))
     return each.repartitionByRange(F.col(place)).sortWithinPartitions(place), [rate, copies, copy, place]

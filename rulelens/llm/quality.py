@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention |
     rate = F.when(F.col("y") == 1, min(1.0, sample / counts[1.0])).otherwise(min(1.0, sample / counts[0.0]))
     drawn = known.withColumn("rate", rate).where(unit("doc_id", seed=3) < F.col("rate")).select(F.col("doc_id").alias("of"), "y", (1 / F.col("rate")).alias("sure"))
     drawn = F.broadcast(drawn)  # at most the sample
-    got = by_batch(docs.join(drawn, F.col("doc_id").cast("long") == F.col("of")).select("y", "sure", "text"), _encode_batches, "y double, sure double, rows binary").collect()
+    got = by_batch(docs.select("doc_id", "text").join(drawn, F.col("doc_id").cast("long") == F.col("of")).select("y", "sure", "text"), _encode_batches, "y double, sure double, rows binary").collect()
     got.sort(key=lambda r: (r["y"], bytes(r["rows"])))  # the same sums whatever the order of tasks
     bags = [np.frombuffer(r["rows"], "<f4").reshape(-1, FEATURES).astype(float) for r in got]
     if len({r["y"] for r in got}) < 2:
