@@ -17,8 +17,8 @@ from rulelens.functions.shapes import add, as_text, hits, long_form, ratio, shar
 # fixed values: missing markers of the contract rules and of the schema rules
 CONTRACT_MISSING = ("", "?", "na", "n/a", "null")
 SCHEMA_MISSING = ("", "?", "na", "n/a", "nan", "null", "none")
-# fixed values: token pairs read as booleans
-BOOLEAN_SETS = (("true", "false"), ("yes", "no"), ("y", "n"), ("t", "f"), ("sim", "nao"), ("si", "no"))
+# fixed values: tokens read as booleans, the true one of each set first
+BOOLEAN_SETS = (("1", "0"), ("true", "false"), ("yes", "no"), ("y", "n"), ("t", "f"), ("sim", "nao", "não"))
 # fixed values: thresholds of the kind rules
 CODE_MAX_UNIQUE, DISCRETE_MAX_UNIQUE, DATE_SHARE, ID_SHARE, TEXT_LENGTH = 10, 20, 0.9, 0.98, 40
 LONG_VALUE = 256

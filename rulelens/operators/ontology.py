@@ -147,42 +147,60 @@ def _nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
 
 
-def taxonomy_depth(edges: DataFrame, max_levels: int = 64) -> DataFrame:
-    """(node, longest, shortest, relative): chain lengths to a root; a cycle stops at ``max_levels``."""
+def _paths(steps: DataFrame) -> DataFrame:
+    """(src, dst, longest, shortest): lengths of all chains of steps, by joining chains with chains.
+
+    Chains double each round, so there are as many rounds as the longest chain's length has bits; a cycle is an error.
+    """
+    paths, last = cut(steps.select("src", "dst").distinct().withColumns({"longest": F.lit(1), "shortest": F.lit(1)})), None
+    while True:
+        mark = paths.agg(F.count(F.lit(1)).alias("n"), F.sum("longest").alias("s"), F.coalesce(F.bool_or(F.col("src") == F.col("dst")), F.lit(False)).alias("cycle")).first()
+        if mark["cycle"]:
+            raise ValueError("the hierarchy has a cycle")
+        if mark == last:
+            return paths
+        last = mark
+        on = paths.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("longest").alias("more"), F.col("shortest").alias("less"))
+        joined = paths.join(on, "dst").select("src", F.col("end").alias("dst"), (F.col("longest") + F.col("more")).alias("longest"), (F.col("shortest") + F.col("less")).alias("shortest"))
+        paths = cut(paths.unionByName(joined).groupBy("src", "dst").agg(F.max("longest").alias("longest"), F.min("shortest").alias("shortest")))
+
+
+def taxonomy_depth(edges: DataFrame) -> DataFrame:
+    """(node, longest, shortest, relative): chain lengths to a root; a cycle is an error."""
     up = edges.select("src", "dst").distinct()
-    nodes = _nodes(up)
-    roots = nodes.join(up.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(0).alias("longest"), F.lit(0).alias("shortest"))
-    state = roots
-    seen = -1
-    for _ in range(max_levels):
-        below = up.join(state.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg((F.max("longest") + 1).alias("longest"), (F.min("shortest") + 1).alias("shortest"))
-        state = cut(roots.unionByName(below))
-        # settled when neither the number of nodes nor the depths move any more
-        mark = state.agg(F.count(F.lit(1)).alias("n"), F.sum("longest").alias("s")).first()
-        if (mark["n"], mark["s"]) == seen:
-            break
-        seen = (mark["n"], mark["s"])
+    roots = _nodes(up).join(up.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    ends = _paths(up).join(roots.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    below = ends.groupBy(F.col("src").alias("node")).agg(F.max("longest").alias("longest"), F.min("shortest").alias("shortest"))
+    state = cut(roots.select("node", F.lit(0).alias("longest"), F.lit(0).alias("shortest")).unionByName(below))
     deepest = state.agg(F.max("shortest")).scalar()
     return state.withColumn("relative", ratio(F.col("shortest"), deepest, 0.0))
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, component): smallest reachable name over the given (symmetric) edges."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    nodes = _nodes(edges)
-    loops = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"))
-    around = both.unionByName(loops)
-    state, last = nodes.withColumn("component", F.col("node")), None
-    for _ in range(max_rounds):
-        state = cut(around.join(state.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("component")))
-        mark = state.agg(F.count_distinct("component").alias("k"), F.bit_xor(F.xxhash64("node", "component")).alias("h")).first()
-        if mark == last:
-            break
-        last = mark
-    return state
-
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): smallest reachable name over the given (symmetric) edges.
 
-def closure(edges: DataFrame, max_levels: int = 64) -> DataFrame:
+    Each round every component points to its smallest neighbour and pointers are followed to their ends by doubling, so a
+    chain needs few rounds however long it is.
+    """
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    state = _nodes(edges).withColumn("component", F.col("node"))
+    while True:
+        left = state.select(F.col("node").alias("src"), F.col("component").alias("at"))
+        right = state.select(F.col("node").alias("dst"), F.col("component").alias("to"))
+        met = both.join(left, "src").join(right, "dst")
+        points = cut(met.groupBy("at").agg(F.least("at", F.min("to")).alias("to")))
+        if points.filter("at <> to").isEmpty():
+            return state
+        moved = True
+        while moved:
+            ends = points.select(F.col("at").alias("to"), F.col("to").alias("end"))
+            points = cut(points.join(ends, "to").select("at", "to", "end"))
+            moved = not points.filter("to <> end").isEmpty()
+            points = points.select("at", F.col("end").alias("to"))
+        state = cut(state.join(points.withColumnRenamed("at", "component"), "component").select("node", F.col("to").alias("component")))
+
+
+def closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor, hops): upward closure with equivalent classes merged; hops count subsumption steps."""
     same = edges.filter("relation = 'equivalent'")
     group = components(same)
@@ -190,16 +208,13 @@ def closure(edges: DataFrame, max_levels: int = 64) -> DataFrame:
     lift = lambda df, c: df.join(group.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
     merged = lift(lift(up, "src"), "dst").filter("src <> dst").distinct()
     nodes = _nodes(edges).join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    state = nodes.select(F.col("component").alias("start"), F.col("component").alias("at"), F.lit(0).alias("hops")).distinct()
-    step = merged.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(1).alias("cost")).unionByName(
-        nodes.select(F.col("component").alias("at"), F.col("component").alias("to"), F.lit(0).alias("cost")).distinct())
-    size = -1
-    for _ in range(max_levels):
-        state = cut(state.join(step, "at").groupBy("start", F.col("to").alias("at")).agg(F.min(F.col("hops") + F.col("cost")).alias("hops")))
-        n = state.count()
-        if n == size:
-            break
-        size = n
+    state = nodes.select(F.col("component").alias("start"), F.col("component").alias("at"), F.lit(0).alias("hops")).unionByName(
+        merged.select(F.col("src").alias("start"), F.col("dst").alias("at"), F.lit(1).alias("hops"))).groupBy("start", "at").agg(F.min("hops").alias("hops"))
+    state, last = cut(state), None
+    while (mark := state.agg(F.count(F.lit(1)).alias("n"), F.sum("hops").alias("s")).first()) != last:  # chains double each round
+        last = mark
+        on = state.select(F.col("start").alias("at"), F.col("at").alias("to"), F.col("hops").alias("more"))
+        state = cut(state.join(on, "at").groupBy("start", F.col("to").alias("at")).agg(F.min(F.col("hops") + F.col("more")).alias("hops")))
     members = nodes.select(F.col("component").alias("at"), F.col("node").alias("ancestor"))
     starts = nodes.select(F.col("component").alias("start"), "node")
     return state.join(starts, "start").join(members, "at").filter("node <> ancestor").select("node", "ancestor", "hops")

@@ -249,11 +249,11 @@ def temperature_scaled(probs: Sequence[str], temperature: float) -> list[Column]
     return [p / total for p in powers]
 
 
-def soft_targets(df: DataFrame, key: Sequence[str], hard: str, probs: Mapping[str, str], temperature: float = 2.0, soft_weight: float = 0.6, hard_weight: float = 1.0, emphasis: float = 0.5,
-                 min_probability: float = 0.05, max_factor: float = 2.0) -> DataFrame:
+def soft_targets(df: DataFrame, key: Sequence[str], hard: str, probs: Mapping[str, str], temperature: float = 2.0, soft_weight: float = 0.35, hard_weight: float = 1.0, emphasis: float = 0.5,
+                 min_probability: float = 0.03, max_factor: float = 5.0) -> DataFrame:
     """Hard rows plus weighted soft rows, at most (max_factor - 1) x n of them, heaviest first.
 
-    The cap is found from the distribution of rounded masses, so no global sort of rows is needed.
+    The cap is found from the distribution of rounded masses and applied as one number, so rows are neither sorted nor joined.
     """
     k = len(probs)
     soft = dict(zip(probs, temperature_scaled(list(probs.values()), temperature)))
@@ -265,17 +265,17 @@ def soft_targets(df: DataFrame, key: Sequence[str], hard: str, probs: Mapping[st
     room = F.floor(df.agg(F.count(F.lit(1)) * (max_factor - 1)).scalar())
     counts = each.groupBy("mass").agg(F.count(F.lit(1)).alias("n"))
     cum = running_sums(counts, "mass", {"cum": "n"}, descending=True)
-    kept = each.join(cum.select("mass", "n", "cum"), "mass")
-    whole = kept.filter(F.col("cum") <= room).select(*key, "label", (F.col("p") * soft_weight * F.col("lift")).alias("weight"))
-    # rows sharing the mass at which the cap falls are taken in hash order
-    edge = kept.filter((F.col("cum") > room) & (F.col("cum") - F.col("n") < room))
-    edge = with_hash_rank(edge, "edge", [*key, "i"]).filter(F.col("cum") - F.col("n") + F.col("hash_rank") <= room)
-    part = edge.select(*key, "label", (F.col("p") * soft_weight * F.col("lift")).alias("weight"))
+    # one number decides: the mass at which the cap falls; only rows of that very mass are ranked, in hash order
+    edge = cum.filter((F.col("cum") > room) & (F.col("cum") - F.col("n") < room)).select("mass", (F.lit(room) - F.col("cum") + F.col("n")).alias("left")).first()
+    least = cum.filter(F.col("cum") <= room).agg(F.min("mass")).scalar()
+    weighted = lambda d: d.select(*key, "label", (F.col("p") * soft_weight * F.col("lift")).alias("weight"))
+    whole = weighted(each.filter(F.col("mass") >= least))
+    part = weighted(with_hash_rank(each.filter(F.col("mass") == edge["mass"]), "edge", [*key, "i"]).filter(F.col("hash_rank") <= edge["left"])) if edge else whole.limit(0)
     hard_rows = base.select(*key, F.col("__hard").alias("label"), F.lit(max(0.0, 1 - soft_weight) * hard_weight).alias("weight")).withColumn("kind", F.lit("hard"))
     return hard_rows.unionByName(whole.unionByName(part).withColumn("kind", F.lit("soft")))
 
 
-def hybrid_targets(df: DataFrame, key: Sequence[str], truth: str, probs: Mapping[str, str], confidence: Column, weights: tuple[float, float, float] = (0.5, 0.3, 0.2), min_probability: float = 0.05) -> DataFrame:
+def hybrid_targets(df: DataFrame, key: Sequence[str], truth: str, probs: Mapping[str, str], confidence: Column, weights: tuple[float, float, float] = (0.45, 0.45, 0.10), min_probability: float = 0.03) -> DataFrame:
     """True label, teacher mass and semantic confidence as weighted rows."""
     total = sum(weights)
     truth_rows = df.select(*key, F.col(truth).alias("label"), (weights[0] / total + F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)) * weights[2] / total).alias("weight"), F.lit("true").alias("kind"))

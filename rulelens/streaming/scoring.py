@@ -44,29 +44,25 @@ def windowed_fidelity(stream: DataFrame, ts: str, teacher: Column, surrogate: Co
     return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "agree", "teacher_only", "surrogate_only")
 
 
+def _bin(features: Sequence[str], edges: dict[str, Sequence[float]]) -> Column:
+    """Number of the feature's edges below the value; a missing value has no bin."""
+    place = F.lit(None).cast("int")
+    for f in features:
+        place = F.when(F.col("feature") == f, F.when(F.col("value").isNotNull(), F.lit(0) + sum((F.when(F.col("value") > float(e), 1).otherwise(0) for e in edges[f]), F.lit(0)))).otherwise(place)
+    return place
+
+
 def windowed_bins(stream: DataFrame, ts: str, features: Sequence[str], edges: dict[str, Sequence[float]], window: str, late: str) -> DataFrame:
     """Counts per (window, feature, bin); bins come from the reference, so state stays small."""
     rows = long_form(stream.withWatermark(ts, late).select(ts, *[F.col(f).cast("double").alias(f) for f in features]), [ts], features)
-    place = None
-    for f in features:
-        at = F.lit(0)
-        for e in edges[f]:
-            at = at + F.when(F.col("value") > float(e), 1).otherwise(0)
-        place = F.when(F.col("feature") == f, at) if place is None else place.when(F.col("feature") == f, at)
-    agg = rows.withColumn("bin", place).groupBy(F.window(ts, window).alias("w"), "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    agg = rows.withColumn("bin", _bin(features, edges)).filter("bin IS NOT NULL").groupBy(F.window(ts, window).alias("w"), "feature", "bin").agg(F.count(F.lit(1)).alias("n"))
     return agg.select(F.col("w.start").alias("window_start"), "feature", "bin", "n")
 
 
 def window_drift(windows: DataFrame, reference: DataFrame, features: Sequence[str], edges: dict[str, Sequence[float]]) -> DataFrame:
     """Largest gap of cumulative bin shares between each window and the reference (bins x windows rows)."""
     long = long_form(reference.select(*[F.col(f).cast("double").alias(f) for f in features]), [], features)
-    place = None
-    for f in features:
-        at = F.lit(0)
-        for e in edges[f]:
-            at = at + F.when(F.col("value") > float(e), 1).otherwise(0)
-        place = F.when(F.col("feature") == f, at) if place is None else place.when(F.col("feature") == f, at)
-    ref = long.withColumn("bin", place).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("r"))
+    ref = long.withColumn("bin", _bin(features, edges)).filter("bin IS NOT NULL").groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("r"))
     spans = windows.select("window_start").distinct()
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(b).alias("bin")) for f in features for b in range(len(edges[f]) + 1)]))
     grid = spans.select("window_start", cells.alias("c")).select("window_start", "c.*").join(windows, ["window_start", "feature", "bin"], "left").join(ref, ["feature", "bin"], "left").fillna(0, ["n", "r"])

@@ -94,3 +94,10 @@ def test_leaking_column_is_found(spark):
     df = spark.range(200).withColumns({"y": F.when(F.col("id") % 2 == 0, "a").otherwise("b"), "leak": (F.col("id") % 2).cast("double"), "noise": F.pmod(F.xxhash64("id"), F.lit(100)).cast("double")})
     got = {r["feature"]: r["leak"] for r in C.numeric_leakage(C.with_folds(df, ["id"], "y", 5, 1), ["leak", "noise"], "y").collect()}
     assert got == {"leak": True, "noise": False}
+
+
+def test_boolean_tokens_of_the_schema_rules(spark):
+    rows = [("1", "sim", "si", "t"), ("0", "não", "no", "f"), ("1", "nao", "si", "f")]
+    df = spark.createDataFrame(rows, "bit string, pt string, es string, tf string")
+    kinds = {r["column_name"]: r["kind"] for r in C.schema_kind(C.profile(C.column_values(df, df.columns))).collect()}
+    assert kinds["bit"] == kinds["tf"] == "boolean" and kinds["es"] == "categorical"

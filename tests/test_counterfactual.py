@@ -118,3 +118,13 @@ def test_match_blocking_loses_no_candidate(spark):
     b = a.select(F.col("feature").alias("entity"), F.col("a").alias("b"), F.col("ta").alias("tb"))
     full = a.crossJoin(b).filter(F.round(ON.name_score(F.col("a"), F.col("b"), F.col("ta"), F.col("tb")), 9) >= ON.TRACKED)
     assert got == {(r["feature"], r["entity"]) for r in full.collect()}
+
+
+def test_walks_follow_chains_of_any_length(spark):
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}", "subsumption") for i in range(100)]
+    edges = spark.createDataFrame(chain, "src string, dst string, relation string")
+    assert {r["component"] for r in ON.components(edges).collect()} == {"n000"}
+    assert {r["node"]: r["longest"] for r in ON.taxonomy_depth(edges).collect()} == {f"n{i:03d}": 100 - i for i in range(101)}
+    assert ON.closure(edges).count() == 101 * 100 // 2
+    with pytest.raises(ValueError):
+        ON.taxonomy_depth(spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string"))
