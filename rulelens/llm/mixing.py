@@ -23,8 +23,8 @@ def rates(docs: DataFrame, temperature: float = TEMPERATURE, weights: DataFrame
     else:
         given = weights.select(F.col("source").alias("_source"), "weight")
         sums = sums.join(given, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").fillna(0.0, ["weight"])
-    totals = sums.agg(F.sum("bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
-    sums = sums.join(F.broadcast(totals), F.col("all_weight") > 0).withColumn("rate", F.col("weight") / F.col("all_weight") * F.col("all_bytes") / F.col("bytes"))
+    total = sums.agg(F.sum("bytes").alias("bytes"), F.sum("weight").alias("weight")).first()
+    sums = sums.withColumn("rate", F.col("weight") / F.lit(total["weight"] or 1.0) * F.lit(total["bytes"] or 0) / F.col("bytes"))
     counts = sums.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int"))))
     run = Window.partitionBy("source").orderBy("k")  # as many rows as a draw can reach
     counts = counts.withColumn("log_k", F.sum(F.when(F.col("k") > 0, F.log("k")).otherwise(0.0)).over(run))
