@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rulelens.llm import mixing, neardup, packing, quality, suffix
 from rulelens.llm.common import documents, fresh, saved
 
+SIMILAR = 80  # percent of shared word shingles from which documents are near-duplicates here
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
@@ -19,7 +21,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    return neardup.one_of_each(docs)
+    return neardup.one_of_each(docs, SIMILAR)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
