@@ -574,7 +574,7 @@ def lexicographic_choice(results: DataFrame, by: Sequence[str], t_critical: floa
     return staged.select(*by, "config", "mean", "sd", "nodes", "delta", verdict.alias("verdict"))
 
 
-def choice_robustness(results: DataFrame, repeats: int, t_critical: float, ratio_: float, exact_limit: int = 2000, draws: int = 1000, seed: int = 7) -> DataFrame:
+def choice_robustness(results: DataFrame, repeats: int, t_critical: float, ratio_: float, exact_limit: int = 20_000, draws: int = 1000, seed: int = 7) -> DataFrame:
     """Win share of each candidate over every multiset of CV repeats, weighted as ordered resamples.
 
     Each distinct multiset is evaluated once, all of them in one job keyed by the multiset.  Beyond ``exact_limit``

@@ -122,7 +122,7 @@ def _(t):
     return fixed(t).withColumn("weighted", CF.gower(specs(t), weighted=True)).select("id", "candidate", "distance", "weighted")
 
 
-REF = f"ref AS (SELECT id, total/(th-tl) AS a, balance/(bh-bl) AS b, month/(mh-ml) AS c, nation/(nh-nl) AS d FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', id, '42')), id) AS rk FROM judged), lim WHERE rk <= 200)"
+REF = f"ref AS (SELECT id, total/(th-tl) AS a, balance/(bh-bl) AS b, month/(mh-ml) AS c, nation/(nh-nl) AS d FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', id, '42')), id) AS rk FROM judged), lim WHERE rk <= 2000)"
 
 
 @query("cf08_density", f"""WITH {FIXED}, {REF}, q AS (SELECT id AS qid, total/(th-tl) AS a, balance/(bh-bl) AS b, month/(mh-ml) AS c, nation/(nh-nl) AS d FROM fx WHERE candidate = 0),
@@ -130,7 +130,7 @@ loo AS (SELECT x.id, avg(dist) AS m FROM (SELECT x.id, (abs(x.a-y.a)+abs(x.b-y.b
 k AS (SELECT qid, avg(dist) AS m FROM (SELECT qid, (abs(q.a-y.a)+abs(q.b-y.b)+abs(q.c-y.c)+abs(q.d-y.d))/4 AS dist, row_number() OVER (PARTITION BY qid ORDER BY (abs(q.a-y.a)+abs(q.b-y.b)+abs(q.c-y.c)+abs(q.d-y.d))/4) AS r FROM q JOIN ref y ON y.id <> qid) WHERE r <= 5 GROUP BY 1)
 SELECT qid AS id, m AS knn_distance, m <= (SELECT quantile_cont(m, 0.95) FROM loo) AS plausible FROM k""", floats="knn_distance", ints="id")
 def _(t):
-    ref = reference_block(judged(t), "id", CASE_FEATURES, limit=200)
+    ref = reference_block(judged(t), "id", CASE_FEATURES)
     return CF.density(fixed(t).filter("candidate = 0"), ref, "id", specs(t)).select("id", "knn_distance", "plausible")
 
 
@@ -149,10 +149,9 @@ def _(t):
     return CF.proximity(fixed(t), specs(t)).select("id", "candidate", "l1", "l2", "weighted_l1", "l0")
 
 
-def chosen(t, share=0.01):
-    """The instance protocol: a stratified share of the orders, as tasks towards every other class."""
-    picked = stratified_share(judged(t).select("id", "cls", *CASE_FEATURES), ["id"], "cls", share)
-    tasks = CF.targets(picked, "cls", CASE_CLASSES)
+def chosen(t):
+    """Every order as a task towards every other class."""
+    tasks = CF.targets(judged(t).select("id", "cls", *CASE_FEATURES), "cls", CASE_CLASSES)
     return tasks.select(F.concat_ws(":", "id", "target").alias("task"), "id", "cls", "target", *[F.col(f).alias(f"o_{f}") for f in CASE_FEATURES])
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rulelens.operators import explain as EX
-from rulelens.operators.splits import stratified_share
 from rulelens.plans.bases import JUDGED, OBSERVED, SCORED, SURROGATE, judged, observed, scored
 from rulelens.plans.registry import query
 
@@ -40,21 +39,20 @@ def _(t):
     return EX.rule_examples(judged(t).select("id", "total", "month"), rules, ["id"], 5).select("rule", "id", "rank")
 
 
-@query("ex04_extrapolation", f"""WITH {OBSERVED}, m AS (SELECT min(price) AS pl, max(price) AS ph, min(qty) AS ql, max(qty) AS qh FROM observed WHERE status='F' AND qty < 45), o AS (SELECT concat_ws(',', CASE WHEN qty < ql OR qty > qh THEN 'qty' END, CASE WHEN price < pl OR price > ph THEN 'price' END) AS outside FROM observed, m WHERE status='O')
+@query("ex04_extrapolation", f"""WITH {OBSERVED}, m AS (SELECT min(price) AS pl, max(price) AS ph, min(qty) AS ql, max(qty) AS qh FROM observed WHERE status='F' AND qty < 45), o AS (SELECT concat_ws(',', CASE WHEN qty < ql OR qty > qh THEN 'qty' END, CASE WHEN price < pl OR price > ph THEN 'price' END) AS outside FROM observed, m WHERE NOT (status='F' AND qty < 45))
 SELECT outside, outside <> '' AS is_extrapolation, count(*) AS n FROM o GROUP BY 1, 2""", ints="n")
 def _(t):
-    rows = observed(t)
-    out = EX.extrapolation(rows.filter("status = 'O'"), rows.filter("status = 'F' AND qty < 45"), ["qty", "price"])
+    rows, known = observed(t), "status = 'F' AND qty < 45"  # the training side; all other rows are judged
+    out = EX.extrapolation(rows.filter(f"NOT ({known})"), rows.filter(known), ["qty", "price"])
     return out.groupBy(F.concat_ws(",", "outside").alias("outside"), "is_extrapolation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ex05_similar_examples", """WITH e AS (SELECT vec_id, label, embedding[1:8]::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query, v FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', vec_id, '42')), vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM e) WHERE r <= greatest(1, ceil(n*0.1))),
+@query("ex05_similar_examples", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query, v FROM e),
 d AS (SELECT query, vec_id AS neighbour, list_distance(q.v, e.v) AS distance FROM q, e), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS rank FROM d) SELECT query, neighbour, distance, rank, 1/(1+distance) AS similarity FROM r WHERE rank <= 3""", floats="distance similarity", ints="query neighbour rank")
 def _(t):
-    names = [f"v{i}" for i in range(8)]
-    rows = t.embeddings.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
-    picked = stratified_share(rows.select("vec_id", "label", *names), ["vec_id"], "label", 0.1)
-    return EX.similar_examples(picked, rows, names, "vec_id", 3)
+    names = [f"v{i}" for i in range(len(t.embeddings.first()["embedding"]))]
+    rows = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return EX.similar_examples(rows, rows, names, "vec_id", 3)
 
 
 @query("ex06_decision_paths", f"""WITH {SCORED} SELECT CASE leaf WHEN 3 THEN 'not 1-of-1(price <= 60000)' WHEN 4 THEN '1-of-1(price <= 60000) & 1-of-1(qty <= 28)' ELSE '1-of-1(price <= 60000) & not 1-of-1(qty <= 28)' END AS path, s, count(*) AS n FROM scored GROUP BY 1, 2""", ints="n")

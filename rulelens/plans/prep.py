@@ -64,15 +64,15 @@ def _(t):
     return t.spark.createDataFrame([(x["encoded"], x["source"]) for x in lineage], "encoded string, source string")
 
 
-@query("fe06_oversample", "SELECT l_returnflag AS label, max(n) OVER () AS n FROM (SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' OR l_quantity > 20 GROUP BY 1)", ints="n")
+@query("fe06_oversample", "SELECT l_returnflag AS label, max(n) OVER () AS n FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1)", ints="n")
 def _(t):
-    rows = observed(t).filter("y = 'A' OR qty > 20").select("okey", "lno", "pkey", "skey", "price", "y")
+    rows = observed(t).select("okey", "lno", "pkey", "skey", "price", "y")
     return P.oversample(rows, ["okey", "lno", "pkey", "skey", "price"], "y").groupBy(F.col("y").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("fe07_undersample", "SELECT l_returnflag AS label, min(n) OVER () AS n FROM (SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' OR l_quantity > 20 GROUP BY 1)", ints="n")
+@query("fe07_undersample", "SELECT l_returnflag AS label, min(n) OVER () AS n FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1)", ints="n")
 def _(t):
-    rows = observed(t).filter("y = 'A' OR qty > 20").select("okey", "lno", "pkey", "skey", "price", "y")
+    rows = observed(t).select("okey", "lno", "pkey", "skey", "price", "y")
     return P.undersample(rows, ["okey", "lno", "pkey", "skey", "price"], "y").groupBy(F.col("y").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 

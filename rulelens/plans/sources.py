@@ -107,14 +107,14 @@ def _(t):
     return RS.feature_audit(rows, names, FEATURES, mi, selection).drop("closest").withColumn("variance", F.col("variance") / 1000000)
 
 
-@query("src11_consolidation", f"""WITH {RUNS}, c AS (SELECT arm, metric, avg(value) AS value, count(*) AS rows FROM runs WHERE dataset IN (1996, 1997, 1998) GROUP BY 1, 2), n AS (SELECT arm, metric, avg(n_test) AS n_test FROM runs GROUP BY 1, 2) SELECT * FROM c LEFT JOIN n USING (arm, metric)""", floats="value n_test", ints="rows")
+@query("src11_consolidation", f"""WITH {RUNS}, c AS (SELECT arm, metric, avg(value) AS value, count(*) AS rows FROM runs GROUP BY 1, 2), n AS (SELECT arm, metric, avg(n_test) AS n_test FROM runs GROUP BY 1, 2) SELECT * FROM c LEFT JOIN n USING (arm, metric)""", floats="value n_test", ints="rows")
 def _(t):
     folder = new_folder(t.spark, "consolidate")
     table = runs(t)
-    for year in (1996, 1997, 1998):
-        table.filter(F.col("dataset") == year).write.option("header", True).csv(f"{folder}/{year}")
+    table.withColumn("year", F.col("dataset")).write.partitionBy("year").option("header", True).csv(folder)
     schema = "dataset int, split_id int, n_test long, oracle_name string, arm string, metric string, value double"
-    frames = [t.spark.read.schema(schema).option("header", True).csv(f"{folder}/{year}") for year in (1996, 1997, 1998)]
+    years = t.spark.read.schema(schema + ", year int").option("header", True).csv(folder).select("year").distinct().collect()
+    frames = [t.spark.read.schema(schema).option("header", True).csv(f"{folder}/year={r['year']}") for r in years]
     means = RS.consolidate(frames, ["arm", "metric"], ["value"])
     return RS.master_table(means, {"n": table.groupBy("arm", "metric").agg(F.avg("n_test").alias("n_test"))}, ["arm", "metric"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from rulelens.functions.lineage import new_folder
 from rulelens.functions.ordering import with_hash_rank
@@ -30,13 +30,32 @@ def run_to_end(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def run_updates(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """Process what is available of an aggregate by ``keys`` and return the last state of every key, open windows included.
+
+    Each micro-batch writes the keys it changed to its own folder, which a replay rewrites; the watermark still bounds the state.
+    """
+    spark = stream.sparkSession
+    folder = new_folder(spark, label)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/out/batch=-1")  # a stream without rows has no batch
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    q = stream.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/out")
+    cells = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*cells), "batch").alias("c")).select(*keys, "c.*")
+
+
 def score_stream(stream: DataFrame, tree: RuleTree, needed: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Contract check on the columns, then the rule tree's answer per row; stateless, so it scales with the source."""
     return tree.score(align(stream, [*dict.fromkeys([*keep, *needed])]), "prediction", "node_id")
 
 
 def windowed_fidelity(stream: DataFrame, ts: str, teacher: Column, surrogate: Column, truth: Column, window: str, late: str, slide: str | None = None) -> DataFrame:
-    """Agreement counts per event-time window; rows later than the watermark are dropped, closed windows are emitted once."""
+    """Agreement counts per event-time window; rows later than the watermark are dropped."""
     span = F.window(ts, window, slide) if slide else F.window(ts, window)
     rows = stream.withColumns({"__t": teacher, "__s": surrogate, "__y": truth}).withWatermark(ts, late)
     agg = rows.groupBy(span.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__t") == F.col("__s")).alias("agree"), F.count_if((F.col("__t") == F.col("__y")) & (F.col("__s") != F.col("__y"))).alias("teacher_only"),

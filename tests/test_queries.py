@@ -12,8 +12,8 @@ SMALL = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # one or two per family; the full set runs in the driver's own check
 CHOSEN = ["me02_classification_bundle", "me05_auc_average_precision", "dq05_contract_kinds", "dq18_numeric_leakage", "fe03_one_hot", "fe16_pair_screen", "sp01_holdout", "st07_effect_sizes", "st13_contrast_runner", "tr07_literal_ranking",
-          "tr17_split_choice", "on01_feature_matching", "on05_closure", "sm05_ks_statistics", "sm14_soft_targets", "cf03_violations", "cf08_density", "cf26_rule_transitions", "ex03_rule_examples", "src02_text_scan", "src11_consolidation"]
-ROWS_ONLY = ["me08_calibration_line", "src05_record_scan", "src07_results_integrity", "ss01_stream_scoring", "ss02_windowed_fidelity", "ss04_query_budget", "sm10_boundary_points", "cf30_local_trees"]
+          "tr17_split_choice", "on01_feature_matching", "on05_closure", "sm05_ks_statistics", "sm14_soft_targets", "cf03_violations", "cf08_density", "cf26_rule_transitions", "ex03_rule_examples", "src02_text_scan", "src11_consolidation", "ss01_stream_scoring", "ss02_windowed_fidelity", "ss04_query_budget", "ex05_similar_examples"]
+ROWS_ONLY = ["me08_calibration_line", "src05_record_scan", "src07_results_integrity", "ss03_windowed_drift", "sm10_boundary_points", "cf30_local_trees"]
 
 
 def test_every_oracle_has_a_query():
