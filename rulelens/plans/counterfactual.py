@@ -149,9 +149,10 @@ def _(t):
     return CF.proximity(fixed(t), specs(t)).select("id", "candidate", "l1", "l2", "weighted_l1", "l0")
 
 
-def chosen(t):
-    """Every order as a task towards every other class."""
-    tasks = CF.targets(judged(t).select("id", "cls", *CASE_FEATURES), "cls", CASE_CLASSES)
+def chosen(t, share=1.0):
+    """The instance protocol: all orders, or a stratified share of them, as tasks towards every other class."""
+    rows = judged(t).select("id", "cls", *CASE_FEATURES)
+    tasks = CF.targets(rows if share >= 1 else stratified_share(rows, ["id"], "cls", share), "cls", CASE_CLASSES)
     return tasks.select(F.concat_ws(":", "id", "target").alias("task"), "id", "cls", "target", *[F.col(f).alias(f"o_{f}") for f in CASE_FEATURES])
 
 
