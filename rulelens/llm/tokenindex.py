@@ -28,9 +28,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def _visible_bytes() -> dict[int, str]:
@@ -82,7 +80,8 @@ class Encoder:
     """Ids of whole texts, as bytes. Words that single spaces or line ends part are encoded once and kept.
 
     The byte-level pre-tokeniser always cuts before a lone space and around a lone line end between visible characters, so a
-    text's ids are its words' ids one after the other. A text with other white space at such a place is encoded whole.
+    text's ids are its words' ids one after the other. A text with other white space at such a place is encoded whole, and
+    so is one that holds an added token (such as an end-of-text mark), which has its own id wherever it stands.
     """
 
     def __init__(self, path: str):
@@ -90,16 +89,22 @@ class Encoder:
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.code = "I" if self.wide else "H"
         self.kind = "<u4" if self.wide else "<u2"
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.first, self.later = Words(self.tokenizer, self.code, ""), Words(self.tokenizer, self.code, " ")
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(a in text for a in self.added):
+            return self.whole(text)
         words = text.replace("\n", " \n").split(" ")
         try:
             return b"".join([self.first[words[0]], *map(self.later.__getitem__, words[1:])])
         except TypeError:  # a word without ids of its own
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+            return self.whole(text)
 
 
 @lru_cache(maxsize=2)

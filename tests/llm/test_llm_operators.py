@@ -233,6 +233,19 @@ def test_words_have_the_texts_ids():
         assert np.frombuffer(encoder.encode(t), encoder.kind).tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_keep_their_id(spark):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(vocabulary())
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", "<|endoftext|>", "x\n<|endoftext|>\n\ny", "<|endoftext|><|endoftext|> z.", "a <|endoftext| > b", "plain words, none"]
+    got, at = {r["doc_id"]: r for r in tokenindex.token_records(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary()).collect()}, 0
+    for i, t in enumerate(texts):
+        ids = fresh.encode(t, add_special_tokens=False).ids + [2]
+        assert (50256 in ids) == ("<|endoftext|>" in t)
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def brute_cut(texts, length=200):
     count = collections.Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
     out = []
