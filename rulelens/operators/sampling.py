@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from rulelens.functions.hashing import gaussian, pick, uniform
 from rulelens.functions.neighbours import nearest
@@ -198,18 +198,28 @@ def reuse_answers(asked: DataFrame, answered: DataFrame, features: Sequence[str]
     return asked.select(*[c for c in asked.columns if c != answer]).join(known, list(features), "left")
 
 
-def diverse_top(df: DataFrame, key: str, score: Column, features: Sequence[str], scales: Mapping[str, float], k: int, pool: int = 200, weight: float = 0.5) -> DataFrame:
-    """k rows that are uncertain and far from each other: greedy over the ``pool`` best-scored rows."""
-    top = top_k(df.withColumn("score", F.round(score, 9)).select(key, "score", *features), pool, [F.desc("score"), F.col(key)], salt=[key]).orderBy("rank").toPandas()
-    x = top[list(features)].to_numpy(float) / np.array([scales[f] + 1e-9 for f in features])
-    chosen = [0]
-    while len(chosen) < min(k, len(x)):
-        d = np.sqrt(((x[:, None, :] - x[chosen][None, :, :]) ** 2).sum(axis=2)).min(axis=1)
-        value = top["score"].to_numpy() + weight * d / (d.max() + TINY)
-        value[chosen] = -np.inf
-        chosen.append(int(value.argmax()))
-    rows = [(int(top[key].iloc[i]), order + 1, float(top["score"].iloc[i])) for order, i in enumerate(chosen)]
-    return df.sparkSession.createDataFrame(rows, f"{key} long, place int, score double")
+def diverse_top(df: DataFrame, key: str, score: Column, features: Sequence[str], scales: Mapping[str, float], k: int, weight: float = 0.5) -> DataFrame:
+    """k rows that are uncertain and far from each other: each step takes the best of all rows that are left.
+
+    A row's value is its score plus ``weight`` times its distance to the chosen rows, as a share of the largest such distance;
+    ties go to the smallest key. Only the chosen rows reach the driver. ``key`` is unique; rows without a value come last.
+    """
+    scaled = [(F.col(f).cast("double") / (float(scales[f]) + 1e-9)).alias(f) for f in features]
+    rows = df.select(F.col(key).cast("long").alias(key), F.round(score, 9).cast("double").alias("score"), *scaled).persist(StorageLevel.MEMORY_AND_DISK)
+    chosen: list[Row] = []
+    while len(chosen) < k:
+        left, value = rows, F.col("score")
+        if chosen:
+            gaps = [F.sqrt(add([(F.col(f) - F.lit(c[f])) * (F.col(f) - F.lit(c[f])) for f in features])) for c in chosen]
+            left = rows.filter(~F.col(key).isin([c[key] for c in chosen])).withColumn("gap", F.least(*gaps) if len(gaps) > 1 else gaps[0])
+            widest = left.agg(F.max("gap")).first()[0] or 0.0
+            value = F.col("score") + F.lit(weight) * F.col("gap") / F.lit(widest + TINY)
+        best = left.agg(F.max(F.struct(value.alias("value"), (-F.col(key)).alias("first"), key, "score", *features)).alias("b")).first()["b"]
+        if best is None:
+            break
+        chosen.append(best)
+    rows.unpersist()
+    return df.sparkSession.createDataFrame([(c[key], i + 1, c["score"]) for i, c in enumerate(chosen)], f"{key} long, place int, score double")
 
 
 def bisect(pairs: DataFrame, features: Sequence[str], teacher: Callable[[Mapping[str, Column]], Column], source_class: str, steps: int = 12) -> DataFrame:
