@@ -410,9 +410,8 @@ def _(t):
 @query("cf30_local_trees")
 def _(t):
     rows = judged(t)
-    picked = stratified_share(rows.select("id", "cls", *CASE_FEATURES), ["id"], "cls", 0.002)
     spread = rows.agg(*[F.stddev_pop(f).alias(f) for f in CASE_FEATURES]).first().asDict()
-    trees = CF.local_trees(picked, rows, "id", CASE_FEATURES, "cls", CASE_CLASSES, spread, size=200)
+    trees = CF.local_trees(rows, rows, "id", CASE_FEATURES, "cls", CASE_CLASSES, spread, size=200)
     return trees.agg(F.count(F.lit(1)).alias("instances"), F.min("rows").alias("rows"), F.round(F.avg("local_fidelity"), 4).alias("fidelity"), F.max("leaves").alias("leaves"))
 
 
