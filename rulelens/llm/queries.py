@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulelens.llm import fingerprints, langid, media, mixing, neardup, packing, quality, sharding, suffix, tokenindex
+from rulelens.llm import balltree, codebook, fingerprints, langid, lexical, media, mixing, neardup, packing, quality, sharding, suffix, tokenindex
 from rulelens.llm.common import documents
 
 END_ID = 2
@@ -60,7 +60,22 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix.repeated_bytes(documents(spark, folder))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codebook.encode(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op13_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return balltree.search(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_media, op2_language, op3_quality, op4_sharding, op5_packing, op6_near_duplicates, op7_mixing, op8_fingerprints, op9_token_index, op10_suffix_dedup)
+    q.__name__: q for q in (op1_media, op2_language, op3_quality, op4_sharding, op5_packing, op6_near_duplicates, op7_mixing, op8_fingerprints, op9_token_index, op10_suffix_dedup, op11_lexical_search, op12_vector_codes, op13_exact_topk)
+}
+ORACLES = {
+    "op4_sharding": sharding.SHARDS_SQL, "op6_near_duplicates": neardup.NEAR_SQL, "op7_mixing": mixing.MIX_SQL,
+    "op11_lexical_search": lexical.SEARCH_SQL, "op12_vector_codes": codebook.ENCODE_SQL, "op13_exact_topk": balltree.SEARCH_SQL,
 }
-ORACLES = {"op4_sharding": sharding.SHARDS_SQL, "op6_near_duplicates": neardup.NEAR_SQL, "op7_mixing": mixing.MIX_SQL}
