@@ -179,7 +179,7 @@ def brute_top(vectors, d, asked, top):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("shard, leaf", [(4096, 128), (60, 8), (25, 1)])
+@pytest.mark.parametrize("shard, leaf", [(4096, 128), (60, 8), (25, 2)])
 def test_exact_topk_equals_brute_force(spark, monkeypatch, shard, leaf):
     monkeypatch.setattr(balltree, "SHARD", shard)
     monkeypatch.setattr(balltree, "LEAF", leaf)
