@@ -9,15 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rulelens.llm.common import beside, by_batch, fresh, saved
+from rulelens.llm.common import beside, by_batch, emptied, fresh, saved
 from rulelens.llm.vectors import length, matrix, whole
 
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
-FIRST, LEAST = 32, 4  # bounds kept for a part at first, and at least
-NONE = np.iinfo(np.uint16).max  # an unused place in a list of entries
+FIRST, LEAST = 16, 4  # bounds kept for a part at first, and at least
+ALL = np.iinfo(np.uint16).max  # depth of a row that had to look at all entries
 SLACK = 1e-6  # by which rounding could shift a distance, relative to it; bounds are moved to the safe side by as much
-FULL_SHARE = 0.05  # share of parts that may need all entries before the lists grow
-DEEP_SHARE = 0.001  # share of parts that may reach past the lists' next length
+DEEP_SHARE = 0.001  # share of the parts that used their lists which may have reached past the lists' next length
 
 
 def squared(x: np.ndarray, entries: np.ndarray) -> np.ndarray:
@@ -54,7 +53,7 @@ def nearest(x: np.ndarray, entries: np.ndarray, b: int) -> tuple[np.ndarray, np.
     k = len(entries)
     order = np.argsort(all_, axis=1, kind="stable")[:, : b + 1]
     sorted_ = np.take_along_axis(all_, order, axis=1)
-    listed = np.full((len(x), b), NONE, dtype=np.uint16)
+    listed = np.zeros((len(x), b), dtype=np.uint8)  # a place whose bound is infinite is unused
     bounds = np.full((len(x), b), np.inf, dtype=np.float32)
     have = min(b, k)
     listed[:, :have], bounds[:, :have] = order[:, :have], low(sorted_[:, :have])
@@ -64,24 +63,26 @@ def nearest(x: np.ndarray, entries: np.ndarray, b: int) -> tuple[np.ndarray, np.
 
 def step(x: np.ndarray, entries: np.ndarray, drift: np.ndarray, listed: np.ndarray, bounds: np.ndarray, outer: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Assigns rows again after the entries moved by at most ``drift``; returns lists, bounds, outer bounds, squared distances of the
-    closest entries, and how deep each row had to look in its list (``NONE``: at all entries).
+    closest entries, and how deep each row had to look in its list (``ALL``: at all entries).
 
     A listed entry's bound falls by its own drift, the outer one by the largest. The distance from the entry assigned so far is
     taken exactly; an entry whose bound is not above it could be as close, and is then measured exactly, in whole numbers. Where
     the outer bound is not above it, all entries are measured.
     """
     n, had = listed.shape
-    move = np.append(drift, 0.0)[np.minimum(listed, len(drift))]
+    used = np.isfinite(bounds)
+    move = drift[listed]
     bounds = np.nextafter(((bounds - move) * np.where(bounds > move, 1 - SLACK, 1 + SLACK)).astype(np.float32), np.float32(-np.inf))
     outer = np.nextafter(((outer - drift.max(initial=0.0)) * np.where(outer > drift.max(initial=0.0), 1 - SLACK, 1 + SLACK)).astype(np.float32), np.float32(-np.inf))
     best = paired(x, entries[listed[:, 0]])
     bounds[:, 0] = low(best)
+    bounds[~used] = np.inf
     reach = np.sqrt(best.astype(np.float64)) * (1 + SLACK)
-    doubt = (bounds <= reach[:, None]) & (listed != NONE)
+    doubt = (bounds <= reach[:, None]) & used
     doubt[:, 0] = False
     every = outer <= reach
     deep = np.where(doubt.any(axis=1), had - np.argmax(doubt[:, ::-1], axis=1), 1)
-    deep[every] = NONE
+    deep[every] = ALL
     row, place = np.nonzero(doubt & ~every[:, None])
     if len(row):
         which = listed[row, place]
@@ -99,7 +100,7 @@ def step(x: np.ndarray, entries: np.ndarray, drift: np.ndarray, listed: np.ndarr
         outer = np.minimum(outer, bounds[:, b:].min(axis=1, initial=np.inf))  # what leaves a list falls under the outer bound
         listed, bounds = listed[:, :b].copy(), bounds[:, :b].copy()
     elif b > had:
-        listed = np.pad(listed, ((0, 0), (0, b - had)), constant_values=NONE)
+        listed = np.pad(listed, ((0, 0), (0, b - had)))
         bounds = np.pad(bounds, ((0, 0), (0, b - had)), constant_values=np.inf)
     order = np.argsort(bounds[:, 1:], axis=1, kind="stable") + 1  # the rest of a list in order of its bounds
     listed[:, 1:], bounds[:, 1:] = np.take_along_axis(listed, order, axis=1), np.take_along_axis(bounds, order, axis=1)
@@ -127,18 +128,18 @@ def assign(rows: DataFrame, d: int, books: np.ndarray, b: int, label: str, befor
         for batch in batches:
             n = batch.num_rows
             x = matrix(batch.column("data"), d).reshape(n, parts, width)
-            lists, bounds = np.empty((n, parts, b), np.uint16), np.empty((n, parts, b), np.float32)
+            lists, bounds = np.empty((n, parts, b), np.uint8), np.empty((n, parts, b), np.float32)
             outers, errors, deep = np.empty((n, parts), np.float32), np.empty((n, parts), np.int64), np.zeros((n, parts), np.uint16)
             if before is not None:
                 had = before[1]
-                old = [np.frombuffer(b"".join(batch.column(c).to_pylist()), k).reshape(n, parts, -1) for c, k in (("lists", np.uint16), ("bounds", np.float32), ("outers", np.float32))]
+                old = [np.frombuffer(b"".join(batch.column(c).to_pylist()), k).reshape(n, parts, -1) for c, k in (("lists", np.uint8), ("bounds", np.float32), ("outers", np.float32))]
             for p in range(parts):
                 if before is None:
                     lists[:, p], bounds[:, p], outers[:, p], errors[:, p] = nearest(x[:, p], books[p], b)
                     continue
                 got = step(x[:, p], books[p], drift[p], old[0][:, p, :had].copy(), old[1][:, p, :had].copy(), old[2][:, p, 0].copy(), b)
                 lists[:, p], bounds[:, p], outers[:, p], errors[:, p], deep[:, p] = got
-            codes = lists[:, :, 0].astype(np.uint8)
+            codes = lists[:, :, 0].copy()
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in ("row", "vec_id", label, "data")], _packed(codes), _packed(errors), _packed(lists), _packed(bounds), _packed(outers), _packed(deep)],
                 ["row", "vec_id", label, "data", "codes", "errors", "lists", "bounds", "outers", "deep"],
@@ -175,8 +176,8 @@ def updated(state: DataFrame, d: int, books: np.ndarray) -> np.ndarray:
     return out.reshape(books.shape)
 
 
-def depths(state: DataFrame) -> tuple[np.ndarray, int]:
-    """How many parts looked how deep in their lists, and how many had to look at all entries."""
+def depths(state: DataFrame) -> np.ndarray:
+    """How many parts looked how deep in their lists; the last number is of those that had to look at all entries."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = np.zeros(ENTRIES + 2, dtype=np.int64)
@@ -187,15 +188,13 @@ def depths(state: DataFrame) -> tuple[np.ndarray, int]:
     found = by_batch(state.select("deep"), build, "deep long, n long").groupBy("deep").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(ENTRIES + 2, dtype=np.int64)
     out[found["deep"].to_numpy()] = found["n"].to_numpy()
-    return out[:-1], int(out[-1])
+    return out
 
 
-def adapted(b: int, met: np.ndarray, all_: int) -> int:
-    """The lists' next length: doubled if too many parts had to look at all entries, else as short as nearly all parts allow."""
-    total = max(int(met.sum()) + all_, 1)
-    if all_ > FULL_SHARE * total:
-        return min(2 * b, ENTRIES)
-    return next((i for i in range(LEAST, b) if met[i + 1 :].sum() <= DEEP_SHARE * total), b)
+def adapted(b: int, met: np.ndarray) -> int:
+    """The lists' next length: as short as nearly all parts that made do with their lists allow, and never longer than before."""
+    total = int(met.sum())
+    return next((i for i in range(min(LEAST, b), b) if met[i + 1 :].sum() <= DEEP_SHARE * total), b)
 
 
 def first_entries(rows: DataFrame, d: int, parts: int) -> np.ndarray:
@@ -208,14 +207,16 @@ def train(rows: DataFrame, d: int, label: str, rounds: int = ROUNDS, first: int
     """The final codebooks, the table of codes by them, and the lengths that the lists had."""
     books, b, before, lengths = first_entries(rows, d, PARTS), first, None, []
     state = assign(rows, d, books, b, label)
+    emptied(rows)
     for _ in range(rounds):
         lengths.append(b)
         moved = updated(state, d, books)
         was = b
         if before is not None:
-            b = adapted(b, *depths(state))
+            b = adapted(b, depths(state)[:-1])
         before, books = books, moved
-        state = assign(state, d, books, b, label, (before, was))
+        state, old = assign(state, d, books, b, label, (before, was)), state
+        emptied(old)
     return books, state, [*lengths, b]
 
 
@@ -224,7 +225,8 @@ def encode(vectors: DataFrame, vector: str = "embedding", label: str = "label")
 
     Components become floor(1024 * x); vectors are cut in four equal parts. Each part position has a codebook that starts as the
     parts of the 256 smallest vec_ids and is moved to the floor of its parts' means four times; then parts are assigned again.
-    Each part keeps its b closest entries with lower bounds and one outer bound in a written table; b follows what a round needed.
+    Each part keeps its b closest entries with lower bounds and one outer bound in a written table; b shrinks to what a round needed,
+    and a round's table is emptied once the next one is written.
     Where a bound leaves a doubt, whole-number distances decide, so codes are exact.
 
     Vectors that are null or hold null or non-finite components give no row. Shorter vectors are filled with zeros to the longest

@@ -162,12 +162,12 @@ def test_bounds_hold_in_every_round():
         far = np.sqrt(codebook.squared(x, books))
         assert (listed[:, 0] == far.argmin(axis=1)).all() and (best == codebook.squared(x, books).min(axis=1)).all()
         for i in range(len(x)):
-            inside = listed[i][listed[i] != codebook.NONE]
+            inside = listed[i][np.isfinite(bounds[i])]
             assert len(set(inside.tolist())) == len(inside)
-            assert (bounds[i][listed[i] != codebook.NONE] <= far[i, inside] + 1e-9).all()
+            assert (bounds[i][np.isfinite(bounds[i])] <= far[i, inside] + 1e-9).all()
             assert (outer[i] <= np.delete(far[i], inside) + 1e-9).all()
-    assert codebook.adapted(32, np.bincount([1] * 900 + [7] * 100, minlength=257), 0) == 7
-    assert codebook.adapted(32, np.bincount([1] * 900, minlength=257), 100) == 64
+    assert codebook.adapted(32, np.bincount([1] * 900 + [7] * 100, minlength=257)) == 7
+    assert codebook.adapted(32, np.bincount([1] * 900, minlength=257)) == codebook.LEAST and codebook.adapted(5, np.bincount([9] * 9, minlength=257)) == 5
 
 
 def brute_top(vectors, d, asked, top):
