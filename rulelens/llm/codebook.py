@@ -49,10 +49,16 @@ def low(squares: np.ndarray) -> np.ndarray:
 def nearest(x: np.ndarray, entries: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """From all entries: each row's list of its ``b`` closest (ties: lower index first), their lower bounds, one outer bound for
     all entries that are not listed, and the squared distance of the closest."""
-    all_ = squared(x, entries)
-    k = len(entries)
-    order = np.argsort(all_, axis=1, kind="stable")[:, : b + 1]
-    sorted_ = np.take_along_axis(all_, order, axis=1)
+    all_, k = squared(x, entries), len(entries)
+    if all_.max(initial=0) < 1 << 54:  # distance and entry as one number: only the least few are put in order
+        keys = all_ * 256 + np.arange(k)
+        if b + 1 < k:
+            keys = np.partition(keys, b, axis=1)[:, : b + 1]
+        keys = np.sort(keys, axis=1)
+        order, sorted_ = keys % 256, keys // 256
+    else:
+        order = np.argsort(all_, axis=1, kind="stable")[:, : b + 1]
+        sorted_ = np.take_along_axis(all_, order, axis=1)
     listed = np.zeros((len(x), b), dtype=np.uint8)  # a place whose bound is infinite is unused
     bounds = np.full((len(x), b), np.inf, dtype=np.float32)
     have = min(b, k)
