@@ -16,7 +16,7 @@ WORDS = 5
 BINS, ROWS = 192, 6  # 32 bands: a link of similarity 0.85 is missed with a chance of 3e-7
 SURE = 5.0  # standard errors below the threshold from which a sketch rules a pair out
 BLOCK = 1024  # documents of a bucket that are compared with as many
-SETTLED = 0.01  # share of open documents that a round of stars must join for another round
+SETTLED = 0.05  # share of open documents that a round of stars must join for another round
 VOCABULARY = 300_000  # words whose hashes a worker keeps
 
 # Odd multipliers of common 64-bit mixers.
@@ -129,17 +129,20 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows of the buckets whose documents have different labels yet, with their labels."""
+    """Rows of the buckets whose documents have different labels yet, with their labels. Labels only merge, so that a bucket which
+    is settled once need not be looked at again."""
     if labels is None:
         return rows.withColumn("label", F.col("node"))
-    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = rows.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     return rows.join(mixed, "bucket", "left_semi")
 
 
 def _star_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each open document with its buckets' centres, drawn by hash anew each turn: never more pairs than rows."""
-    centres = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("centre"), F.col("n").alias("m"), F.col("label").alias("other"))).alias("c"))
+    """Each open document with its buckets' centres, drawn by hash: never more pairs than rows. In the first turn the buckets of a
+    family share a centre, which joins most of it with few pairs; later each bucket has its own, so that many are tried at once."""
+    drawn = F.xxhash64("node", F.lit(turn)) if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
+    centres = rows.groupBy("bucket").agg(F.min(F.struct(drawn, F.col("node").alias("centre"), F.col("n").alias("m"), F.col("label").alias("other"))).alias("c"))
     pairs = rows.join(centres.select("bucket", "c.centre", "c.m", "c.other"), "bucket").where("label <> other").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
     return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
@@ -226,9 +229,9 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     sets = saved(again.join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
     tidy(spark)
 
-    links, labels, turn = None, None, 0
+    links, labels, turn, still = None, None, 0, rows
     while True:
-        still = saved(_open(rows, labels), "open")
+        still = saved(_open(still, labels), "open") if turn else _open(rows, None)
         waiting = still.agg(F.countDistinct("label")).first()[0]
         if not waiting:
             break
@@ -239,7 +242,7 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
             labels = components(links)
         if joined <= SETTLED * waiting:
             break
-    still = saved(_open(rows, labels), "open")
+    still = saved(_open(still, labels), "open")
     last = saved(_block_links(still, nodes, sets, percent), "block-links")
     labels = components(last if links is None else links.union(last))
 
