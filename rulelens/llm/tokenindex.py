@@ -20,7 +20,7 @@ BLOCK_BYTES = 1 << 18  # ids of a block, unless one document alone has more
 KEYS_PER_BUCKET = 50_000
 GAMMA = 2.0  # slots of a level for each key that is left
 LEVELS = 48
-CACHE = 600_000  # words whose ids a worker keeps
+CACHE = 400_000  # words whose ids a worker keeps, twice: those met since the last change, and those before
 
 
 @lru_cache(maxsize=2)
@@ -49,6 +49,8 @@ class Words(dict):
     def __init__(self, tokenizer, code: str, lead: str):
         super().__init__()
         self.tokenizer, self.code, self.lead = tokenizer, code, lead
+        self.older: dict[str, bytes | None] = {}
+        self.tokenize, self.shown = tokenizer.model.tokenize, lead.translate(self.VISIBLE)
         self.marks = {m: self.pack(tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,\n"}
 
     def pack(self, ids: list[int]) -> bytes:
@@ -57,12 +59,19 @@ class Words(dict):
     def ids(self, lead: str, word: str) -> bytes:
         if word.isalpha() and max(word) < "\u0250":  # one piece: straight to the model
             piece = lead + word if word.isascii() else (lead + word).encode().decode("latin-1")
-            return self.pack([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.VISIBLE))])
+            return self.pack([t.id for t in self.tokenize(piece.translate(self.VISIBLE))])
         return self.pack(self.tokenizer.encode(lead + word, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes | None:
-        if len(self) >= CACHE:
+        if len(self) >= CACHE:  # words that are still met come back from the older ones
+            self.older = dict(self)
             self.clear()
+        if (value := self.older.get(word)) is not None:
+            self[word] = value
+            return value
+        if word.isascii() and word.isalpha():  # most words: all their characters are visible as they are
+            value = self[word] = array(self.code, [t.id for t in self.tokenize(self.shown + word)]).tobytes()
+            return value
         bare = word[1:] if word[:1] == "\n" else word
         if not bare or bare[0].isspace() or bare[-1].isspace():
             value = None
@@ -118,7 +127,8 @@ def write_blocks(docs: DataFrame, vocabulary: str, end_id: int = 2, block_bytes:
 
     A row is a block: shard (its file), block (its place there), width (bytes of an id), payload (raw little-endian ids of
     documents one after the other), doc_ids and lengths. A document is never split; one longer than a block has its own.
-    Null text: the end id alone. Null doc_id: first. Repeated doc_ids: each its own record, ordered by text.
+    Null text: the end id alone. Null doc_id: first. Repeated doc_ids: each its own record, in order of a text hash. Ranges are cut
+    by doc_id, text hash and place in the input, so that no task gets all null or repeated ids.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +156,8 @@ def write_blocks(docs: DataFrame, vocabulary: str, end_id: int = 2, block_bytes:
         if held:
             yield flush()
 
-    ordered = docs.selectExpr("cast(doc_id as long) doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) tid", "monotonically_increasing_id() place", "text")
+    ordered = rows.repartitionByRange("doc_id", "tid", "place").sortWithinPartitions("doc_id", "tid", "place").select("doc_id", "text")
     return saved(by_batch(ordered, build, "shard int, block int, width int, payload binary, doc_ids array<long>, lengths array<long>"), "token-blocks")
 
 
@@ -267,27 +278,29 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _crc_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for shard, block, width, payload, lengths in zip(*[b.column(c).to_pylist() for c in ("shard", "block", "width", "payload", "lengths")]):
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        for shard, block, width, payload, doc_ids, lengths in zip(*[b.column(c).to_pylist() for c in ("shard", "block", "width", "payload", "doc_ids", "lengths")]):
             ids, at = np.frombuffer(payload, dtype="<u4" if width == 4 else "<u2"), 0
-            for n in lengths:
-                for column, value in zip(out, (shard, block, at, n, zlib.crc32(ids[at : at + n].astype("<u4").tobytes()))):
+            for doc_id, n in zip(doc_ids, lengths):
+                for column, value in zip(out, (shard, block, at, n, zlib.crc32(ids[at : at + n].astype("<u4").tobytes()), doc_id)):
                     column.append(value)
                 at += n
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["shard", "block", "place", "read_tokens", "ids_crc32"])
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["shard", "block", "place", "read_tokens", "ids_crc32", "stored_id"])
 
 
 def read_records(blocks: DataFrame) -> DataFrame:
-    """(shard, block, place, read_tokens, ids_crc32) of every record in the payload, from the raw ids of the files."""
-    return by_batch(blocks.select("shard", "block", "width", "payload", "lengths"), _crc_batches, "shard int, block int, place long, read_tokens long, ids_crc32 long")
+    """(shard, block, place, read_tokens, ids_crc32, stored_id) of every record in the payload, from the raw ids of the files."""
+    return by_batch(blocks.select("shard", "block", "width", "payload", "doc_ids", "lengths"), _crc_batches, "shard int, block int, place long, read_tokens long, ids_crc32 long, stored_id long")
 
 
 def token_records(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, through written blocks and the index over them.
 
-    ``start`` counts the ids of all documents before it. Repeated doc_ids show their first record; null doc_ids have no key
-    and so no row. An empty table gives no rows.
+    ``start`` counts the ids of all documents before it. A row each for all documents: those that the index finds by their key,
+    and the stored records that have no key of their own (null doc_ids, and all but the first record of a repeated one). Null
+    and empty texts: the end id alone. Very long texts are encoded whole, in a block of their own. An empty table gives no rows.
+    Extra columns are ignored.
     """
     spark = docs.sparkSession
     blocks = write_blocks(docs, vocabulary, end_id)
@@ -299,5 +312,6 @@ def token_records(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFram
         total += n
     starts = spark.createDataFrame(starts, "shard int, shard_start long")
     inside = sums.selectExpr("shard", "block", "sum(n) over (partition by shard order by block) - n as block_start").join(F.broadcast(starts), "shard")
-    found = lookup(index, docs.select("doc_id")).join(read_records(blocks), ["shard", "block", "place"]).join(inside, ["shard", "block"])
-    return found.select("doc_id", (F.col("shard_start") + F.col("block_start") + F.col("place")).alias("start"), F.col("read_tokens").alias("n_tokens"), "ids_crc32", "shard", "block", "place")
+    keyed = lookup(index, docs.select("doc_id")).select("doc_id", "shard", "block", "place")
+    found = read_records(blocks).join(keyed, ["shard", "block", "place"], "left").join(inside, ["shard", "block"])
+    return found.select(F.coalesce("doc_id", "stored_id").alias("doc_id"), (F.col("shard_start") + F.col("block_start") + F.col("place")).alias("start"), F.col("read_tokens").alias("n_tokens"), "ids_crc32", "shard", "block", "place")

@@ -204,21 +204,32 @@ def test_shared_strings_share_phrases():
 
 
 def test_tokens_by_index(spark, odd, none):
-    tokenizer = tokenindex._tokenizer(vocabulary())
-    got, at = {r["doc_id"]: r for r in tokenindex.token_records(odd, vocabulary()).collect()}, 0
-    seen = set()
-    for doc_id, t in sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary())
+    many = ODD + [(None, words(i, 5)) for i in range(40)] + [(4, words(i, 6)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in many], "doc_id long, text string, shard string").repartition(6)
+    got = sorted(tokenindex.token_records(docs, vocabulary()).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in got] == list(itertools.accumulate([0, *(r["n_tokens"] for r in got[:-1])]))
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in many), key=lambda i: (i is not None, i or 0))
+    want = collections.Counter()
+    for doc_id, t in many:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
-        if doc_id is not None and doc_id not in seen:
-            r = got[doc_id]
-            assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        seen.add(doc_id)
-        at += len(ids)
-    assert None not in got and tokenindex.token_records(none, vocabulary()).count() == 0
+        want[doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    assert tokenindex.token_records(none, vocabulary()).count() == 0
     index = tokenindex.build_index(tokenindex.write_blocks(odd, vocabulary()))
     assert tokenindex.lookup(index, spark.createDataFrame([(99,), (4,)], "doc_id long")).select("doc_id").collect() == [(4,)]
 
 
+def test_words_come_back_from_the_older_ones(monkeypatch):
+    monkeypatch.setattr(tokenindex, "CACHE", 20)
+    encoder, text = tokenindex.Encoder(vocabulary()), words(60, 300)
+    for t in (text, text[::-1], text):
+        assert np.frombuffer(encoder.encode(t), encoder.kind).tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert len(encoder.later) <= 20
+
+
 def test_minimal_perfect_hash():
     keys = np.random.default_rng(2).integers(0, 1 << 63, 20_000, dtype=np.uint64)
     sizes, bits, number = tokenindex.build_hash(keys)
