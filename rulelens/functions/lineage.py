@@ -33,3 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts lineage, keeps its columns' statistics and survives lost executors."""
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
