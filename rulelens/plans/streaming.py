@@ -8,6 +8,7 @@ from rulelens.operators.growth import bin_edges
 from rulelens.plans.bases import SCORED, SURROGATE, teacher_class
 from rulelens.plans.registry import query
 from rulelens.streaming import scoring as SS
+from rulelens.streaming.budget import budgeted_queries
 
 
 def lines(t):
@@ -46,6 +47,6 @@ def _(t):
 SELECT count(*) AS users, sum(n) AS questions, max(least(n, 20)) AS most_granted, sum(least(n, 20)) AS granted FROM p""", ints="users questions most_granted granted")
 def _(t):
     stream = SS.open_stream(t.spark, f"{t.folder}/events.parquet*").select("user_id", "event_type", F.floor("value").alias("asked"))
-    out = SS.budgeted_queries(stream, "user_id", ["event_type", "asked"], 20)
+    out = budgeted_queries(stream, "user_id", ["event_type", "asked"], 20)
     per = out.groupBy("user_id").agg(F.count(F.lit(1)).alias("questions"), F.count_if("granted").alias("granted"))
     return per.agg(F.count(F.lit(1)).alias("users"), F.sum("questions").alias("questions"), F.max("granted").alias("most_granted"), F.sum("granted").alias("granted"))

@@ -21,10 +21,13 @@ def open_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(path)
 
 
-def run_to_end(stream: DataFrame, label: str) -> DataFrame:
-    """Process what is available into a Parquet sink with its own checkpoint, and read the sink back."""
+def run_to_end(stream: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Process what is available into a Parquet sink with its own checkpoint, and read the sink back.
+
+    A run that names the ``folder`` of an earlier one goes on where that one stopped.
+    """
     spark = stream.sparkSession
-    folder = new_folder(spark, label)
+    folder = folder or new_folder(spark, label)
     q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -89,32 +92,3 @@ def window_drift(windows: DataFrame, reference: DataFrame, features: Sequence[st
     whole = Window.partitionBy("window_start", "feature")
     gap = F.abs(F.sum("n").over(w) / F.sum("n").over(whole) - F.sum("r").over(w) / F.sum("r").over(whole))
     return grid.withColumn("gap", gap).groupBy("window_start", "feature").agg(F.max("gap").alias("drift"), F.sum("n").alias("n"))
-
-
-def budgeted_queries(stream: DataFrame, entity: str, query: Sequence[str], budget: int, label: str = "budget") -> DataFrame:
-    """(entity, query columns, granted) per distinct question, within a budget per entity.
-
-    Each micro-batch drops questions already answered, ranks the new ones in hash order and grants what is left.  The
-    answered questions are the ledger: one folder per batch id, so a replayed batch rewrites its own folder only.
-    Entities are ranked in hash slices, so a single busy entity is spread over many tasks.
-    """
-    spark = stream.sparkSession
-    folder = new_folder(spark, label)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.select(entity, *query).schema.fields) + ", granted boolean"
-
-    def ledger(before: int) -> DataFrame:
-        if before == 0:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(*[f"{folder}/ledger/batch={b}" for b in range(before)])
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        seen = ledger(batch_id)
-        fresh = batch.select(entity, *query).distinct().join(seen.select(entity, *query), [entity, *query], "left_anti")
-        spent = seen.filter("granted").groupBy(entity).agg(F.count(F.lit(1)).alias("spent"))
-        ranked = with_hash_rank(fresh, label, [entity, *query], [entity]).join(spent, entity, "left")
-        granted = F.col("hash_rank") <= F.lit(budget) - F.coalesce("spent", F.lit(0))
-        ranked.select(entity, *query, granted.alias("granted")).write.mode("overwrite").parquet(f"{folder}/ledger/batch={batch_id}")
-
-    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/ledger/batch=*")
