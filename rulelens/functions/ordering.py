@@ -8,6 +8,7 @@ ranges, order inside a range, and add the totals of the ranges before it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -90,14 +91,48 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
+ACCURACY = 1000  # approximate ranks that give the brackets are off by at most a share of one in so many
+MARGIN = 4 / ACCURACY  # ranks on either side of a wanted one that its bracket takes in
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Linearly interpolated quantiles, exact at any size; one row per group, one column per entry of ``probs``.
 
-    With ``weight`` the input is already (by, value, count).
+    Rows are selected by brackets: mergeable sketches give for every wanted rank two values that surely enclose it; a second pass
+    counts what lies below and keeps the few values inside, which alone are put in order.  With ``weight`` the input is already
+    (by, value, count) and is ordered as it is.
     """
     by = list(by)
-    counts = df if weight else value_counts(df, value, by)
-    n = weight or "n"
+    if weight:
+        return _ordered_quantiles(df, value, probs, by, weight)
+    rows = df.select(*by, F.col(value).alias("__v")).filter("__v IS NOT NULL")
+    ends = [min(1.0, max(0.0, p + side)) for p in probs.values() for side in (-MARGIN, MARGIN)]
+    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__total"), F.percentile_approx("__v", ends, ACCURACY).alias("__ends"))
+    brackets = cut(found)  # one row a group
+    few = brackets.count() <= BROADCAST_GROUPS
+    same = [rows[c].eqNullSafe(brackets[c]) for c in by]
+    beside = rows.join(F.broadcast(brackets) if few else brackets, reduce(lambda a, b: a & b, same) if same else F.lit(True)).select(*[rows[c] for c in by], "__v", "__ends", "__total")
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.element_at("__ends", 2 * i + 1).alias("lo"), F.element_at("__ends", 2 * i + 2).alias("hi")) for i in range(len(probs))]))
+    near = beside.select(*by, "__v", "__total", wanted.alias("__b")).filter(F.col("__v") <= F.col("__b.hi"))
+    inside = F.when(F.col("__v") >= F.col("__b.lo"), F.col("__v"))  # all that lies below becomes one count
+    counts = near.groupBy(*by, F.col("__b.i").alias("__i"), inside.alias("__v")).agg(F.count(F.lit(1)).alias("__n"), F.first("__total").alias("__total"))
+    upto = Window.partitionBy(*by, "__i").orderBy(F.asc_nulls_first("__v")).rowsBetween(Window.unboundedPreceding, 0)  # a bracket's values
+    cum = counts.withColumn("__cum", F.sum("__n").over(upto)).filter("__v IS NOT NULL")
+    picks, finals = [], []
+    for i, (name, p) in enumerate(probs.items()):
+        at = F.lit(float(p)) * (F.col("__total") - 1)
+        mine = F.col("__i") == i
+        picks += [
+            F.min(F.when(mine & (F.col("__cum") > F.floor(at)), F.col("__v"))).alias(f"__lo_{name}"),
+            F.min(F.when(mine & (F.col("__cum") > F.ceil(at)), F.col("__v"))).alias(f"__hi_{name}"),
+            F.max(at - F.floor(at)).alias(f"__fr_{name}"),
+        ]
+        lo, hi, fr = (F.col(f"__{k}_{name}") for k in ("lo", "hi", "fr"))
+        finals.append((lo + (hi - lo) * fr).alias(name))
+    return cum.groupBy(*by).agg(*picks).select(*by, *finals)
+
+
+def _ordered_quantiles(counts: DataFrame, value: str, probs: dict[str, float], by: list[str], n: str) -> DataFrame:
     cum = running_sums(counts.select(*by, value, n), value, {"__cum": n}, by, totals={"__total": n})
     total = F.col("__total")
     picks, finals = [], []

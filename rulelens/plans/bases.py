@@ -139,14 +139,16 @@ def raw_text(t: Tables) -> DataFrame:
         F.when(k % 19 == 0, "abc").otherwise(k.cast("string")).alias("mixed"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.when(k % 2 == 0, "yes").otherwise("no").alias("flag"),
         F.col("o_orderkey").cast("string").alias("code"), (k % 5).cast("string").alias("grade"), F.lit("x").alias("same"),
-        F.when(k % 2 == 1, "null").otherwise(F.col("o_orderpriority")).alias("priority"))
+        F.when(k % 2 == 1, "null").otherwise(F.col("o_orderpriority")).alias("priority"),
+        F.when(k % 23 == 0, "NA").otherwise((k % 2).cast("string")).alias("paid"), F.when(k % 3 == 0, "Sim").otherwise("não").alias("urgente"), F.when(k % 3 == 0, "si").otherwise("no").alias("gift"))
 
 
 RAW_TEXT = """raw AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN ' N/A ' ELSE o_orderstatus END AS status,
   CASE WHEN o_orderkey % 17 = 0 THEN '?' ELSE o_totalprice::VARCHAR END AS price, CASE WHEN o_orderkey % 19 = 0 THEN 'abc' ELSE o_orderkey::VARCHAR END AS mixed,
   strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS flag, o_orderkey::VARCHAR AS code,
-  (o_orderkey % 5)::VARCHAR AS grade, 'x' AS same, CASE WHEN o_orderkey % 2 = 1 THEN 'null' ELSE o_orderpriority END AS priority FROM orders)"""
-RAW_COLUMNS = ["status", "price", "mixed", "day", "flag", "code", "grade", "same", "priority"]
+  (o_orderkey % 5)::VARCHAR AS grade, 'x' AS same, CASE WHEN o_orderkey % 2 = 1 THEN 'null' ELSE o_orderpriority END AS priority,
+  CASE WHEN o_orderkey % 23 = 0 THEN 'NA' ELSE (o_orderkey % 2)::VARCHAR END AS paid, CASE WHEN o_orderkey % 3 = 0 THEN 'Sim' ELSE 'não' END AS urgente, CASE WHEN o_orderkey % 3 = 0 THEN 'si' ELSE 'no' END AS gift FROM orders)"""
+RAW_COLUMNS = ["status", "price", "mixed", "day", "flag", "code", "grade", "same", "priority", "paid", "urgente", "gift"]
 
 
 CASE_FEATURES = ["total", "balance", "month", "nation"]

@@ -17,7 +17,8 @@ prof AS (SELECT column_name, sum(n) AS n_rows, coalesce(sum(n) FILTER (value IS
   coalesce(bool_and(num IS NOT NULL) FILTER (value IS NOT NULL), false) AS all_numeric, coalesce(bool_and(abs(num-round(num)) <= 1e-9) FILTER (num IS NOT NULL), false) AS integer_like,
   sum(n) FILTER (isdate)/sum(n) FILTER (value IS NOT NULL) AS date_share, count_if(isdate)/count(value) AS date_share_distinct,
   sum(n*length(value)) FILTER (value IS NOT NULL)/sum(n) FILTER (value IS NOT NULL) AS mean_length,
-  bool_and(lower(trim(value)) IN ('yes','no')) FILTER (value IS NOT NULL) AS yesno FROM dv GROUP BY 1)"""
+  coalesce(bool_and(lower(trim(value)) IN ('yes','no')) FILTER (value IS NOT NULL) OR bool_and(trim(value) IN ('1','0')) FILTER (value IS NOT NULL)
+   OR bool_and(lower(trim(value)) IN ('sim','nao','não')) FILTER (value IS NOT NULL), false) AS yesno FROM dv GROUP BY 1)"""
 
 
 def clean(t):

@@ -29,7 +29,7 @@ def kinds(spark, values, name="c"):
 
 
 @pytest.mark.parametrize("values, contract, schema", [
-    (["1"] * 30, "constant", "categorical"), ([str(i) for i in range(60)], "id_like", "numeric"), ([str(i * i * 1.5) for i in range(60)], "numeric_continuous", "numeric"),
+    (["1"] * 30, "constant", "boolean"), (["0", "1"] * 9, "binary", "boolean"), (["sim", "NÃO"] * 9, "binary", "boolean"), (["sí", "no"] * 9, "binary", "categorical"), ([str(i) for i in range(60)], "id_like", "numeric"), ([str(i * i * 1.5) for i in range(60)], "numeric_continuous", "numeric"),
     (["yes", "no", "?"] * 10, "binary", "boolean"), ([f"2024-01-{d:02d}" for d in range(1, 29)], "datetime", "datetime"), ([str(i % 5) for i in range(60)], "numeric_discrete", "categorical"),
     ([f"word number {i % 7}" for i in range(60)], "categorical", "categorical"), ([f"k{i}x" for i in range(60)], "id_like", "categorical"),
 ])

@@ -85,3 +85,19 @@ def test_top_k_equals_a_full_sort(spark):
     got = [(r["id"], r["rank"]) for r in O.top_k(df, 12, [F.desc("x"), F.col("id")], salt=["id"]).orderBy("rank").collect()]
     want = [r["id"] for r in df.orderBy(F.desc("x"), "id").limit(12).collect()]
     assert [i for i, _ in got] == want and [r for _, r in got] == list(range(1, 13))
+
+
+def test_quantiles_by_brackets_of_awkward_groups(spark):
+    """Ties, a hot value, one row, missing values and a null group; brackets enclose every wanted rank."""
+    rng = np.random.default_rng(11)
+    groups = {"even": list(map(float, range(1001))), "hot": [5.0] * 900 + rng.normal(size=450).tolist(), "one": [2.5], None: rng.integers(0, 9, 700).astype(float).tolist(), "wide": rng.lognormal(0, 4, 20_000).tolist()}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("even", None), ("gone", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    probs = {"p0": 0.0, "p1": 0.013, "p5": 0.5, "p9": 0.975, "top": 1.0}
+    got = {r["g"]: r for r in O.exact_quantiles(df, "v", probs, ["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        for name, p in probs.items():
+            assert got[g][name] == pytest.approx(np.quantile(vs, p), rel=1e-12), (g, name)
+    whole = O.exact_quantiles(df, "v", {"mid": 0.5}).first()["mid"]
+    assert whole == pytest.approx(np.median([v for vs in groups.values() for v in vs]), rel=1e-12)
