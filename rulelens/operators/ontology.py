@@ -147,31 +147,65 @@ def _nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
 
 
-def _paths(steps: DataFrame) -> DataFrame:
-    """(src, dst, longest, shortest): lengths of all chains of steps, by joining chains with chains.
+HOPS = 4  # steps that a pointer takes in a written round
 
-    Chains double each round, so there are as many rounds as the longest chain's length has bits; a cycle is an error.
+
+def _to_anchors(single: DataFrame, n: int) -> DataFrame:
+    """(node, anchor, steps): where each node of one parent ends up going up until a node with none or several, as a written table.
+
+    Pointers are followed ``HOPS`` at a time and only those that have not arrived are written again, so a chain of n nodes takes
+    as many rounds as n has digits to that base. Pointers that have not arrived by then run in a cycle.
     """
-    paths, last = cut(steps.select("src", "dst").distinct().withColumns({"longest": F.lit(1), "shortest": F.lit(1)})), None
+    pointers = cut(single.select("node", F.col("parent").alias("at"), F.lit(1).cast("long").alias("steps")))
+    done, rounds = None, 0
     while True:
-        mark = paths.agg(F.count(F.lit(1)).alias("n"), F.sum("longest").alias("s"), F.coalesce(F.bool_or(F.col("src") == F.col("dst")), F.lit(False)).alias("cycle")).first()
-        if mark["cycle"]:
+        further = pointers.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("steps").alias("more"))
+        jumped = pointers
+        for _ in range(HOPS - 1):
+            jumped = jumped.join(further, "at", "left").select("node", F.coalesce("to", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        if done is not None:  # a pointer may meet one that has arrived
+            arrived = done.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("steps").alias("more"))
+            jumped = jumped.join(arrived, "at", "left").select("node", F.coalesce("to", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        open_ = jumped.join(single.select(F.col("node").alias("at")), "at", "left_semi").withColumn("open", F.lit(True))
+        there = jumped.join(single.select(F.col("node").alias("at")), "at", "left_anti").withColumn("open", F.lit(False))
+        both = cut(open_.select("node", "at", "steps", "open").unionByName(there.select("node", "at", "steps", "open")))
+        new = both.filter("NOT open").drop("open")
+        done, pointers, rounds = new if done is None else done.unionByName(new), both.filter("open").drop("open"), rounds + 1
+        if pointers.isEmpty():
+            return done.select("node", F.col("at").alias("anchor"), "steps")
+        if HOPS ** (rounds - 1) > n:
             raise ValueError("the hierarchy has a cycle")
-        if mark == last:
-            return paths
-        last = mark
-        on = paths.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("longest").alias("more"), F.col("shortest").alias("less"))
-        joined = paths.join(on, "dst").select("src", F.col("end").alias("dst"), (F.col("longest") + F.col("more")).alias("longest"), (F.col("shortest") + F.col("less")).alias("shortest"))
-        paths = cut(paths.unionByName(joined).groupBy("src", "dst").agg(F.max("longest").alias("longest"), F.min("shortest").alias("shortest")))
 
 
 def taxonomy_depth(edges: DataFrame) -> DataFrame:
-    """(node, longest, shortest, relative): chain lengths to a root; a cycle is an error."""
-    up = edges.select("src", "dst").distinct()
-    roots = _nodes(up).join(up.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-    ends = _paths(up).join(roots.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    below = ends.groupBy(F.col("src").alias("node")).agg(F.max("longest").alias("longest"), F.min("shortest").alias("shortest"))
-    state = cut(roots.select("node", F.lit(0).alias("longest"), F.lit(0).alias("shortest")).unionByName(below))
+    """(node, longest, shortest, relative): chain lengths to a root; a cycle is an error.
+
+    Paths are contracted first: nodes of one parent point to the next node with none or several. Between those, layers are solved
+    from the roots: a node is solved once all its parents are, with its longest and shortest chain together. What is left when a
+    layer is empty lies on or below a cycle. Rows written grow with the edges, not with the pairs of ancestors.
+    """
+    up = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("parent")).distinct())
+    nodes = up.select("node").unionByName(up.select(F.col("parent").alias("node"))).distinct()
+    parents = up.groupBy("node").agg(F.count(F.lit(1)).alias("need"), F.min("parent").alias("parent"))
+    single, several = cut(parents.filter("need = 1").select("node", "parent")), cut(parents.filter("need > 1").select("node"))
+    roots = nodes.join(up.select("node").distinct(), "node", "left_anti")
+    anchored = _to_anchors(single, nodes.count()) if not single.isEmpty() else up.sparkSession.createDataFrame([], up.select("node", F.col("node").alias("anchor"), F.lit(0).cast("long").alias("steps")).schema)
+    hops = up.join(several, "node").join(anchored.withColumnRenamed("node", "parent"), "parent", "left")
+    between = cut(hops.select("node", F.coalesce("anchor", "parent").alias("anchor"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
+    need = between.groupBy("node").agg(F.count(F.lit(1)).alias("need"))
+    solved = layer = cut(roots.select("node", F.lit(0).cast("long").alias("longest"), F.lit(0).cast("long").alias("shortest")))
+    waiting, left = None, several.count()
+    while left:
+        met = between.join(layer.withColumnRenamed("node", "anchor"), "anchor").select("node", F.lit(1).cast("long").alias("got"), (F.col("longest") + F.col("steps")).alias("longest"), (F.col("shortest") + F.col("steps")).alias("shortest"))
+        met = (met if waiting is None else met.unionByName(waiting)).groupBy("node").agg(F.sum("got").alias("got"), F.max("longest").alias("longest"), F.min("shortest").alias("shortest"))
+        state = cut(met.join(need, "node").withColumn("whole", F.col("got") == F.col("need")).drop("need"))
+        layer, waiting = state.filter("whole").select("node", "longest", "shortest"), state.filter("NOT whole").drop("whole")
+        n = layer.count()
+        if not n:
+            raise ValueError("the hierarchy has a cycle")
+        solved, left = solved.unionByName(layer), left - n
+    below = anchored.join(solved.withColumnRenamed("node", "anchor"), "anchor").select("node", (F.col("longest") + F.col("steps")).alias("longest"), (F.col("shortest") + F.col("steps")).alias("shortest"))
+    state = cut(solved.unionByName(below))
     deepest = state.agg(F.max("shortest")).scalar()
     return state.withColumn("relative", ratio(F.col("shortest"), deepest, 0.0))
 
