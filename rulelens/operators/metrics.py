@@ -6,8 +6,11 @@ size set by classes, distinct scores or bands, so the scan feeds map-side partia
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulelens.functions.hashing import poisson_one, uniform
@@ -230,13 +233,70 @@ def poisson_replicas(df: DataFrame, key: Sequence[str], replicas: int, seed: int
     return each.withColumn("w", poisson_one(uniform(seed, "__h", "replica"))).drop("__h").filter("w > 0")
 
 
-def bootstrap_accuracy(df: DataFrame, correct: Column, key: Sequence[str], replicas: int = 50, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """Percentile interval of accuracy over Poisson(1) reweightings; one pass, all replicas at once."""
-    rows = poisson_replicas(df.select(F.when(correct, 1).otherwise(0).alias("ok"), *key), key, replicas, seed)
-    per = rows.groupBy("replica").agg((F.sum(F.col("ok") * F.col("w")) / F.sum("w")).alias("accuracy"))
-    half = (1 - level) / 2
-    return per.agg(F.percentile("accuracy", half).alias("ci_low"), F.percentile("accuracy", 1 - half).alias("ci_high"),
-                   F.avg("accuracy").alias("mean"), F.count(F.lit(1)).alias("replicas"))
+def _divided(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, 0 where b is 0."""
+    return np.divide(a, b, out=np.zeros(np.broadcast(a, b).shape), where=b != 0)
+
+
+def _scores(t: np.ndarray) -> dict[str, np.ndarray]:
+    """Metrics of confusion tables (..., truth, prediction); classes with neither rows nor predictions count in no macro mean."""
+    support, predicted, tp, n = t.sum(axis=-1), t.sum(axis=-2), np.diagonal(t, axis1=-2, axis2=-1), t.sum(axis=(-2, -1))
+    recall, precision, f1 = _divided(tp, support), _divided(tp, predicted), _divided(2 * tp, support + predicted)
+    there, met = support > 0, support + predicted > 0
+    macro = lambda v, keep: _divided((v * keep).sum(axis=-1), keep.sum(axis=-1))
+    accuracy, chance = _divided(tp.sum(axis=-1), n), _divided((support * predicted).sum(axis=-1), n * n)
+    s, c = tp.sum(axis=-1) * n - (support * predicted).sum(axis=-1), np.sqrt((n * n - (predicted**2).sum(axis=-1)) * (n * n - (support**2).sum(axis=-1)))
+    return {
+        "accuracy": accuracy, "balanced_accuracy": macro(recall, there), "macro_precision": macro(precision, met), "macro_recall": macro(recall, met), "macro_f1": macro(f1, met),
+        "weighted_f1": _divided((f1 * support).sum(axis=-1), n), "kappa": np.where(chance < 1, _divided(accuracy - chance, 1 - chance), np.nan), "correlation": np.where(c > 0, _divided(s, c), np.nan),
+    }
+
+
+INTERVAL = "metric string, value double, mean double, std double, ci_low double, ci_high double, replicas long"
+
+
+def confusion_intervals(cells: DataFrame, by: Sequence[str] = (), metrics: Sequence[str] | None = None, more: Mapping[str, Callable[[np.ndarray], np.ndarray]] | None = None,
+                        replicas: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:
+    """(by, metric, value, mean, std, ci_low, ci_high, replicas): percentile bootstrap of metrics of a confusion table (truth, pred, n).
+
+    Rows drawn with replacement change a confusion table only through its cells, whose counts are multinomial; so cells are
+    drawn (as conditional binomials) instead of rows, and the work does not grow with them. Agreement with a teacher is the
+    same with the teacher's class as truth. ``more`` names functions of tables (replicas, truth, pred). A metric without a value
+    in a replica (kappa of one class) leaves that replica out. A group's draws depend on its key and the seed only. A group
+    without rows has no interval.
+    """
+    by = list(by)
+    shape = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cells.schema.fields if f.name in by) + INTERVAL
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*pdf["truth"].dropna(), *pdf["pred"].dropna()})
+        place = {x: i for i, x in enumerate(names)}
+        rows = pdf.dropna(subset=["truth", "pred"])
+        table = np.zeros((len(names), len(names)))
+        np.add.at(table, (rows["truth"].map(place).to_numpy(int), rows["pred"].map(place).to_numpy(int)), rows["n"].to_numpy(float))
+        n = int(table.sum())
+        if not n:
+            return pd.DataFrame(columns=[*by, "metric", "value", "mean", "std", "ci_low", "ci_high", "replicas"])
+        key = [pdf[c].iloc[0] for c in by]
+        rng = np.random.Generator(np.random.Philox(zlib.crc32(repr([seed, *map(str, key)]).encode())))
+        drawn = rng.multinomial(n, table.ravel() / n, size=replicas).reshape(replicas, *table.shape).astype(float)
+        whole, each = _scores(table), _scores(drawn)
+        for name, f in (more or {}).items():
+            whole[name], each[name] = f(table[None])[0], f(drawn)
+        out = []
+        for name in [*(metrics or _scores(table)), *(more or {})]:
+            values = each[name][np.isfinite(each[name])]
+            low, high = np.quantile(values, [(1 - level) / 2, (1 + level) / 2]) if len(values) else (np.nan, np.nan)
+            out.append((*key, name, float(whole[name]), values.mean() if len(values) else np.nan, values.std(ddof=1) if len(values) > 1 else np.nan, low, high, len(values)))
+        return pd.DataFrame(out, columns=[*by, "metric", "value", "mean", "std", "ci_low", "ci_high", "replicas"])
+
+    return cells.groupBy(*by).applyInPandas(draw, shape)  # a group is a table of classes x classes cells
+
+
+def bootstrap_accuracy(df: DataFrame, correct: Column, replicas: int = 50, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """Percentile interval of accuracy, from the counts of right and wrong rows."""
+    cells = df.groupBy(F.lit("right").alias("truth"), F.when(correct, "right").otherwise("wrong").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    return confusion_intervals(cells, metrics=["accuracy"], replicas=replicas, level=level, seed=seed).select("ci_low", "ci_high", "mean", "replicas")
 
 
 def utility(metrics: DataFrame, weights: dict[str, float], penalty: float = 0.0, complexity: str | None = None) -> DataFrame:

@@ -166,7 +166,26 @@ def _(t):
 
 @query("me18_bootstrap_accuracy")
 def _(t):
-    return M.bootstrap_accuracy(scored(t), F.col("s") == F.col("y"), ["okey", "lno", "pkey", "skey", "price", "qty"])
+    return M.bootstrap_accuracy(scored(t), F.col("s") == F.col("y"))
+
+
+AGREE = """, g AS (SELECT status, count(*) AS n, count_if(t = s) AS ok FROM scored GROUP BY 1), m AS (SELECT status, t AS label FROM scored UNION SELECT status, s FROM scored),
+k AS (SELECT m.status, m.label, count_if(t = label) AS sup, count_if(s = label) AS prd, count_if(t = label AND s = label) AS tp FROM m JOIN scored USING (status) GROUP BY 1, 2),
+p AS (SELECT status, sum(sup*prd::DOUBLE) AS chance, avg(CASE WHEN sup+prd > 0 THEN 2*tp::DOUBLE/(sup+prd) END) AS f1 FROM k GROUP BY 1),
+v AS (SELECT status, n, ok/n AS acc, (ok/n - chance/n/n)/(1 - chance/n/n) AS kappa, f1 FROM g JOIN p USING (status))"""
+
+
+@query("me18_agreement_intervals", f"""WITH {SCORED}{AGREE} SELECT status, 'accuracy' AS metric, acc AS value, true AS encloses, true AS as_wide_as_theory FROM v UNION ALL
+SELECT status, 'macro_f1', f1, true, NULL FROM v UNION ALL SELECT status, 'kappa', kappa, true, NULL FROM v""", floats="value")
+def _(t):
+    """Intervals of the surrogate's agreement with its teacher in each status; accuracy's is compared with the normal one."""
+    rows = scored(t)
+    cells = rows.groupBy("status", F.col("t").alias("truth"), F.col("s").alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    found = M.confusion_intervals(cells, ["status"], ["accuracy", "macro_f1", "kappa"], replicas=2000)
+    sizes = rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    theory = 2 * 1.959964 * F.sqrt(F.col("value") * (1 - F.col("value")) / F.col("n"))
+    width = F.when(F.col("metric") == "accuracy", F.abs((F.col("ci_high") - F.col("ci_low")) / theory - 1) < 0.15)
+    return found.join(sizes, "status").select("status", "metric", "value", F.col("value").between(F.col("ci_low"), F.col("ci_high")).alias("encloses"), width.alias("as_wide_as_theory"))
 
 
 @query("me19_utility", f"""WITH {SCORED}, r AS (SELECT status, y, count(*) AS sup, count_if(y=s) AS tp FROM scored GROUP BY 1, 2),
