@@ -6,6 +6,7 @@ costs one row.  Two rule sets for kinds exist side by side: the schema rules and
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -416,6 +417,43 @@ def protocol_audit(train: DataFrame, test: DataFrame, key: str, columns: Sequenc
     return digest(train, "train").unionByName(digest(test, "test"))
 
 
+def canonical(df: DataFrame, c: str) -> Column:
+    """A cell as text that does not depend on the engine: numbers with nine decimals, missing ones marked."""
+    kind = dict(df.dtypes)[c]
+    numeric = kind in ("double", "float") or kind.startswith("decimal")
+    return F.coalesce(F.col(c).try_cast("decimal(38,9)").cast("string") if numeric else F.col(c).cast("string"), F.lit("\\N"))
+
+
+def rows_digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Aggregate: the sum of 60-bit hashes of the rows, so that neither order nor partitions matter, and a row that occurs twice
+    counts twice."""
+    text = F.concat_ws("|", *[canonical(df, c) for c in columns])
+    return F.coalesce(F.sum(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string")
+
+
+def order_digest(names: Sequence[str]) -> str:
+    """Digest of names in their order."""
+    return hashlib.md5("|".join(map(str, names)).encode()).hexdigest()
+
+
+def locked_protocol(rows: DataFrame, reloaded: DataFrame, key: str, label: str, features: Sequence[str], reloaded_features: Sequence[str], classes: Sequence[str], teacher_classes: Sequence[str]) -> DataFrame:
+    """One row: digests of the evaluated rows, their ids, labels, contents, feature order and class order, for the rows as they were
+    locked and as they were read again, and what agrees.
+
+    Contents are compared with the features in one order, so that a changed order shows in the feature digest alone.
+    """
+    def side(df: DataFrame, own: Sequence[str], name: str) -> DataFrame:
+        missing = F.coalesce(F.sum(add([F.when(F.col(c).isNull(), 1).otherwise(0) for c in own])), F.lit(0)).cast("long")
+        found = {"rows": F.count(F.lit(1)), "ids": rows_digest(df, [key]), "labels": rows_digest(df, [key, label]), "content": rows_digest(df, [key, *sorted(own)]), "missing": missing}
+        return df.agg(*[v.alias(f"{k}_{name}") for k, v in found.items()])
+
+    both = side(rows, features, "locked").join(side(reloaded, reloaded_features, "read"))  # one row and one row
+    same = {f"same_{k}": F.col(f"{k}_locked") == F.col(f"{k}_read") for k in ("rows", "ids", "labels", "content", "missing")}
+    orders = {"features_locked": order_digest(features), "features_read": order_digest(reloaded_features), "classes_locked": order_digest(classes), "classes_teacher": order_digest(teacher_classes)}
+    same |= {"same_features": F.col("features_locked") == F.col("features_read"), "same_classes": F.col("classes_locked") == F.col("classes_teacher")}
+    return both.withColumns({k: F.lit(v) for k, v in orders.items()}).withColumns(same)
+
+
 def file_kind(files: DataFrame, text: str, pattern: str) -> DataFrame:
     """Whether a stored text holds several identifiers, one, or none."""
     ids = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)))

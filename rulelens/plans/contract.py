@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rulelens.functions.lineage import written
 from rulelens.functions.shapes import long_form
 from rulelens.operators import contract as C
 from rulelens.plans.bases import CASES, OBSERVED, RAW_COLUMNS, RAW_TEXT, cases, observed, raw_text
@@ -253,6 +254,29 @@ def _(t):
     return C.protocol_audit(rows.filter("month <= 9"), rows.filter("month > 9"), "id", ["total", "balance", "segment", "label"])
 
 
+def _digest_sql(*parts: str) -> str:
+    text = " || '|' || ".join(f"coalesce(({p})::VARCHAR, '\\N')" for p in parts)
+    return f"coalesce(sum(('0x' || substr(md5({text}), 1, 15))::HUGEINT), 0)::VARCHAR"
+
+
+LOCKED = {"balance": "CASE WHEN balance >= 0 THEN balance END", "segment": "segment", "total": "total"}
+_AS_TEXT = {"balance": "balance::DECIMAL(38,9)", "segment": "segment", "total": "total::DECIMAL(38,9)"}
+
+
+@query("dq23_locked_protocol", f"""WITH {CASES}, l AS (SELECT id, label, {', '.join(f'{v} AS {c}' for c, v in LOCKED.items())} FROM cases WHERE month > 9),
+d AS (SELECT count(*) AS n, {_digest_sql('id')} AS ids, {_digest_sql('id', 'label')} AS labels, {_digest_sql('id', *_AS_TEXT.values())} AS content, count(*) - count(balance) AS missing FROM l)
+SELECT n AS rows_locked, ids AS ids_locked, labels AS labels_locked, content AS content_locked, missing AS missing_locked, n AS rows_read, ids AS ids_read, labels AS labels_read, content AS content_read, missing AS missing_read,
+ md5('total|balance|segment') AS features_locked, md5('segment|balance|total') AS features_read, md5('F|O|P') AS classes_locked, (SELECT md5(string_agg(label, '|' ORDER BY label)) FROM (SELECT DISTINCT label FROM l) q) AS classes_teacher,
+ true AS same_rows, true AS same_ids, true AS same_labels, true AS same_content, true AS same_missing, false AS same_features, (SELECT string_agg(label, '|' ORDER BY label) = 'F|O|P' FROM (SELECT DISTINCT label FROM l) q) AS same_classes FROM d""",
+       ints="rows_locked rows_read missing_locked missing_read")
+def _(t):
+    """Orders of the last quarter, locked and then read again from a file with the features in another order."""
+    locked = cases(t).filter("month > 9").select("id", "label", *[F.expr(v).alias(c) for c, v in LOCKED.items()])
+    read = written(locked.select("segment", "balance", "total", "label", "id").repartition("segment"), "locked")
+    found = [r["label"] for r in locked.select("label").distinct().orderBy("label").collect()]  # class names
+    return C.locked_protocol(locked, read, "id", "label", ["total", "balance", "segment"], ["segment", "balance", "total"], ["F", "O", "P"], found)
+
+
 @query("dq24_order_relations", """SELECT 'l_discount' AS lower, 'l_tax' AS upper, count(*) AS n, avg((l_discount > l_tax)::INT) AS violation_rate FROM lineitem UNION ALL
 SELECT 'l_tax', 'l_quantity', count(*), avg((l_tax > l_quantity)::INT) FROM lineitem""", floats="violation_rate", ints="n")
 def _(t):

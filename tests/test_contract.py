@@ -101,3 +101,21 @@ def test_boolean_tokens_of_the_schema_rules(spark):
     df = spark.createDataFrame(rows, "bit string, pt string, es string, tf string")
     kinds = {r["column_name"]: r["kind"] for r in C.schema_kind(C.profile(C.column_values(df, df.columns))).collect()}
     assert kinds["bit"] == kinds["tf"] == "boolean" and kinds["es"] == "categorical"
+
+
+def test_locked_protocol_sees_every_change(spark):
+    rows = [(i, "ab"[i % 2], i * 0.1, None if i % 5 == 0 else f"s{i % 3}") for i in range(60)]
+    rows.append(rows[7])
+    df = spark.createDataFrame(rows, "id long, y string, x double, c string")
+
+    def audit(other, features=("x", "c"), classes=("a", "b")):
+        r = C.locked_protocol(df, other, "id", "y", ["x", "c"], list(features), ["a", "b"], list(classes)).first()
+        return {k[5:] for k in r.asDict() if k.startswith("same_") and not r[k]}
+
+    assert audit(df.repartition(5).orderBy(F.desc("x"))) == set()
+    assert audit(df.select("c", "x", "y", "id"), ("c", "x")) == {"features"} and audit(df, classes=("b", "a")) == {"classes"}
+    assert audit(df.withColumn("y", F.when(F.col("id") == 3, "a").otherwise(F.col("y")))) == {"labels"}
+    assert audit(df.withColumn("x", F.when(F.col("id") == 3, 9.0).otherwise(F.col("x")))) == {"content"}
+    assert audit(df.withColumn("c", F.when(F.col("id") != 5, F.col("c")).otherwise(F.lit("s0")))) == {"content", "missing"}
+    assert audit(df.distinct()) == {"rows", "ids", "labels", "content"}  # a repeated row does not cancel itself
+    assert audit(df.filter("id < 0")) == {"rows", "ids", "labels", "content", "missing"}
