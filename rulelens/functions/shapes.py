@@ -48,6 +48,12 @@ def unions(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def side_by_side(frames: Sequence[DataFrame]) -> DataFrame:
+    """One row with the columns of frames that have one row or none each; columns of an empty one are NULL."""
+    both = unions(frames)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def failed_names(checks: dict[str, Column]) -> Column:
     """Comma-separated names of the checks that do not hold (NULL counts as failed)."""
     named = [F.when(F.coalesce(c, F.lit(False)), F.lit(None)).otherwise(F.lit(n)) for n, c in checks.items()]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rulelens.functions.lineage import cut
 from rulelens.functions.ordering import quantile_grid, running_sums, with_hash_rank, exact_quantiles
-from rulelens.functions.shapes import add, as_text, hits, long_form, ratio, share, unions
+from rulelens.functions.shapes import add, as_text, hits, long_form, ratio, share, side_by_side, unions
 
 # fixed values: missing markers of the contract rules and of the schema rules
 CONTRACT_MISSING = ("", "?", "na", "n/a", "null")
@@ -447,7 +447,7 @@ def locked_protocol(rows: DataFrame, reloaded: DataFrame, key: str, label: str,
         found = {"rows": F.count(F.lit(1)), "ids": rows_digest(df, [key]), "labels": rows_digest(df, [key, label]), "content": rows_digest(df, [key, *sorted(own)]), "missing": missing}
         return df.agg(*[v.alias(f"{k}_{name}") for k, v in found.items()])
 
-    both = side(rows, features, "locked").join(side(reloaded, reloaded_features, "read"))  # one row and one row
+    both = side_by_side([side(rows, features, "locked"), side(reloaded, reloaded_features, "read")])
     same = {f"same_{k}": F.col(f"{k}_locked") == F.col(f"{k}_read") for k in ("rows", "ids", "labels", "content", "missing")}
     orders = {"features_locked": order_digest(features), "features_read": order_digest(reloaded_features), "classes_locked": order_digest(classes), "classes_teacher": order_digest(teacher_classes)}
     same |= {"same_features": F.col("features_locked") == F.col("features_read"), "same_classes": F.col("classes_locked") == F.col("classes_teacher")}

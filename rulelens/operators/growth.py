@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rulelens.functions.lineage import cut
 from rulelens.functions.ordering import quantile_grid, value_counts
 from rulelens.functions.pvalues import chi2_tail
-from rulelens.functions.shapes import add, bin_column, long_form
+from rulelens.functions.shapes import add, bin_column, long_form, side_by_side
 from rulelens.operators.trees import RuleTree, class_columns, evaluate_tests, gains, mask_counts, test_text
 
 Teacher = Callable[[DataFrame], DataFrame]
@@ -574,29 +574,76 @@ def lexicographic_choice(results: DataFrame, by: Sequence[str], t_critical: floa
     return staged.select(*by, "config", "mean", "sd", "nodes", "delta", verdict.alias("verdict"))
 
 
+def _resamples(repeats: int, exact_limit: int, draws: int, seed: int) -> tuple[list[tuple[int, ...]], list[int], bool]:
+    """Multisets of CV repeats, how many ordered resamples each stands for, and whether they are all there are."""
+    if math.comb(2 * repeats - 1, repeats) <= exact_limit:
+        samples = list(combinations_with_replacement(range(repeats), repeats))
+        return samples, [math.factorial(repeats) // math.prod(math.factorial(c.count(r)) for r in set(c)) for c in samples], True
+    rng = np.random.default_rng(seed)
+    drawn = Counter(tuple(sorted(rng.integers(0, repeats, repeats).tolist())) for _ in range(draws))
+    return list(drawn), list(drawn.values()), False
+
+
+def _choices(results: DataFrame, samples: Sequence[tuple[int, ...]], weights: Sequence[int], t_critical: float, ratio_: float) -> DataFrame:
+    """(sample, weight, config): what the staged choice takes on each resample; all of them in one job keyed by the sample."""
+    rows = [(s, r, copy, float(w)) for s, (chosen, w) in enumerate(zip(samples, weights)) for copy, r in enumerate(chosen)]
+    plan = F.broadcast(results.sparkSession.createDataFrame(rows, "sample int, repeat int, copy int, weight double"))
+    blown = results.join(plan, "repeat").withColumn("fold", F.concat_ws("-", "copy", "fold"))
+    won = lexicographic_choice(blown, ["sample"], t_critical, ratio_).filter("verdict = 'WINNER'").select("sample", "config")
+    return won.join(plan.select("sample", "weight").distinct(), "sample")
+
+
 def choice_robustness(results: DataFrame, repeats: int, t_critical: float, ratio_: float, exact_limit: int = 20_000, draws: int = 1000, seed: int = 7) -> DataFrame:
     """Win share of each candidate over every multiset of CV repeats, weighted as ordered resamples.
 
     Each distinct multiset is evaluated once, all of them in one job keyed by the multiset.  Beyond ``exact_limit``
     multisets, ``draws`` resamples stand in for the enumeration.
     """
-    spark = results.sparkSession
-    if math.comb(2 * repeats - 1, repeats) <= exact_limit:
-        samples = list(combinations_with_replacement(range(repeats), repeats))
-        weights = [math.factorial(repeats) // math.prod(math.factorial(c.count(r)) for r in set(c)) for c in samples]
-    else:  # too many multisets: draw them
-        rng = np.random.default_rng(seed)
-        drawn = Counter(tuple(sorted(rng.integers(0, repeats, repeats).tolist())) for _ in range(draws))
-        samples, weights = list(drawn), list(drawn.values())
-    rows = [(s, r, copy, float(w)) for s, (chosen, w) in enumerate(zip(samples, weights)) for copy, r in enumerate(chosen)]
-    plan = F.broadcast(spark.createDataFrame(rows, "sample int, repeat int, copy int, weight double"))
-    blown = results.join(plan, "repeat").withColumn("fold", F.concat_ws("-", "copy", "fold"))
-    won = lexicographic_choice(blown, ["sample"], t_critical, ratio_).filter("verdict = 'WINNER'").select("sample", "config")
-    weights = plan.select("sample", "weight").distinct()
-    per = won.join(weights, "sample").groupBy("config").agg(F.sum("weight").alias("w"))
+    samples, weights, _ = _resamples(repeats, exact_limit, draws, seed)
+    per = _choices(results, samples, weights, t_critical, ratio_).groupBy("config").agg(F.sum("weight").alias("w"))
     return per.withColumn("win_share", F.col("w") / per.agg(F.sum("w")).scalar()).drop("w")
 
 
+def choice_report(results: DataFrame, repeats: int, t_critical: float, ratio_: float, exact_limit: int = 20_000, draws: int = 1000, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """One row on how far the choice of a setting hangs on the CV repeats.
+
+    ``selected``: the choice on all repeats, and its share of the resamples; ``modal`` and ``runner_up``: the settings chosen most
+    and second most often (ties: smaller name), with their shares and the margin between them; ``fragile``: the choice on all
+    repeats is not the modal one; ``fidelity_low`` and ``fidelity_high``: interval of the chosen setting's mean fidelity over the
+    resamples (smallest value that the share of resamples reaches); ``share_low`` and ``share_high``: Wilson interval of the
+    selected one's share where resamples were drawn (NULL where all were enumerated). Nothing is grown again. Fewer than two
+    repeats, or no choice at all: not assessable, NULL elsewhere.
+    """
+    samples, weights, exact = _resamples(repeats, exact_limit, draws, seed)
+    chosen = cut(_choices(results, samples, weights, t_critical, ratio_))  # a row for each resample
+    selected = lexicographic_choice(results, [], t_critical, ratio_).filter("verdict = 'WINNER'").select(F.col("config").alias("selected"))
+    shares = chosen.groupBy("config").agg(F.sum("weight").alias("w"))
+    places = Window.partitionBy(F.lit(0)).orderBy(F.desc("w"), "config")  # a row for each setting
+    ranked = shares.withColumn("rank", F.row_number().over(places)).withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(0))))
+    best = ranked.agg(*[F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{name}{tail}") for r, name in ((1, "modal"), (2, "runner_up")) for c, tail in (("config", ""), ("share", "_share"))], F.sum("w").alias("total"))
+
+    folds = results.groupBy("repeat", "config").agg(F.avg("fidelity").alias("f"))
+    counted = [(s, r, chosen_.count(r)) for s, chosen_ in enumerate(samples) for r in set(chosen_)]
+    plan = F.broadcast(results.sparkSession.createDataFrame(counted, "sample int, repeat int, times int"))
+    means = folds.join(plan, "repeat").join(selected.withColumnRenamed("selected", "config"), "config").groupBy("sample").agg((F.sum(F.col("f") * F.col("times")) / repeats).alias("f"))
+    upto = Window.partitionBy(F.lit(0)).orderBy("f", "sample").rowsBetween(Window.unboundedPreceding, 0)  # a row for each resample
+    cum = means.join(chosen.select("sample", "weight"), "sample").withColumn("upto", F.sum("weight").over(upto) / F.sum("weight").over(Window.partitionBy(F.lit(0))))
+    half = (1 - level) / 2
+    fidelity = cum.agg(*[F.min(F.when(F.col("upto") >= q - 1e-12, F.col("f"))).alias(name) for q, name in ((half, "fidelity_low"), (1 - half, "fidelity_high"))])
+
+    out = side_by_side([best, fidelity, selected])
+    mine = ranked.select(F.col("config").alias("selected"), F.col("share").alias("selected_share"))
+    out = out.join(mine, "selected", "left").withColumn("selected_share", F.coalesce("selected_share", F.lit(0.0)))
+    p, n, z = F.col("selected_share"), F.col("total"), NormalDist().inv_cdf(1 - half)
+    centre, spread = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+    ends = {"share_low": F.lit(None).cast("double"), "share_high": F.lit(None).cast("double")} if exact else {"share_low": centre - spread, "share_high": centre + spread}
+    out = out.withColumns({
+        "margin": F.col("modal_share") - F.coalesce("runner_up_share", F.lit(0.0)), "gap": F.col("modal_share") - p, "fragile": F.col("modal") != F.col("selected"),
+        "assessable": F.col("modal").isNotNull() & F.lit(repeats >= 2), "method": F.lit("exact" if exact else "drawn"), "resamples": F.lit(sum(weights)).cast("long"), "evaluations": F.lit(len(samples)).cast("long"), **ends})
+    facts = ["selected", "selected_share", "modal", "modal_share", "runner_up", "runner_up_share", "margin", "gap", "fragile", "fidelity_low", "fidelity_high", "share_low", "share_high"]
+    return out.select("assessable", "method", "resamples", "evaluations", *[F.when(F.col("assessable"), F.col(c)).alias(c) for c in facts])
+
+
 def capacity_steps(results: DataFrame, t_critical: float, ratio_: float, saturation: float = 0.5) -> DataFrame:
     """Paired gain between consecutive node budgets; expand only when saturated and the gain is supported."""
     w = Window.partitionBy("fold").orderBy("max_nodes")  # one row per node budget

@@ -402,11 +402,31 @@ def _(t):
     return G.lexicographic_choice(tuning(t), [], T_CRIT, 0.5)
 
 
-@query("tr37_choice_robustness")
+RESAMPLED = TUNE + f""", sm AS (SELECT a.r*9+b.r*3+c.r AS sample, [a.r, b.r, c.r] AS rs FROM (VALUES (0), (1), (2)) a(r), (VALUES (0), (1), (2)) b(r), (VALUES (0), (1), (2)) c(r)),
+sr AS (SELECT sample, unnest(rs) AS r, unnest([0, 1, 2]) AS copy FROM sm), bl AS (SELECT sample, copy || '-' || fold AS fold, config, fidelity, nodes, max_nodes FROM lv JOIN sr ON r = fold % 3 UNION ALL SELECT -1, fold::VARCHAR, config, fidelity, nodes, max_nodes FROM lv),
+st AS (SELECT sample, config, avg(fidelity) AS mean, stddev_samp(fidelity) AS sd, avg(nodes) AS nodes, stddev_samp(nodes)/avg(nodes) AS cv, max(max_nodes) AS mx FROM bl GROUP BY 1, 2),
+bst AS (SELECT sample, config FROM st QUALIFY row_number() OVER (PARTITION BY sample ORDER BY round(mean, 12) DESC, config) = 1),
+g AS (SELECT l.sample, l.config, avg(b.fidelity-l.fidelity) AS delta, coalesce(var_samp(b.fidelity-l.fidelity), 0) AS v, count(*) AS j FROM bl l JOIN bst USING (sample) JOIN bl b ON b.sample = l.sample AND b.fold = l.fold AND b.config = bst.config GROUP BY 1, 2),
+s1 AS (SELECT st.*, CASE WHEN sqrt((1.0::DOUBLE/j+0.5)*v) > 1e-12 THEN delta/sqrt((1.0::DOUBLE/j+0.5)*v) WHEN delta <= 1e-12 THEN 0 ELSE 'inf'::DOUBLE END <= {T_CRIT} AS a1 FROM st JOIN g USING (sample, config)),
+s2 AS (SELECT *, a1 AND sd <= min(sd) FILTER (a1) OVER (PARTITION BY sample) + 0.01 AS a2 FROM s1), s3 AS (SELECT *, a2 AND cv <= min(cv) FILTER (a2) OVER (PARTITION BY sample) + 0.05 AS a3 FROM s2), s4 AS (SELECT *, a3 AND nodes <= min(nodes) FILTER (a3) OVER (PARTITION BY sample) + 1e-9 AS a4 FROM s3),
+won AS (SELECT sample, config FROM s4 WHERE a4 QUALIFY row_number() OVER (PARTITION BY sample ORDER BY mx, config) = 1),
+sh AS (SELECT config, count(*)/27.0::DOUBLE AS share, row_number() OVER (ORDER BY count(*) DESC, config) AS rk FROM won WHERE sample >= 0 GROUP BY 1)"""
+
+
+@query("tr37_choice_robustness", f"WITH {RESAMPLED} SELECT config, share AS win_share FROM sh", floats="win_share")
 def _(t):
     return G.choice_robustness(tuning(t).withColumn("repeat", F.col("fold") % 3), 3, T_CRIT, 0.5)
 
 
+@query("tr37_choice_report", f"""WITH {RESAMPLED}, fr AS (SELECT fold % 3 AS r, avg(fidelity) AS f FROM lv WHERE config = (SELECT config FROM won WHERE sample = -1) GROUP BY 1), fs AS (SELECT sample, avg(f) AS f FROM sr JOIN fr USING (r) GROUP BY 1),
+fc AS (SELECT f, row_number() OVER (ORDER BY f)/27.0::DOUBLE AS upto FROM fs), ch AS (SELECT w.config AS selected, coalesce(sh.share, 0) AS selected_share FROM won w LEFT JOIN sh USING (config) WHERE sample = -1)
+SELECT 'exact' AS method, 27 AS resamples, 10 AS evaluations, selected, selected_share, m.config AS modal, m.share AS modal_share, u.config AS runner_up, u.share AS runner_up_share, m.share - coalesce(u.share, 0) AS margin, m.share - selected_share AS gap, m.config <> selected AS fragile,
+ (SELECT min(f) FROM fc WHERE upto >= 0.025) AS fidelity_low, (SELECT min(f) FROM fc WHERE upto >= 0.975) AS fidelity_high FROM ch, (SELECT * FROM sh WHERE rk = 1) m LEFT JOIN (SELECT * FROM sh WHERE rk = 2) u ON true""",
+       floats="selected_share modal_share runner_up_share margin gap fidelity_low fidelity_high", ints="resamples evaluations")
+def _(t):
+    return G.choice_report(tuning(t).withColumn("repeat", F.col("fold") % 3), 3, T_CRIT, 0.5).drop("assessable", "share_low", "share_high")
+
+
 @query("tr38_capacity_steps", f"""WITH {TUNE}, d AS (SELECT fold, max_nodes, nodes, fidelity - lag(fidelity) OVER (PARTITION BY fold ORDER BY max_nodes) AS d, lag(max_nodes) OVER (PARTITION BY fold ORDER BY max_nodes) AS previous FROM lv),
 g AS (SELECT previous, max_nodes, avg(d) AS delta, var_samp(d) AS v, count(d) AS j, avg((nodes >= max_nodes-1)::INT) AS at_cap FROM d WHERE d IS NOT NULL GROUP BY 1, 2), u AS (SELECT *, delta/sqrt((1.0::DOUBLE/j+0.5)*v) AS t FROM g)
 SELECT previous, max_nodes, delta, j, at_cap, t, t > {T_CRIT} AND delta > 0 AS supported, CASE WHEN at_cap < 0.5 THEN 'not_saturated' WHEN t > {T_CRIT} AND delta > 0 THEN 'expand' ELSE 'plateau' END AS decision FROM u""", floats="delta at_cap t", ints="previous max_nodes j")

@@ -1,7 +1,10 @@
 """Rule trees, split search and growth against brute force."""
 
+
+import itertools
 import math
 
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +108,26 @@ def test_equal_leaves_collapse_in_both_forms(spark):
     from rulelens.plans.trees import EQUAL
     assert sorted(EQUAL.pruned().nodes) == [1, 2, 3]
     assert sorted(r["node_id"] for r in TR.prune_equal_leaves(EQUAL.table(spark)).collect()) == [1, 2, 3]
+
+
+def test_choice_report_enumerates_or_draws(spark):
+    """Setting a wins the repeats 0 and 1, b is better in repeat 2 by far: every multiset is judged by plain means."""
+    fid = {"a": [0.90, 0.91, 0.50], "b": [0.60, 0.62, 0.95]}
+    rows = [(r * 2 + k, r, c, f[r] + 0.01 * k, 5 if c == "a" else 9, 9) for c, f in fid.items() for r in range(3) for k in range(2)]
+    results = spark.createDataFrame(rows, "fold int, repeat int, config string, fidelity double, nodes int, max_nodes int")
+    report = lambda **more: G.choice_report(results, 3, 0.0, 0.5, **more).first()  # t = 0: only the best mean stays
+    wins, means = {"a": 0, "b": 0}, []
+    for s in itertools.product(range(3), repeat=3):
+        score = {c: sum(f[r] + 0.005 for r in s) / 3 for c, f in fid.items()}
+        wins[max(sorted(score), key=lambda c: round(score[c], 12))] += 1
+        means.append(score["a"])
+    full = {c: sum(f) for c, f in fid.items()}
+    assert full["a"] > full["b"] and wins["a"] > wins["b"] > 0
+    r = report()
+    assert (r["method"], r["resamples"], r["evaluations"], r["selected"], r["modal"], r["runner_up"], r["fragile"]) == ("exact", 27, 10, "a", "a", "b", False)
+    assert r["selected_share"] == pytest.approx(wins["a"] / 27) and r["margin"] == pytest.approx((wins["a"] - wins["b"]) / 27) and r["gap"] == pytest.approx(0)
+    assert r["fidelity_low"] == pytest.approx(sorted(means)[0]) and r["fidelity_high"] == pytest.approx(sorted(means)[26]) and r["share_low"] is None
+    d = report(exact_limit=1, draws=400)
+    assert d["method"] == "drawn" and d["resamples"] == 400 and d["evaluations"] == 10 and d["share_low"] < wins["a"] / 27 < d["share_high"]
+    alone = G.choice_report(results.filter("repeat = 0"), 1, 0.0, 0.5).first()
+    assert not alone["assessable"] and alone["modal"] is None
