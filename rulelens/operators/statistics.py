@@ -6,15 +6,16 @@ Statistics are Spark aggregates; tail probabilities are applied to the few rows
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rulelens.functions.lineage import cut
-from rulelens.functions.neighbours import blocks
+from rulelens.functions.lineage import cut, written
 from rulelens.functions.ordering import average_ranks, running_sums
 from rulelens.functions.pvalues import binomial_two_sided, chi2_p, normal_p, signed_rank_p, t_p
-from rulelens.functions.shapes import add, failed_names, hits, long_form, ratio, unions
+from rulelens.functions.shapes import add, bin_column, failed_names, hits, long_form, ratio, unions
 from rulelens.operators.trees import wilson_bounds
 
 TIE_DIGITS = 12
@@ -301,44 +302,106 @@ def formatted(table: DataFrame, digits: int = 4) -> DataFrame:
     return table.withColumn("text", F.format_string(f"%.{digits}f ± %.{digits}f", "mean", "std"))
 
 
+GRID_CELLS = 512  # cells of the grid at most, over all metrics
+BLOCK_ROWS, RIVAL_ROWS = 4096, 1 << 16  # rows of a block, and rows they are compared with in one group
+
+
+def _beaten(rows: np.ndarray, rivals: np.ndarray, eps: float) -> np.ndarray:
+    """Which rows some rival beats: nowhere worse and somewhere better."""
+    out = np.zeros(len(rows), dtype=bool)
+    step = max(1, (1 << 21) // max(1, len(rivals)))
+    for lo in range(0, len(rows), step):
+        x = rows[lo:lo + step]
+        worse, better = np.zeros((len(x), len(rivals)), dtype=bool), np.zeros((len(x), len(rivals)), dtype=bool)
+        for j in range(x.shape[1]):
+            gap = rivals[:, j][None, :] - x[:, j][:, None]
+            worse |= gap < -eps
+            better |= gap > eps
+        out[lo:lo + step] = (better & ~worse).any(axis=1)
+    return out
+
+
+def _grid(df: DataFrame, metrics: Sequence[str], eps: float) -> list[list[float]]:
+    """Cut points of each metric, so that all cells together are ``GRID_CELLS`` at most; no two nearer than ``eps``."""
+    slices = max(2, int(GRID_CELLS ** (1 / len(metrics)) + 1e-9))
+    found = df.agg(*[F.percentile_approx(m, [i / slices for i in range(1, slices)], 1000).alias(f"c{i}") for i, m in enumerate(metrics)]).first()
+    cuts = []
+    for i in range(len(metrics)):
+        kept: list[float] = []
+        for c in found[f"c{i}"] or []:
+            if not kept or c > kept[-1] + 2 * eps:
+                kept.append(c)
+        cuts.append(kept)
+    return cuts
+
+
 def pareto_front(df: DataFrame, key: str, metrics: Sequence[str], eps: float = 1e-12) -> DataFrame:
-    """Rows no other row beats on every metric.
+    """Rows no other row beats on every metric; rows with a missing metric are compared with nothing and stay.
 
-    Each task first drops the rows beaten inside its own slice; the surviving rows are then shipped in counted blocks
-    and compared where they lie.
+    A grid over the metrics prunes first: where an occupied cell lies above another on every metric, all of its rows beat all of
+    the other's. The rows left are reduced inside blocks of their cell; a block is then compared only with rows of cells that lie
+    nowhere below its own, in groups of bounded size. Only cut points and one count a cell pass the driver.
     """
-    cols = [key, *metrics]
-
-    def local_front(batches):
-        kept = None
-        for pdf in batches:
-            block = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
-            v = block[list(metrics)].to_numpy(dtype=float)
-            # Any row that beats another has a larger sum, so scanning by falling sum needs only the front so far.
-            alive: list[int] = []
-            for i in (-v.sum(axis=1)).argsort(kind="stable"):
-                front = v[alive]
-                if not len(alive) or not ((front >= v[i] - eps).all(axis=1) & (front > v[i] + eps).any(axis=1)).any():
-                    alive.append(i)
-            kept = block.iloc[sorted(alive)]
-        if kept is not None:
-            yield kept
-
-    local = cut(df.select(*cols).mapInPandas(local_front, df.select(*cols).schema))
-    key_type = local.schema[key].dataType.simpleString()
-    beaten = None
-    for block in blocks(local, key, metrics):  # counted; several blocks when the local fronts are many rows
-        names, rivals = block[key].to_numpy(), block[list(metrics)].to_numpy(float)
-
-        def lose(batches, names=names, rivals=rivals):
-            for pdf in batches:
-                v = pdf[list(metrics)].to_numpy(dtype=float)
-                out = [((rivals >= x - eps).all(axis=1) & (rivals > x + eps).any(axis=1) & (names != k)).any() for k, x in zip(pdf[key].to_numpy(), v)]
-                yield pdf.loc[out, [key]]
-
-        found = local.mapInPandas(lose, f"{key} {key_type}")
-        beaten = found if beaten is None else beaten.unionByName(found)
-    return local if beaten is None else local.join(beaten.distinct(), key, "left_anti")
+    cols, metrics = [key, *metrics], list(metrics)
+    rows = df.select(*cols)
+    there = reduce(lambda a, b: a & b, [F.col(m).isNotNull() & ~F.isnan(F.col(m).cast("double")) for m in metrics])
+    apart, rows = rows.filter(~there), rows.filter(there)
+    cuts = _grid(rows, metrics, eps)
+    sizes = [len(c) + 1 for c in cuts]
+    cell, lowest = F.lit(0), F.lit(0)  # a rival may be worse by eps, so it may lie in the cell below a cut
+    for i, (c, n) in enumerate(zip(cuts, sizes)):
+        cell, lowest = cell * n + bin_column(metrics[i], c), lowest * n + bin_column(f"__low{i}", c)
+    celled = rows.withColumns({f"__low{i}": F.col(m) - eps for i, m in enumerate(metrics)}).select(*cols, cell.cast("int").alias("__cell"), lowest.cast("int").alias("__under"))
+    counts = {r["__cell"]: r["n"] for r in celled.groupBy("__cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # GRID_CELLS rows at most
+    if not counts:
+        return apart
+    names = np.array(sorted(counts))
+    at = np.stack(np.unravel_index(names, sizes), axis=1)
+    # above on every metric, and by two steps on one, so that the difference exceeds eps
+    lost = [((at > a).all(axis=1) & (at > a + 1).any(axis=1)).any() for a in at]
+    alive = names[~np.array(lost)]
+    spark = df.sparkSession
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def block(n: Column) -> Column:
+        return F.pmod(F.xxhash64(key, *metrics), n).cast("int")
+
+    def numbers(pdf: pd.DataFrame) -> np.ndarray:
+        return pdf[metrics].to_numpy(dtype=float)
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        # a row that beats another has a larger sum, so the rows with larger sums decide
+        pdf = pdf.iloc[(-numbers(pdf).sum(axis=1)).argsort(kind="stable")]
+        kept = pdf.iloc[:0]
+        for lo in range(0, len(pdf), 256):
+            piece = pdf.iloc[lo:lo + 256]
+            piece = piece[~_beaten(numbers(piece), np.concatenate([numbers(kept), numbers(piece)]), eps)]
+            kept = pd.concat([kept, piece])
+        return kept
+
+    split = F.broadcast(spark.createDataFrame([(int(c), -(-counts[c] // BLOCK_ROWS)) for c in alive], "__cell int, __blocks int"))  # GRID_CELLS rows at most
+    blocked = celled.join(split, "__cell").withColumn("__block", block(F.col("__blocks"))).drop("__blocks")
+    local = written(blocked.groupBy("__cell", "__block").applyInPandas(lambda pdf: inside(pdf)[[*cols, "__cell", "__under"]], f"{kind}, __cell int, __under int"), "local-fronts")
+
+    count = lambda c: {r[c]: r["n"] for r in local.groupBy(c).agg(F.count(F.lit(1)).alias("n")).collect()}  # GRID_CELLS rows at most
+    left, asking = count("__cell"), count("__under")
+    live, low = np.array(sorted(left)), np.array(sorted(asking))
+    at = np.stack(np.unravel_index(live, sizes), axis=1)
+    above = [live[(at >= a).all(axis=1)] for a in np.stack(np.unravel_index(low, sizes), axis=1)]  # the cell itself included
+    plan = [(int(c), -(-asking[c] // BLOCK_ROWS), -(-sum(left[b] for b in over) // RIVAL_ROWS)) for c, over in zip(low, above)]
+    parts = F.broadcast(spark.createDataFrame(plan, "__under int, __blocks int, __chunks int"))  # GRID_CELLS rows at most
+    pairs = spark.createDataFrame([(int(b), int(c)) for c, over in zip(low, above) for b in over], "__cell int, __under int")  # pairs of cells, not of rows
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = local.drop("__cell").join(parts, "__under").withColumn("__block", block(F.col("__blocks"))).withColumn("__chunk", every("__chunks")).select("__under", "__block", "__chunk", *cols)
+    rivals = local.select(F.col("__cell").alias("__cell"), *[F.col(m).alias(m) for m in metrics], F.xxhash64(key, *metrics).alias("__h")).join(pairs, "__cell").join(parts, "__under")
+    rivals = rivals.withColumn("__chunk", F.pmod("__h", F.col("__chunks")).cast("int")).withColumn("__block", every("__blocks")).select("__under", "__block", "__chunk", *metrics)
+    by = ["__under", "__block", "__chunk"]
+
+    def lose(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return a.loc[_beaten(numbers(a), numbers(b), eps), [key]]
+
+    beaten = asked.groupBy(*by).cogroup(rivals.groupBy(*by)).applyInPandas(lose, f"`{key}` {rows.schema[key].dataType.simpleString()}")
+    return local.join(beaten.distinct(), key, "left_anti").select(*cols).unionByName(apart)
 
 
 def ablation_coverage(results: DataFrame, required: Sequence[str]) -> DataFrame:

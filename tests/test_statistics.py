@@ -3,6 +3,7 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,33 @@ def test_pareto_front_matches_brute_force(spark):
     assert got == {r[0] for r in rows if not any(beats(o, r) for o in rows)}
 
 
+def plain_front(v, eps=1e-12):
+    return {i for i in range(len(v)) if not ((v >= v[i] - eps).all(axis=1) & (v > v[i] + eps).any(axis=1)).any()}
+
+
+@pytest.mark.parametrize("kind", ["ties", "smooth", "one_metric", "hot", "near_eps"])
+def test_pareto_front_by_grid(spark, monkeypatch, kind):
+    rng = np.random.default_rng(4)
+    v = {"ties": lambda: rng.integers(0, 6, (700, 3)).astype(float), "smooth": lambda: rng.normal(size=(900, 3)), "one_metric": lambda: rng.integers(0, 9, (300, 1)).astype(float),
+         "hot": lambda: np.concatenate([np.full((400, 2), 0.7), rng.random((400, 2))]), "near_eps": lambda: rng.integers(0, 40, (600, 2)) + rng.choice([-4e-13, 0, 4e-13], (600, 2))}[kind]()
+    for name, value in (("BLOCK_ROWS", 60), ("RIVAL_ROWS", 90), ("GRID_CELLS", 64)):
+        monkeypatch.setattr(ST, name, value)
+    metrics = [f"m{j}" for j in range(v.shape[1])]
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(v)], ["k", *metrics]).repartition(5)
+    assert {r["k"] for r in ST.pareto_front(df, "k", metrics).collect()} == plain_front(v)
+
+
+def test_pareto_front_of_many_rows_and_of_none(spark):
+    """All 200,000 rows lie on a curve where none beats another; 1,000 below it are beaten; two without a metric stay."""
+    x = F.col("id") / 200_000
+    curve = spark.range(200_000).select("id", x.alias("a"), (1 - x * x).alias("b"))
+    below = spark.range(1000).select((F.col("id") + 1_000_000).alias("id"), (F.col("id") / 1000 * 0.9).alias("a"), (0.9 - (F.col("id") / 1000) ** 2 * 0.9).alias("b"))
+    gaps = spark.createDataFrame([(-1, None, 5.0), (-2, float("nan"), 0.0)], "id long, a double, b double")
+    front = ST.pareto_front(curve.unionByName(below).unionByName(gaps), "id", ["a", "b"])
+    assert front.agg(F.count("*"), F.sum("id")).first() == (200_002, 200_000 * 199_999 // 2 - 3)
+    assert ST.pareto_front(curve.limit(0), "id", ["a", "b"]).count() == 0
+
+
 def test_mcnemar_exact(spark):
     rows = [("a", "a", "b")] * 8 + [("a", "b", "a")] * 2 + [("a", "a", "a")] * 5
     r = ST.mcnemar(spark.createDataFrame(rows, "y string, p string, q string"), "y", "p", "q").first()

@@ -1,10 +1,8 @@
 """Rule trees, split search and growth against brute force."""
 
-
 import itertools
 import math
 
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
