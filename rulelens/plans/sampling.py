@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rulelens.functions.hashing import uniform
+from rulelens.functions.shapes import add
 from rulelens.operators import growth as G
 from rulelens.operators import sampling as SM
+from rulelens.operators import teachers as TE
 from rulelens.operators.splits import repeated_folds
-from rulelens.plans.bases import CASE_FEATURES, CLASSES, FEATURES, JUDGED, SCORED, SURROGATE, case_teacher, judged, scored, teacher_class, with_teacher
+from rulelens.plans.bases import CASE_CLASSES, CASE_FEATURES, CLASSES, FEATURES, JUDGED, SCORED, SURROGATE, case_scores, case_teacher, judged, scored, teacher_class, with_teacher
 from rulelens.plans.registry import query
 
 PROBS = {"A": "p_a", "N": "p_n", "R": "p_r"}
@@ -237,3 +240,27 @@ def _(t):
     got = G.grow(rows, FEATURES, "t", CLASSES, G.Growth(max_nodes=5, bins=16, pool=12, min_leaf=20, min_sample=32000, max_queries=4000, batch=2), top_up)
     out = got.tree.score(rows, "guess", "node_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("guess") == F.col("t")).cast("double")), 6).alias("fidelity"))
     return out.withColumns({"queries": F.lit(got.queries), "nodes": F.lit(len(got.tree.nodes))})
+
+
+@query("sm18_random_search")
+def _(t):
+    """Settings of perceptrons and linear models, drawn and judged out of fold on the orders."""
+    return TE.random_search(ml_cases(t).select("features", "y", "fold"), "y", "fold", 3, 4, 3, trials=4).trials.withColumn("balanced_accuracy", F.round("balanced_accuracy", 4))
+
+
+@query("sm18_calibration")
+def _(t):
+    """A teacher whose probabilities are right by construction (labels are drawn from them), and one that is too sure."""
+    rows = repeated_folds(judged(t), ["id"], "cls", 3, 1).select("id", "fold").join(judged(t), "id")
+    powers = {c: F.exp(v) for c, v in case_scores().items()}
+    total = add(powers.values())
+    right = rows.withColumns({f"p_{c}": v / total for c, v in powers.items()})
+    draw = uniform("calibration", "id")
+    right = right.withColumn("drawn", F.when(draw < F.col("p_bronze"), "bronze").when(draw < F.col("p_bronze") + F.col("p_gold"), "gold").otherwise("silver"))
+    cubes = {c: F.col(f"p_{c}") ** 3 for c in CASE_CLASSES}
+    sure = right.withColumns({f"p_{c}": v / add(cubes.values()) for c, v in cubes.items()})
+    out = []
+    for name, scores in (("right", right), ("too_sure", sure)):
+        found = TE.calibrate(scores, {c: f"p_{c}" for c in CASE_CLASSES}, "drawn", "fold", 3)
+        out.append((name, found.accepted, *[round(float(found.report[f"{m}_{side}"]), 6) for m in ("ece", "log_loss", "accuracy") for side in ("before", "after")]))
+    return t.spark.createDataFrame(out, "teacher string, accepted boolean, ece_before double, ece_after double, log_loss_before double, log_loss_after double, accuracy_before double, accuracy_after double")
