@@ -465,7 +465,7 @@ def transform_contract(df: DataFrame, key: Sequence[str], transform, originals:
     """Determinism, untouched originals and row independence of a projection, as maximal absolute differences."""
     once = transform(df)
     derived = [c for c in once.columns if c not in df.columns]
-    again = transform(df.repartition(4, *key)).select(*key, *[F.col(c).alias(f"{c}__2") for c in [*originals, *derived]])
+    again = transform(df.repartition(*key)).select(*key, *[F.col(c).alias(f"{c}__2") for c in [*originals, *derived]])
     before = df.select(*key, *[F.col(c).alias(f"{c}__0") for c in originals])
     joined = once.join(again, list(key)).join(before, list(key))
     gap = lambda a, b: F.coalesce(F.max(F.abs(F.col(a) - F.col(b))), F.lit(0.0))

@@ -594,20 +594,25 @@ def augmentation(df: DataFrame, key: Sequence[str], cap: int, weight_total: floa
     return tagged.withColumn("weight", F.when(F.col("__kept"), F.least(F.lit(max_weight), F.col("raw") * weight_total / total))).drop("__kept")
 
 
-def local_trees(instances: DataFrame, rows: DataFrame, key: str, features: Sequence[str], label: str, labels: Sequence[str], scales: Mapping[str, float], size: int = 300, depth: int = 2, min_leaf: int = 5) -> DataFrame:
-    """A small tree on the ``size`` nearest rows of every instance, with its local fidelity.
+def local_trees(instances: DataFrame, rows: DataFrame, key: str, features: Sequence[str], label: str, labels: Sequence[str], scales: Mapping[str, float], size: int = 300, depth: int = 2, min_leaf: int = 5,
+                candidates: DataFrame | None = None) -> DataFrame:
+    """A small tree on the ``size`` nearest rows of every instance and its candidates, with its local fidelity.
 
-    The neighbourhood has a fixed size, so each group handed to Python is small.
+    ``candidates`` (instance, label, features) are an instance's validated counterfactuals with the teacher's class: rows of the
+    neighbourhood like all others, counted apart. Fidelity is measured on both together and on the observed rows alone. The
+    neighbourhood has a fixed size, so each group handed to Python is small.
     """
     inst = instances.select(F.col(key).alias("instance"), *features)
     near = nearest(rows, inst, features, size, key, "instance", scales).select("instance", F.col("neighbour").alias(key))
-    local = near.join(rows.select(key, label, *features), key)
+    local = near.join(rows.select(key, label, *features), key).select("instance", label, *features, F.lit(False).alias("__made"))
+    if candidates is not None:
+        local = local.unionByName(candidates.select("instance", label, *features, F.lit(True).alias("__made")))
     place = {l: i for i, l in enumerate(labels)}
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[list(features)].to_numpy(float), pdf[label].map(place).to_numpy()
+        x, y, made = pdf[list(features)].to_numpy(float), pdf[label].map(place).to_numpy(), pdf["__made"].to_numpy(bool)
         count = lambda idx: np.bincount(y[idx], minlength=len(labels)).astype(float)
-        right = rules_found = 0
+        right = rules_found = seen = 0
         first = ""
         stack = [(np.arange(len(y)), 0)]
         while stack:
@@ -623,14 +628,16 @@ def local_trees(instances: DataFrame, rows: DataFrame, key: str, features: Seque
                                 best = (g, (j, float(thr), low))
             if best[1] is None:
                 right += total.max()
+                seen += int((y[idx][~made[idx]] == total.argmax()).sum())
                 rules_found += 1
                 continue
             j, thr, low = best[1]
             first = first or features[j]
             stack += [(low, d + 1), (np.setdiff1d(idx, low), d + 1)]
-        return pd.DataFrame({"instance": [pdf["instance"].iloc[0]], "rows": [len(y)], "leaves": [rules_found], "local_fidelity": [right / len(y)], "root": [first]})
+        return pd.DataFrame({"instance": [pdf["instance"].iloc[0]], "rows": [int((~made).sum())], "candidates": [int(made.sum())], "leaves": [rules_found], "local_fidelity": [right / len(y)],
+                             "observed_fidelity": [seen / max(1, int((~made).sum()))], "root": [first]})
 
-    return local.groupBy("instance").applyInPandas(fit, "instance long, rows long, leaves long, local_fidelity double, root string")
+    return local.groupBy("instance").applyInPandas(fit, "instance long, rows long, candidates long, leaves long, local_fidelity double, observed_fidelity double, root string")
 
 
 def estimate_errors(df: DataFrame, estimate: str, truth: str, sd: str, bins: int = 20, close: float = 0.25) -> tuple[DataFrame, DataFrame]:

@@ -51,21 +51,30 @@ def marginal_draws(df: DataFrame, key: Sequence[str], features: Sequence[str], n
     return got.groupBy("draw").agg(*[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features])
 
 
-def draw_until(draw: Callable[[int, int], DataFrame], accept: Column, wanted: int, rounds: int = 6, first: int = 6) -> tuple[DataFrame, int]:
+class Shortfall(ValueError):
+    """A region gave fewer draws than were asked for."""
+
+
+def draw_until(draw: Callable[[int, int], DataFrame], accept: Column, wanted: int, rounds: int = 16, first: int = 6, most: int = 1 << 32, partial: bool = False) -> tuple[DataFrame, int]:
     """Rejection sampling: grow the batch by the observed acceptance until ``wanted`` rows pass.
 
-    Returns exactly ``wanted`` rows (or all accepted ones when the region is too rare) and the number tried.
+    Returns exactly ``wanted`` rows, the first ones by round and draw, and the number tried. If ``rounds`` batches (or ``most``
+    draws) do not give as many, the region is empty or too rare: an error that says how many passed, or those rows with
+    ``partial``.
     """
     parts, have, tried, batch = [], 0, 0, max(64, wanted * first)
     for r in range(rounds):
-        ok = draw(batch, r).filter(accept)
+        ok = draw(batch, r).filter(accept).withColumn("__round", F.lit(r))
         n = ok.count()
         parts.append(ok)
         have, tried = have + n, tried + batch
-        if have >= wanted:
+        if have >= wanted or tried >= most:
             break
-        batch = int(min(max(64, (wanted - have) * 1.3 / max(have / tried, 1e-3)), 50 * max(64, wanted)))
-    return unions(parts).limit(wanted), tried
+        # by the acceptance seen so far; while nothing has passed, four times as many
+        batch = min(most - tried, max(64, int((wanted - have) * 1.3 * tried / have)) if have else 4 * batch)
+    if have < wanted and not partial:
+        raise Shortfall(f"{have} of {wanted} draws passed in {tried} tries: the region is empty or too rare")
+    return unions(parts).orderBy("__round", "draw").limit(wanted).drop("__round"), tried
 
 
 def joint_draws(df: DataFrame, key: Sequence[str], features: Sequence[str], n: int, seed: int, model: Mapping[str, dict], groups: Sequence[Sequence[str]] = (), ordinal: Sequence[str] = (),

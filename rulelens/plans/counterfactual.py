@@ -411,8 +411,9 @@ def _(t):
 def _(t):
     rows = judged(t)
     spread = rows.agg(*[F.stddev_pop(f).alias(f) for f in CASE_FEATURES]).first().asDict()
-    trees = CF.local_trees(rows, rows, "id", CASE_FEATURES, "cls", CASE_CLASSES, spread, size=200)
-    return trees.agg(F.count(F.lit(1)).alias("instances"), F.min("rows").alias("rows"), F.round(F.avg("local_fidelity"), 4).alias("fidelity"), F.max("leaves").alias("leaves"))
+    flips = fixed(t).select(F.col("id").alias("instance"), F.col("cls").alias("was"), case_teacher().alias("cls"), *CASE_FEATURES).filter("cls <> was")
+    trees = CF.local_trees(rows, rows, "id", CASE_FEATURES, "cls", CASE_CLASSES, spread, size=200, candidates=flips)
+    return trees.agg(F.count(F.lit(1)).alias("instances"), F.min("rows").alias("rows"), F.sum("candidates").alias("candidates"), F.round(F.avg("observed_fidelity"), 4).alias("observed_fidelity"), F.round(F.avg("local_fidelity"), 4).alias("fidelity"), F.max("leaves").alias("leaves"))
 
 
 EST = JUDGED + """, es AS (SELECT (0.2+1.2-balance/10000.0::DOUBLE)*200000.0::DOUBLE AS truth, 200000.0::DOUBLE + (month-6)*12000 AS estimate FROM judged), er AS (SELECT abs(estimate-truth)/(SELECT stddev_pop(total) FROM judged) AS e FROM es)"""

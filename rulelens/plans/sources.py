@@ -26,7 +26,7 @@ def _(t):
 def _(t):
     folder = new_folder(t.spark, "text")
     t.customer.select(F.lpad(F.col("c_custkey").cast("string"), 7, "0").alias("code"), F.col("c_mktsegment").alias("name"), F.col("c_mktsegment").alias("third")).write.option("header", False).option("sep", "|").csv(f"{folder}/body")
-    TB.enclosed(t.spark.read.text(f"{folder}/body").repartition(4), "code|name|name").write.text(f"{folder}/all")
+    TB.enclosed(t.spark.read.text(f"{folder}/body"), "code|name|name").write.text(f"{folder}/all")
     df, repeated = TB.read_text_columns(t.spark, f"{folder}/all")
     return df.withColumn("repeated", F.lit(",".join(repeated)))
 

@@ -69,7 +69,7 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double").repartition(5)
     queries = df.filter("id < 15").withColumnRenamed("id", "q")
     for limit in (4096, 8):
-        monkeypatch.setattr(N, "BLOCK_ROWS", limit)
+        monkeypatch.setattr(N, "CELL_ROWS", limit)
         got = {(r["q"], r["rank"]): r["neighbour"] for r in N.nearest(df, queries, ["a", "b", "c"], 4, "id", "q").collect()}
         for q in range(15):
             order = np.argsort(np.linalg.norm(x - x[q], axis=1), kind="stable")[:4]

@@ -28,3 +28,24 @@ def test_diverse_rows_are_chosen_from_all_rows(spark):
     few = df.limit(3)
     assert SM.diverse_top(few, "id", F.col("s"), ["a", "b"], {"a": 1.0, "b": 1.0}, 12).count() == 3
     assert SM.diverse_top(df.filter("id < 0"), "id", F.col("s"), ["a", "b"], {"a": 1.0, "b": 1.0}, 12).count() == 0
+
+
+def test_a_rare_region_is_an_error_with_numbers(spark):
+    draw = lambda n, r: spark.range(n).select(F.col("id").alias("draw"), (F.col("id") + 1000 * r).alias("x"))
+    with pytest.raises(SM.Shortfall, match="0 of 20 draws passed"):
+        SM.draw_until(draw, F.col("x") < 0, 20, rounds=4)
+    some, tried = SM.draw_until(draw, F.col("x") < 7, 20, rounds=3, partial=True)
+    assert some.count() == 7 and tried > 120
+    full, _ = SM.draw_until(draw, F.col("x") % 2 == 0, 20)
+    assert [r["draw"] for r in full.orderBy("draw").collect()] == list(range(0, 40, 2))  # the first ones, whatever the partitions
+
+
+def test_local_trees_hold_the_instances_candidates(spark):
+    from rulelens.operators import counterfactual as CF
+
+    rows = spark.createDataFrame([(i, float(i), "n" if i < 50 else "p") for i in range(60)], "id long, x double, cls string")
+    made = spark.createDataFrame([(3, 200.0 + i, "p") for i in range(10)], "instance long, x double, cls string")
+    got = {r["instance"]: r for r in CF.local_trees(rows.filter("id IN (3, 52)"), rows, "id", ["x"], "cls", ["n", "p"], {"x": 1.0}, size=20, candidates=made).collect()}
+    # thresholds are deciles, so the cut lies inside the candidates and one of them shares a leaf with observed rows
+    assert (got[3]["rows"], got[3]["candidates"], got[3]["observed_fidelity"]) == (20, 10, 1.0) and got[3]["local_fidelity"] == pytest.approx(29 / 30)
+    assert (got[52]["rows"], got[52]["candidates"]) == (20, 0)
