@@ -386,16 +386,39 @@ def numeric_split(table: np.ndarray, edges: Sequence[float], min_leaf: float) ->
     return dict(kind="numeric", gain=float(gain[j]), ratio=float(ratio_[j]), thr=float(edges[j]), priors={"left": float(nl[j] / w), "right": float(1 - nl[j] / w)})
 
 
-def categorical_split(table: Mapping[str | None, np.ndarray], min_leaf: float) -> dict | None:
-    known = {k: v for k, v in table.items() if k is not None}
-    if len(known) < 2 or min(v.sum() for v in known.values()) < min_leaf:
-        return None
-    stack = np.stack([known[k] for k in sorted(known)])
-    missing = table[None].sum() if None in table else 0.0
-    w, sizes = stack.sum(), stack.sum(axis=1)
-    gain = float(w / (w + missing) * (bits(stack.sum(axis=0)) - (sizes / w * bits(stack)).sum()))
-    info = float(bits(np.append(sizes, missing)))
-    return dict(kind="categorical", gain=gain, ratio=gain / info if info > 1e-12 else 0.0, thr=None, priors={k: float(s / w) for k, s in zip(sorted(known), sizes)})
+def value_sizes(rows: DataFrame, categorical: Sequence[str], label: str) -> DataFrame:
+    """(node_id, feature, value, label, n): weighted rows of every value in every node, NULL for the missing ones."""
+    long = long_form(rows.select("node_id", "w", label, *[F.col(c).cast("string").alias(c) for c in categorical]), ["node_id", "w", label], categorical)
+    return long.groupBy("node_id", "feature", "value", label).agg(F.sum("w").alias("n"))
+
+
+def categorical_splits(sizes: DataFrame, label: str, min_leaf: float) -> dict[tuple[int, str], dict]:
+    """Gain and ratio of branching on every value, for each node and column that may be branched on.
+
+    Entropies come from sums of n log n, so one row a node and column is collected, however many values the column has.
+    """
+    xlogx = lambda n: F.when(n > 0, n * F.log2(n)).otherwise(0.0)
+    known, n = F.col("value").isNotNull(), F.col("n")
+    each = sizes.groupBy("node_id", "feature", "value").agg(F.sum("n").alias("s"), F.sum(xlogx(n)).alias("t"))
+    size, term = F.when(known, F.col("s")), F.when(known, xlogx(F.col("s")))
+    per = each.groupBy("node_id", "feature").agg(F.count(size).alias("k"), F.min(size).alias("least"), F.sum(size).alias("w"), F.sum(term).alias("sizes"), F.sum(term - F.col("t")).alias("inside"),
+                                                 F.coalesce(F.sum(F.when(~known, F.col("s"))), F.lit(0.0)).alias("missing"))
+    classes = sizes.filter(known).groupBy("node_id", "feature", label).agg(F.sum("n").alias("n")).groupBy("node_id", "feature").agg(F.sum(xlogx(n)).alias("classes"))
+    w, missing = F.col("w"), F.col("missing")
+    gain = w / (w + missing) * (F.log2(w) - (F.col("classes") + F.col("inside")) / w)
+    info = F.log2(w + missing) - (F.col("sizes") + xlogx(missing)) / (w + missing)
+    found = per.filter((F.col("k") >= 2) & (F.col("least") >= min_leaf)).join(classes, ["node_id", "feature"]).select("node_id", "feature", gain.alias("gain"), F.when(info > 1e-12, gain / info).otherwise(0.0).alias("ratio"))
+    return {(r["node_id"], r["feature"]): dict(kind="categorical", gain=r["gain"], ratio=r["ratio"], thr=None) for r in found.collect()}
+
+
+def branch_shares(sizes: DataFrame, chosen: Mapping[int, str]) -> dict[int, dict[str, float]]:
+    """The values of each node's chosen column with their shares: the branches that the tree is about to get."""
+    wanted = sizes.sparkSession.createDataFrame(list(chosen.items()), "node_id long, feature string")
+    each = sizes.filter("value IS NOT NULL").join(wanted, ["node_id", "feature"]).groupBy("node_id", "value").agg(F.sum("n").alias("s"))
+    out: dict[int, dict[str, float]] = {}
+    for r in each.collect():
+        out.setdefault(r["node_id"], {})[r["value"]] = r["s"]
+    return {i: {v: float(s[v] / sum(s.values())) for v in sorted(s)} for i, s in out.items()}
 
 
 def grow_gain_ratio(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, labels: Sequence[str], max_depth: int = 4, min_leaf: float = 2.0,
@@ -414,18 +437,15 @@ def grow_gain_ratio(df: DataFrame, numeric: Sequence[str], categorical: Sequence
             ids = level[start:start + max_nodes_in_flight]
             rows = tree.spread(df, ids)
             tables = histograms(rows, F.col("node_id"), label, labels, edges, F.col("w")) if edges else {}
-            cats: dict[tuple[int, str], dict] = {}
-            if categorical:
-                long = long_form(rows.select("node_id", "w", label, *[F.col(c).cast("string").alias(c) for c in categorical]), ["node_id", "w", label], categorical)
-                wide = long.groupBy("node_id", "feature", "value", label).agg(F.sum("w").alias("n"))
-                # Columns with too many values to branch on are dropped before anything is collected.
-                size = wide.groupBy("node_id", "feature").agg(F.count_distinct("value").alias("k")).filter(F.col("k") <= 200)
-                for r in wide.join(size, ["node_id", "feature"]).collect():
-                    cats.setdefault((r["node_id"], r["feature"]), {}).setdefault(r["value"], zero.copy())[place[r[label]]] += r["n"]
+            sizes = cut(value_sizes(rows, categorical, label)) if categorical else None  # counted values, read up to three times
+            cats = categorical_splits(sizes, label, min_leaf) if categorical else {}
+            counts = {i: zero.copy() for i in ids}
+            for r in rows.filter(F.col(label).isin(labels)).groupBy("node_id", label).agg(F.sum("w").alias("n")).collect():  # a row for each node and class
+                counts[r["node_id"]][place[r[label]]] += r["n"]
+            chosen: dict[int, dict] = {}
             for i in ids:
                 n = tree.nodes[i]
-                source = next(iter(tables[i].values())) if i in tables else np.stack(list(next((v for k, v in cats.items() if k[0] == i), {None: zero}).values()))
-                n["counts"] = source.sum(axis=0)
+                n["counts"] = counts[i]
                 total = n["counts"].sum()
                 if (n["counts"] > 1e-12).sum() <= 1:
                     n["stop"] = "PURE"
@@ -435,19 +455,23 @@ def grow_gain_ratio(df: DataFrame, numeric: Sequence[str], categorical: Sequence
                     n["stop"] = "MAX_DEPTH"
                 else:
                     options = [dict(s, feature=f) for f in numeric if (s := numeric_split(tables[i][f], edges[f], min_leaf))]
-                    options += [dict(s, feature=f) for f in categorical if f not in n["used"] and (s := categorical_split(cats.get((i, f), {}), min_leaf))]
+                    options += [dict(s, feature=f) for f in categorical if f not in n["used"] and (s := cats.get((i, f)))]
                     options = [o for o in options if o["gain"] > 1e-12]
                     if not options:
                         n["stop"] = "NO_VALID_SPLIT"
                         continue
                     mean = sum(o["gain"] for o in options) / len(options)
                     best = min((o for o in options if o["gain"] + 1e-12 >= mean), key=lambda o: (-round(o["ratio"], 12), -round(o["gain"], 12), o["feature"]))
-                    n.update(kind=best["kind"], feature=best["feature"], thr=best["thr"], priors=best["priors"], gain=best["gain"])
-                    used = n["used"] | ({best["feature"]} if best["kind"] == "categorical" else set())
-                    for b in best["priors"]:
-                        tree.nodes[next_id] = dict(parent_id=i, branch=b, kind="leaf", depth=n["depth"] + 1, counts=zero, used=used)
-                        following.append(next_id)
-                        next_id += 1
+                    chosen[i] = best
+            shares = branch_shares(sizes, {i: o["feature"] for i, o in chosen.items() if o["kind"] == "categorical"}) if any(o["kind"] == "categorical" for o in chosen.values()) else {}
+            for i, best in chosen.items():
+                n, priors = tree.nodes[i], shares[i] if best["kind"] == "categorical" else best["priors"]
+                n.update(kind=best["kind"], feature=best["feature"], thr=best["thr"], priors=priors, gain=best["gain"])
+                used = n["used"] | ({best["feature"]} if best["kind"] == "categorical" else set())
+                for b in priors:
+                    tree.nodes[next_id] = dict(parent_id=i, branch=b, kind="leaf", depth=n["depth"] + 1, counts=zero, used=used)
+                    following.append(next_id)
+                    next_id += 1
         level = following
     df.unpersist()
     return tree

@@ -96,6 +96,29 @@ def test_gain_ratio_tree_shares_missing_rows(spark):
     assert len(pruned.nodes) <= len(tree.nodes)
 
 
+def test_branches_on_a_column_of_many_values(spark):
+    """300 values decide the class; a column of two values is nearly as good, and one with a single row cannot be branched on."""
+    rows = [(f"v{i % 300}", "ab"[i % 2], f"u{i}", "xyz"[(i % 300) % 3]) for i in range(1800)] + [(None, "a", "u0", "x"), (None, None, None, "y")]
+    df = spark.createDataFrame(rows, "wide string, two string, single string, y string").repartition(3)
+    tree = G.grow_gain_ratio(df, [], ["wide", "two", "single"], "y", ["x", "y", "z"], max_depth=2)
+    assert tree.nodes[1]["feature"] == "wide" and len(tree.nodes[1]["priors"]) == 300 and sum(tree.nodes[1]["priors"].values()) == pytest.approx(1.0)
+    assert tree.probabilities(df.dropna()).filter("prediction <> y").count() == 0
+    assert sum(tree.nodes[i]["counts"].sum() for i in tree.leaves()) == pytest.approx(len(rows))
+
+    found = G.categorical_splits(G.value_sizes(df.withColumns({"node_id": F.lit(1).cast("long"), "w": F.lit(1.0)}), ["wide", "two", "single"], "y"), "y", 2.0)
+    assert set(found) == {(1, "wide"), (1, "two")}
+    for j, name in ((0, "wide"), (1, "two")):
+        table = {}
+        for r in rows:
+            table.setdefault(r[j], [0, 0, 0])["xyz".index(r[3])] += 1
+        missing = sum(table.pop(None, [0]))
+        sizes = [sum(v) for v in table.values()]
+        w = sum(sizes)
+        whole = [sum(v[c] for v in table.values()) for c in range(3)]
+        gain = w / (w + missing) * (entropy(whole) - sum(s / w * entropy(v) for s, v in zip(sizes, table.values())))
+        assert found[1, name]["gain"] == pytest.approx(gain, abs=1e-12) and found[1, name]["ratio"] == pytest.approx(gain / entropy([*sizes, missing]), abs=1e-12)
+
+
 def test_route_fractionally(spark):
     df = spark.createDataFrame([(1.0, 1.0), (5.0, 1.0), (None, 1.0)], "x double, w double")
     got = sorted((r["branch"], r["w"]) for r in TR.route_fractionally(df, "x", 2.0, 0.25).collect())
