@@ -1,10 +1,11 @@
-"""Suffix buckets by bucket-pointer refinement: removes every long byte string that occurs anywhere else.
+"""Buckets of sampled suffixes, refined by names of later offsets: removes every long byte string that occurs anywhere else.
 
 Sorting all suffixes of a corpus would move every byte many times over. Here only sampled suffixes are sorted: in every window
 of ``LENGTH`` bytes the q-gram with the least hash is its anchor, so equal windows have equal anchors at equal places. Suffixes
 at anchors start in the bucket of their q-gram. Buckets are refined by sorting on the identifiers of the q-grams at later
 offsets (and earlier ones, for the part of a window before its anchor): an identifier of 2d bytes is made from those of d bytes
-at i and i + d, so every round reuses the names of the one before. What shares its whole surroundings with another suffix is
+at i and i + d. Identifiers are hashes of bytes, not numbers of sorted buckets that are written back for the next round, so this
+is a variant of bucket-pointer refinement, not the method itself; equality rests on 128 bits of hashes. What shares its whole surroundings with another suffix is
 repeated; what shares not even the part common to all its windows is not; the rest goes on with a finer range of windows, down
 to single ones. The sort is distributed and streamed: no bucket, however large, lies in one task, and no pairs are made.
 """
