@@ -196,6 +196,16 @@ def test_exact_topk_of_few_and_no_vectors(spark):
     assert search([(100, [1.0], 1)]).count() == 0 == search([]).count() == search([(100, None, 1)]).count()
 
 
+def test_exact_topk_of_large_ids_and_wide_components(spark, monkeypatch):
+    """A null id beside ids that doubles do not hold, and components of more than 21 bits before the comma."""
+    monkeypatch.setattr(balltree, "SHARD", 60)
+    rng = np.random.default_rng(2)
+    vectors = [(2**60 + i, rng.normal(size=8).tolist(), 1) for i in range(200)] + [(None, [1.0] * 8, 1)]
+    vectors += [(-100, [3e6] * 8, 1), (9, [1e7] + [0.0] * 7, 1), (10, [2e6, -3e6] + [0.5] * 6, 1)]
+    got = balltree.search(vector_table(spark, vectors).repartition(3), F.col("vec_id") % 100 == 0)
+    assert rows(got) == brute_top(vectors, 8, lambda i: i is not None and i % 100 == 0, 10)
+
+
 def test_wide_components_stay_exact():
     q, x = np.array([[2**27 + 1, 3]], dtype=np.int32), np.array([[2**27 - 1, 5], [-(2**27), 7]], dtype=np.int32)
     assert balltree.exact(q, x).tolist() == [[(2**27 + 1) * (2**27 - 1) + 15, -(2**27 + 1) * 2**27 + 21]]
