@@ -179,7 +179,7 @@ def described(df, s, by=("target",)):
 
 @query("cf10_boundary_distance")
 def _(t):
-    rows = chosen(t).select("id", *[F.col(f"o_{f}").alias(f) for f in CASE_FEATURES]).distinct()
+    rows = judged(t).select("id", *CASE_FEATURES).distinct()
     d = CF.boundary_distance(rows, ["id"], specs(t), case_teacher)
     return d.agg(F.count(F.lit(1)).alias("n"), F.count("boundary_distance").alias("found"), F.round(F.avg("boundary_distance"), 4).alias("mean"), F.round(F.max("boundary_distance"), 4).alias("worst"))
 

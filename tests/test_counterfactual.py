@@ -139,3 +139,10 @@ def test_draws_stay_beside_their_donors(tables, specs, monkeypatch):
     per = near.groupBy("task", "same").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("last")).collect()
     assert {r["task"] for r in per} == {r["task"] for r in plan.chosen(tables).select("task").collect()}
     assert all(r["n"] == r["last"] <= 15 for r in per)
+
+
+def test_directions_of_a_row_stay_together(tables, specs):
+    """No row is made for each direction, and the end lies just beyond a point where the class changes."""
+    found = CF.boundary_distance(judged(tables).select("id", *CASE_FEATURES).limit(50), ["id"], specs, case_teacher)
+    assert "explode(" not in found._jdf.queryExecution().executedPlan().toString()
+    assert all(r["boundary_distance"] is None or 0 < r["boundary_distance"] <= 2.0 for r in found.collect())
