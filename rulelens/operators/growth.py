@@ -71,6 +71,16 @@ def with_bins(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
     return df.withColumns({f"__b_{f}": F.coalesce(bin_column(f, e), F.lit(-1)) for f, e in edges.items()})
 
 
+def binned_counts(df: DataFrame, edges: Mapping[str, Sequence[float]], others: Sequence[str]) -> DataFrame:
+    """Rows counted as ``__n`` by their bins and ``others``, with bin numbers and one value of each bin.
+
+    Cuts of a tree are edges, so the smallest value of a bin takes every branch that the bin's other values take. The table is
+    bounded by the bins and the distinct ``others``, not by the rows; it is what every search step reads.
+    """
+    counted = with_bins(df.select(*edges, *others), edges).groupBy(*[f"__b_{f}" for f in edges], *others)
+    return counted.agg(F.count(F.lit(1)).alias("__n"), *[F.min(f).alias(f) for f in edges])
+
+
 def histograms(rows: DataFrame, node: Column, label: str, labels: Sequence[str], edges: Mapping[str, Sequence[float]], weight: Column | None = None) -> dict[int, dict[str, np.ndarray]]:
     """node -> feature -> array[bin, class]; the last bin holds missing values.  One job, bounded result."""
     features = list(edges)
@@ -207,8 +217,8 @@ def grow(df: DataFrame, features: Sequence[str], label: str, labels: Sequence[st
     extra labelled rows for a node with fewer than ``min_sample`` rows.
     """
     edges = bin_edges(df, features, cfg.bins)
-    df = with_bins(df.select(*features, label), edges).persist(StorageLevel.MEMORY_AND_DISK)  # every search step reads these columns
-    root = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
+    df = binned_counts(df, edges, [label]).persist(StorageLevel.MEMORY_AND_DISK)
+    root = df.groupBy(label).agg(F.sum("__n").alias("n")).collect()
     counts0 = np.array([next((r["n"] for r in root if r[label] == l), 0) for l in labels], float)
     tree = RuleTree({1: dict(node_id=1, parent_id=None, branch=None, m=0, literals=[], prediction=labels[int(counts0.argmax())])})
     state = {1: dict(counts=counts0, reach=1.0, depth=0)}
@@ -228,8 +238,8 @@ def grow(df: DataFrame, features: Sequence[str], label: str, labels: Sequence[st
                 wanted = min(short, cfg.max_queries - queries)
                 extra = top_up(tree, i, wanted)
                 queries += wanted
-                rows = rows.unionByName(with_bins(extra.select(*features, label), edges).withColumn("node_id", F.lit(i).cast("long")))
-        tables = histograms(rows, F.col("node_id"), label, labels, edges)
+                rows = rows.unionByName(binned_counts(extra, edges, [label]).withColumn("node_id", F.lit(i).cast("long")))
+        tables = histograms(rows, F.col("node_id"), label, labels, edges, F.col("__n"))
         pools = {}
         for i in ids:
             if i not in tables:
@@ -250,7 +260,7 @@ def grow(df: DataFrame, features: Sequence[str], label: str, labels: Sequence[st
                     ready[i] = dict(stop="NO_VALID_SPLIT")
         if not pools:
             return
-        patterns = mask_counts(rows, "node_id", label, labels, {i: [l for _, l in p] for i, p in pools.items()}).persist()
+        patterns = mask_counts(rows, "node_id", label, labels, {i: [l for _, l in p] for i, p in pools.items()}, F.col("__n")).persist()
         found = beam_search(patterns, pools, labels, cfg)
         sides = evaluate_tests(patterns, patterns.sparkSession.createDataFrame(
             [(int(i), 0, m, sum(1 << [l for _, l in pools[i]].index(x) for x in lits), 0, 0) for i, (_, m, lits) in found.items()],
@@ -321,8 +331,8 @@ class GainRatioTree:
         parents = {n["parent_id"] for n in self.nodes.values()}
         return [i for i in self.nodes if i not in parents]
 
-    def weight(self, i: int) -> Column:
-        """Share of a row that reaches a node: 1/0 on known values, branch priors on missing ones."""
+    def weight(self, i: int, above: Callable[[int], Column] | None = None) -> Column:
+        """Share of a row that reaches a node: 1/0 on known values, branch priors on missing ones; ``above`` gives the parent's."""
         n = self.nodes[i]
         if n["parent_id"] is None:
             return F.lit(1.0)
@@ -333,7 +343,7 @@ class GainRatioTree:
         else:
             here = v.cast("string") == n["branch"]
         step = F.when(v.isNull(), F.lit(float(up["priors"][n["branch"]]))).when(here, 1.0).otherwise(0.0)
-        return self.weight(n["parent_id"]) * step
+        return (above or self.weight)(n["parent_id"]) * step
 
     def spread(self, df: DataFrame, ids: Sequence[int]) -> DataFrame:
         """One row per (row, reached node) with its weight."""
@@ -342,14 +352,16 @@ class GainRatioTree:
 
     def probabilities(self, df: DataFrame) -> DataFrame:
         """Class shares mixed over the reached leaves, and the best class (first in class order on ties)."""
-        cols = {}
+        cols, out = {}, df
+        for depth in sorted({n["depth"] for n in self.nodes.values()}):  # a level's weights come from those of the level above
+            out = out.withColumns({f"__w_{i}": self.weight(i, lambda up: F.col(f"__w_{up}")) for i, n in self.nodes.items() if n["depth"] == depth})
         for j, l in enumerate(self.labels):
             parts = []
             for i in self.leaves():
                 c = self.nodes[i]["counts"]
-                parts.append(self.weight(i) * F.lit(float(c[j] / c.sum()) if c.sum() else 1.0 / len(self.labels)))
+                parts.append(F.col(f"__w_{i}") * F.lit(float(c[j] / c.sum()) if c.sum() else 1.0 / len(self.labels)))
             cols[f"share_{l}"] = add(parts)
-        out = df.withColumns(cols)
+        out = out.withColumns(cols).drop(*[f"__w_{i}" for i in self.nodes])
         top = F.greatest(*cols)
         pick = None
         for l in self.labels:
@@ -426,7 +438,7 @@ def grow_gain_ratio(df: DataFrame, numeric: Sequence[str], categorical: Sequence
     """Level-wise supervised growth: all nodes of a level share one numeric and one categorical count job."""
     labels = list(labels)
     edges = bin_edges(df, numeric, bins) if numeric else {}
-    df = with_bins(df.select(*numeric, *categorical, label), edges).persist(StorageLevel.MEMORY_AND_DISK)  # read once per level
+    df = binned_counts(df, edges, [*categorical, label]).persist(StorageLevel.MEMORY_AND_DISK)  # read once per level
     place = {l: j for j, l in enumerate(labels)}
     zero = np.zeros(len(labels))
     tree = GainRatioTree({1: dict(parent_id=None, branch=None, kind="leaf", depth=0, counts=zero, used=frozenset())}, labels)
@@ -435,7 +447,7 @@ def grow_gain_ratio(df: DataFrame, numeric: Sequence[str], categorical: Sequence
         following = []
         for start in range(0, len(level), max_nodes_in_flight):
             ids = level[start:start + max_nodes_in_flight]
-            rows = tree.spread(df, ids)
+            rows = tree.spread(df, ids).withColumn("w", F.col("w") * F.col("__n"))
             tables = histograms(rows, F.col("node_id"), label, labels, edges, F.col("w")) if edges else {}
             sizes = cut(value_sizes(rows, categorical, label)) if categorical else None  # counted values, read up to three times
             cats = categorical_splits(sizes, label, min_leaf) if categorical else {}

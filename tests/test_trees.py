@@ -152,3 +152,33 @@ def test_choice_report_enumerates_or_draws(spark):
     assert d["method"] == "drawn" and d["resamples"] == 400 and d["evaluations"] == 10 and d["share_low"] < wins["a"] / 27 < d["share_high"]
     alone = G.choice_report(results.filter("repeat = 0"), 1, 0.0, 0.5).first()
     assert not alone["assessable"] and alone["modal"] is None
+
+
+def test_growth_reads_counted_bins_instead_of_rows(spark, monkeypatch):
+    """A level costs what the bins cost: the table that is searched does not grow with the rows, the tree is that of all rows."""
+    seen, inner = [], G.histograms
+
+    def histograms(rows, *args, **kw):
+        seen.append(rows.count())
+        return inner(rows, *args, **kw)
+
+    monkeypatch.setattr(G, "histograms", histograms)
+    one = spark.range(140).select((F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") % 5 > 0, (F.col("id") % 5).cast("double")).alias("z"), F.when(F.col("id") % 4 == 0, "u").otherwise("v").alias("c"))
+    rows = one.withColumn("y", F.when((F.col("x") > 3) & (F.coalesce("z", F.lit(0.0)) > 1), "a").otherwise("b"))
+    many = rows.crossJoin(spark.range(40).select(F.lit(0).alias("copy"))).drop("copy")
+    trees = [G.grow_gain_ratio(df, ["x", "z"], ["c"], "y", ["a", "b"], max_depth=2) for df in (rows, many)]
+    assert max(seen) <= 140 * 4  # a row that lacks z reaches several nodes
+    assert [(n.get("feature"), n.get("thr")) for n in trees[1].nodes.values()] == [(n.get("feature"), n.get("thr")) for n in trees[0].nodes.values()]
+    assert [n["counts"].sum() for n in trees[1].nodes.values()] == pytest.approx([40 * n["counts"].sum() for n in trees[0].nodes.values()])
+    assert trees[1].probabilities(many).groupBy("prediction").agg((F.count(F.lit(1)) / 40).cast("long")).collect() == trees[0].probabilities(rows).groupBy("prediction").count().collect()
+    seen.clear()
+    grown = G.grow(many, ["x", "z"], "y", ["a", "b"], G.Growth(max_nodes=5))
+    assert max(seen) <= 140 and grown.log[0]["reach"] == 1.0 and len(grown.tree.nodes) > 1
+
+
+@pytest.mark.parametrize("edges", [[], [0.5], [1.0, 2.5, 3.0]])
+def test_bins_of_nulls_nans_and_edges(spark, edges):
+    from rulelens.functions.shapes import bin_column
+    values = [None, float("nan"), -0.0, 0.5, 1.0, 2.6, 3.0, 9.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(bin_column("v", edges).alias("b")).collect()
+    assert [r["b"] for r in got] == [None if v is None else len(edges) if v != v else sum(e < v for e in edges) for v in values]
