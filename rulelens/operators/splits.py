@@ -29,15 +29,15 @@ def holdout(df: DataFrame, key: Sequence[str], label: str, seeds: Sequence[int],
     return sized.select(*key, label, F.concat(F.lit("seed"), F.col("seed")).alias("split_id"), role.alias("role"))
 
 
-def repeated_folds(df: DataFrame, key: Sequence[str], label: str, folds: int = 5, repeats: int = 2, seed: int = 42) -> DataFrame:
-    """(key, label, repeat, fold): stratified folds, their number cut to the smallest class."""
+def repeated_folds(df: DataFrame, key: Sequence[str], label: str, folds: int = 5, repeats: int = 2, seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, label, keep, repeat, fold): stratified folds, their number cut to the smallest class; ``keep`` names columns that stay."""
     smallest = _class_sizes(df, label).agg(F.min("class_rows").alias("m")).first()["m"]
     k = min(folds, smallest)
     if k < 2:
         raise ValueError("every class needs at least two rows")
-    base = df.select(*key, label).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    base = df.select(*key, label, *keep).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     ranked = with_hash_rank(base, seed, [*key, "repeat"], ["repeat", label])
-    return ranked.select(*key, label, "repeat", F.pmod(F.col("hash_rank") - 1, F.lit(k)).alias("fold"))
+    return ranked.select(*key, label, *keep, "repeat", F.pmod(F.col("hash_rank") - 1, F.lit(k)).alias("fold"))
 
 
 def overlap(train: DataFrame, test: DataFrame, key: Sequence[str]) -> DataFrame:

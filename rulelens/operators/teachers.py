@@ -12,7 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Row, functions as F
 
 from rulelens.functions.lineage import written
-from rulelens.functions.shapes import add, share, unions
+from rulelens.functions.shapes import add, hits, share, unions
 from rulelens.operators.metrics import calibration_error, log_loss_and_brier
 from rulelens.operators.sampling import out_of_fold
 
@@ -83,13 +83,18 @@ def _mapped(df: DataFrame, probs: Mapping[str, str], maps: Mapping[str, object])
     return df.withColumns(new).select(*kept)
 
 
-def _fit_maps(df: DataFrame, probs: Mapping[str, str], truth: str) -> dict[str, object]:
-    """Pool-adjacent-violators on the counted distinct probabilities of each class."""
-    maps = {}
-    for label, c in probs.items():
-        points = df.groupBy(c).agg(share(F.col(truth) == label).alias("hit"), F.count(F.lit(1)).cast("double").alias("n"))
-        maps[label] = IsotonicRegression(featuresCol=c, labelCol="hit", weightCol="n").fit(points)
-    return maps
+def _points(df: DataFrame, probs: Mapping[str, str], truth: str, fold: str, k: int) -> dict[str, DataFrame]:
+    """The distinct probabilities of each class with rows and hits, of all, of those in a fold and of each fold; every map is fitted from these."""
+    parts = {"all": F.lit(True), "in": F.col(fold).isNotNull(), **{str(i): F.col(fold) == i for i in range(k)}}
+    return {label: written(df.groupBy(F.col(c).alias("p")).agg(*[a.alias(n) for part, here in parts.items() for n, a in ((f"n_{part}", hits(here)), (f"h_{part}", hits(here & (F.col(truth) == label))))]), "points")
+            for label, c in probs.items()}
+
+
+def _fit_maps(points: Mapping[str, DataFrame], without: int | None = None) -> dict[str, object]:
+    """Pool-adjacent-violators on the counted distinct probabilities of each class, of all rows or of those outside a fold."""
+    n, h = (F.col(f"{c}_all") if without is None else F.col(f"{c}_in") - F.col(f"{c}_{without}") for c in "nh")
+    counted = {label: each.filter(n > 0).select("p", (h / n).alias("hit"), n.cast("double").alias("n")) for label, each in points.items()}
+    return {label: IsotonicRegression(featuresCol="p", labelCol="hit", weightCol="n").fit(each) for label, each in counted.items()}
 
 
 def _judged(df: DataFrame, probs: Mapping[str, str], truth: str) -> dict[str, float]:
@@ -113,9 +118,10 @@ def calibrate(scores: DataFrame, probs: Mapping[str, str], truth: str, fold: str
     """
     rows = scores.dropna(subset=[truth, *probs.values()]).select(truth, fold, *probs.values())
     rows = written(rows, "scores")
-    crossed = written(unions([_mapped(rows.filter(F.col(fold) == i), probs, _fit_maps(rows.filter(F.col(fold) != i), probs, truth)) for i in range(k)]), "crossed")
+    points = _points(rows, probs, truth, fold, k)
+    crossed = written(unions([_mapped(rows.filter(F.col(fold) == i), probs, _fit_maps(points, i)) for i in range(k)]), "crossed")
     before, after = _judged(rows, probs, truth), _judged(crossed, probs, truth)
     slack = (before["accuracy"] * (1 - before["accuracy"]) / max(rows.count(), 1)) ** 0.5
     better = all(after[m] >= before[m] - slack for m in ("accuracy", "balanced_accuracy")) and after["brier"] < before["brier"] and after["log_loss"] < before["log_loss"] * (1 - min_gain)
     report = {f"{m}_{side}": v for side, found in (("before", before), ("after", after if better else before)) for m, v in found.items()}
-    return Calibration(_fit_maps(rows, probs, truth) if better else {}, better, report)
+    return Calibration(_fit_maps(points) if better else {}, better, report)

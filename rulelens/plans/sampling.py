@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rulelens.functions.hashing import uniform
+from rulelens.functions.lineage import written
 from rulelens.functions.shapes import add
 from rulelens.operators import growth as G
 from rulelens.operators import sampling as SM
@@ -162,14 +163,15 @@ def _(t):
 
 
 def ml_cases(t):
-    """Orders as a feature vector with a numeric label and stratified folds."""
+    """Orders as a feature vector with a numeric label and stratified folds, written once: every fit reads them many times."""
     from pyspark.ml.feature import VectorAssembler
     rows = judged(t)
-    folds = repeated_folds(rows, ["id"], "cls", 3, 1).select("id", "fold")
     code = F.when(F.col("cls") == "bronze", 0.0).when(F.col("cls") == "gold", 1.0).otherwise(2.0)
     s = scales(rows, CASE_FEATURES)
-    scaled = rows.withColumns({f"x_{f}": F.col(f) / s[f] for f in CASE_FEATURES}).withColumn("y", code).join(folds, "id")
-    return VectorAssembler(inputCols=[f"x_{f}" for f in CASE_FEATURES], outputCol="features").transform(scaled)
+    scaled = rows.select("id", "cls", code.alias("y"), *[(F.col(f) / s[f]).alias(f"x_{f}") for f in CASE_FEATURES])
+    names = [f"x_{f}" for f in CASE_FEATURES]
+    folded = repeated_folds(scaled, ["id"], "cls", 3, 1, keep=["y", *names]).select("id", "y", "fold", *names)
+    return VectorAssembler(inputCols=names, outputCol="features").transform(written(folded, "cases"))
 
 
 @query("sm16_blend_weights")
@@ -251,12 +253,13 @@ def _(t):
 @query("sm18_calibration")
 def _(t):
     """A teacher whose probabilities are right by construction (labels are drawn from them), and one that is too sure."""
-    rows = repeated_folds(judged(t), ["id"], "cls", 3, 1).select("id", "fold").join(judged(t), "id")
+    rows = repeated_folds(judged(t), ["id"], "cls", 3, 1, keep=CASE_FEATURES)
     powers = {c: F.exp(v) for c, v in case_scores().items()}
     total = add(powers.values())
     right = rows.withColumns({f"p_{c}": v / total for c, v in powers.items()})
     draw = uniform("calibration", "id")
     right = right.withColumn("drawn", F.when(draw < F.col("p_bronze"), "bronze").when(draw < F.col("p_bronze") + F.col("p_gold"), "gold").otherwise("silver"))
+    right = written(right.select("drawn", "fold", *[f"p_{c}" for c in CASE_CLASSES]), "right")  # read by both calibrations
     cubes = {c: F.col(f"p_{c}") ** 3 for c in CASE_CLASSES}
     sure = right.withColumns({f"p_{c}": v / add(cubes.values()) for c, v in cubes.items()})
     out = []

@@ -49,3 +49,11 @@ def test_local_trees_hold_the_instances_candidates(spark):
     # thresholds are deciles, so the cut lies inside the candidates and one of them shares a leaf with observed rows
     assert (got[3]["rows"], got[3]["candidates"], got[3]["observed_fidelity"]) == (20, 10, 1.0) and got[3]["local_fidelity"] == pytest.approx(29 / 30)
     assert (got[52]["rows"], got[52]["candidates"]) == (20, 0)
+
+
+def test_teachers_read_written_cases(tables):
+    """Fits read their rows many times: those are a table, not the ranking of all orders once more."""
+    from rulelens.plans.sampling import ml_cases
+    cases = ml_cases(tables)
+    assert cases.inputFiles() and not any("orders.parquet" in f for f in cases.inputFiles())
+    assert cases.groupBy("id").count().filter("count > 1").count() == 0 and cases.count() == tables.orders.count()

@@ -61,3 +61,16 @@ def test_search_draws_judges_and_refits(spark):
     assert best["chosen"] and best["balanced_accuracy"] > 0.85
     again = TE.random_search(rows.select("features", "y", "fold"), "y", "fold", 3, 3, 2, trials=3, families=("linear",))
     assert again.setting == found.setting and TE.balanced_accuracy(found.model.transform(rows), "y", "prediction") == pytest.approx(best["balanced_accuracy"], abs=0.05)
+
+
+def test_maps_come_from_points_counted_once(spark):
+    """The map without a fold equals one fitted on the rows outside it, and reads a written table of distinct probabilities."""
+    from pyspark.ml.regression import IsotonicRegression
+    df = scores(spark, 2.0, 900).dropna().withColumns({c: F.round(c, 2) for c in PROBS.values()})
+    points = TE._points(df, PROBS, "y", "fold", 3)
+    assert points["a"].count() == df.select("p_a").distinct().count() and points["a"].inputFiles()
+    for without, part in ((1, df.filter("fold <> 1")), (None, df)):
+        maps = TE._fit_maps(points, without)
+        rows = part.groupBy("p_b").agg(F.avg((F.col("y") == "b").cast("double")).alias("hit"), F.count(F.lit(1)).cast("double").alias("n"))
+        direct = IsotonicRegression(featuresCol="p_b", labelCol="hit", weightCol="n").fit(rows)
+        assert np.allclose(maps["b"].boundaries.toArray(), direct.boundaries.toArray()) and np.allclose(maps["b"].predictions.toArray(), direct.predictions.toArray())
