@@ -58,9 +58,12 @@ def _(t):
 SELECT epoch(max(ts) FILTER (role='train'))::BIGINT AS train_end, epoch(min(ts) FILTER (role='test'))::BIGINT AS test_start, CASE WHEN max(ts) FILTER (role='train') < min(ts) FILTER (role='test') THEN 'prospective' ELSE 'overlap' END AS verdict FROM e""",
        ints="train_end test_start")
 def _(t):
-    rows = t.events.select(F.unix_micros(F.col("ts").cast("timestamp_ltz")).alias("at"), F.when(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"), "train").otherwise("test").alias("role"))
-    ends = S.temporal_check(rows, "role", "at")  # compared in microseconds; only the reported ends are whole seconds, halves to even
-    return ends.withColumns({c: F.rint(F.col(c) / 1000000) for c in ("train_end", "test_start")})
+    at = F.col("ts").cast("timestamp_ntz")
+    rows = t.events.select((at - F.lit("1970-01-01").cast("timestamp_ntz")).alias("at"), F.when(at < F.lit("2024-01-20").cast("timestamp_ntz"), "train").otherwise("test").alias("role"))
+    ends = S.temporal_check(rows, "role", "at")  # compared as they are, in no time zone; only the reported ends are whole seconds, halves to even
+    part = lambda c, unit: F.extract(F.lit(unit), F.col(c)).cast("decimal(20,6)")
+    seconds = lambda c: ((part(c, "DAY") * 24 + part(c, "HOUR")) * 60 + part(c, "MINUTE")) * 60 + part(c, "SECOND")
+    return ends.withColumns({c: F.rint(seconds(c).cast("double")) for c in ("train_end", "test_start")})
 
 
 @query("sp09_evaluation_strategy", """WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), m AS (SELECT sum(n) AS n, max(n) AS hi, min(n) AS lo FROM c)
