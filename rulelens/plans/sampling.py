@@ -124,11 +124,12 @@ def _(t):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
-    real, synthetic = scored(t).select(*LKEY, *[f for f in FEATURES if f != "price"]), marginal(t)
+    real, synthetic = scored(t).select(*FEATURES), written(marginal(t), "draws")
     ks = SM.ks_statistics(SM.side_counts(synthetic, real, FEATURES)).agg(F.round(F.avg("ks"), 4).alias("mean_ks"))
     weight = N_DRAWS / max(1, real.count())  # both sides weigh the same, every real row takes part
     both = synthetic.select(F.lit(1.0).alias("label"), F.lit(1.0).alias("w"), *FEATURES).unionByName(real.select(F.lit(0.0).alias("label"), F.lit(weight).alias("w"), *FEATURES))
-    both = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(both).withColumn("fold", F.pmod(F.xxhash64(*FEATURES), F.lit(3)))
+    both = written(both.withColumn("fold", F.pmod(F.xxhash64(*FEATURES), F.lit(3))), "sides")  # every pass of every forest reads it
+    both = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(both)
     held = SM.out_of_fold(both, RandomForestClassifier(numTrees=10, minInstancesPerNode=3, weightCol="w", seed=0), "fold", 3)
     return ks.withColumn("auc", F.lit(round(BinaryClassificationEvaluator(weightCol="w").evaluate(held), 4)))
 

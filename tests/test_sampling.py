@@ -57,3 +57,18 @@ def test_teachers_read_written_cases(tables):
     cases = ml_cases(tables)
     assert cases.inputFiles() and not any("orders.parquet" in f for f in cases.inputFiles())
     assert cases.groupBy("id").count().filter("count > 1").count() == 0 and cases.count() == tables.orders.count()
+
+
+def test_forests_read_written_sides(spark, monkeypatch):
+    """Draws and real rows are a table before the first forest is fitted, with every real row in it."""
+    from rulelens.plans import sampling as P
+    from rulelens.plans.registry import QUERIES
+    seen, inner = [], P.SM.out_of_fold
+
+    def held(df, *args):
+        seen.append(([f for f in df.inputFiles() if "lineitem" in f], df.filter("label = 0").count(), df.filter("label = 1").count()))
+        return inner(df, *args)
+
+    monkeypatch.setattr(P.SM, "out_of_fold", held)
+    QUERIES["sm11_real_synthetic_gap"](spark, "/root/testdata/sf0.001").collect()
+    assert seen == [([], spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count(), P.N_DRAWS)]
