@@ -152,3 +152,21 @@ def test_budgets_renew_by_timer_and_questions_expire():
     assert sorted(out["question"]) == list("abcd") and sorted(out["slot"]) == [0, 0, 2, 2]  # the budget could grant two of the four
     assert sorted(out[out["slot"] == 0]["question"]) == sorted(sorted("abcd", key=B._rank)[:2])
     assert send(["a", "z"]).values.tolist() == [["5", "z", 2]]
+
+
+def test_questions_that_never_expire_are_known_to_spark(spark, asked, monkeypatch):
+    """Without a time to forget no question costs a call from Python, and the decisions are the same."""
+    def never(*_):
+        raise AssertionError("a map in Python")
+
+    monkeypatch.setattr(B, "Asked", never)
+    monkeypatch.setattr(B, "PENDING", 1)
+    source, folder = new_folder(spark, "questions"), new_folder(spark, "budget-spark")
+    append(spark, source, asked[:5])
+    assert run(spark, source, folder) == decided(asked[:5], BUDGET)
+
+
+def test_first_questions_of_each_entity_with_equal_hashes():
+    rows = pd.DataFrame({"entity": list("aabab"), "question": list("zxyyw"), "code": [1, 1, 7, 1, 2], "slot": [4, 5, 6, 7, 8]})
+    out = pd.concat(list(B._first_of_each(2)(iter([rows[:2], rows[2:]]))))
+    assert sorted(map(tuple, out.values.tolist())) == [("a", "x", 0), ("a", "y", 0), ("a", "z", 4), ("b", "w", 0), ("b", "y", 0)]
