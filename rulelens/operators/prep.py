@@ -10,8 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rulelens.functions.hashing import uniform
+from rulelens.functions.lineage import cut
 from rulelens.functions.ordering import average_ranks, exact_quantiles, quantile_grid, value_counts, with_hash_rank
-from rulelens.functions.shapes import add, bin_column, join_small, long_form
+from rulelens.functions.shapes import FEW_ROWS, add, bin_column, join_small, long_form
 from rulelens.operators.trees import entropy
 
 MAX_MASK_BITS = 60
@@ -156,11 +157,15 @@ def feature_specs(train: DataFrame, columns: Sequence[str], config: Mapping[str,
 # ---------------------------------------------------------------- correlation groups
 
 def rank_columns(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Columns replaced by mid-ranks; ranks are found per distinct value, then joined back and pivoted by key."""
-    rows = long_form(df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]), [key], columns)
-    ranks = average_ranks(value_counts(rows, "value", ["feature"]), "value", "n", ["feature"]).drop("n")
-    tagged = rows.join(ranks, ["feature", "value"])
-    return tagged.groupBy(key).agg(*[F.max(F.when(F.col("feature") == c, F.col("avg_rank"))).alias(c) for c in columns])
+    """Columns replaced by mid-ranks; ranks are found per distinct value and joined back column by column, so rows stay whole."""
+    rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns])
+    counts = value_counts(long_form(rows.drop(key), [], columns), "value", ["feature"])
+    ranks = cut(average_ranks(counts, "value", "n", ["feature"]).select("feature", "value", "avg_rank"))  # read once a column
+    sizes = {r["feature"]: r["count"] for r in ranks.groupBy("feature").count().collect()}  # one row a column
+    for c in columns:
+        mine = ranks.filter(F.col("feature") == c).select(F.col("value").alias(c), F.col("avg_rank").alias(f"__r_{c}"))
+        rows = rows.join(F.broadcast(mine) if sizes.get(c, 0) <= FEW_ROWS else mine, c, "left")
+    return rows.select(key, *[F.col(f"__r_{c}").alias(c) for c in columns])
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -132,3 +132,17 @@ def test_mcnemar_exact(spark):
     r = ST.mcnemar(spark.createDataFrame(rows, "y string, p string, q string"), "y", "p", "q").first()
     assert (r["b"], r["c"]) == (8, 2)
     assert r["exact_p"] == pytest.approx(2 * sum(math.comb(10, k) for k in range(3)) / 2 ** 10)
+
+
+def test_ranks_come_without_regrouping_the_rows(spark):
+    """Mid-ranks of every column beside each other, nulls kept; no aggregate holds a group for each row."""
+    from rulelens.operators.prep import rank_columns
+    rows = [(i, float(i % 4), None if i % 5 == 0 else float(-i)) for i in range(20)]
+    found = rank_columns(spark.createDataFrame(rows, "id long, a double, b double"), "id", ["a", "b"])
+
+    def mid(values, v):
+        return None if v is None else sum(u < v for u in values) + (sum(u == v for u in values) + 1) / 2
+
+    known = [b for _, _, b in rows if b is not None]
+    assert {r["id"]: (r["a"], r["b"]) for r in found.collect()} == {i: (mid([a for _, a, _ in rows], a), mid(known, b)) for i, a, b in rows}
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
