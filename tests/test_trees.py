@@ -182,3 +182,13 @@ def test_bins_of_nulls_nans_and_edges(spark, edges):
     values = [None, float("nan"), -0.0, 0.5, 1.0, 2.6, 3.0, 9.0]
     got = spark.createDataFrame([(v,) for v in values], "v double").select(bin_column("v", edges).alias("b")).collect()
     assert [r["b"] for r in got] == [None if v is None else len(edges) if v != v else sum(e < v for e in edges) for v in values]
+
+
+def test_split_choice_scans_the_rows_once_for_each_kind_of_column(spark, tables, monkeypatch):
+    """Counts are written before they are read again; nothing that is chosen from them goes back to the line items."""
+    from rulelens.plans import trees as P
+    assert not P.numeric_best(tables).inputFiles()
+    cols = ["leaf", "feature", "gain", "gain_ratio"]
+    both = P.numeric_best(tables).select(*cols).unionByName(P.categorical_best(tables).select(*cols))
+    chosen = TR.choose_split(both, "leaf")
+    assert not chosen.inputFiles() and chosen.count() == 3
