@@ -322,7 +322,7 @@ def numeric_leakage(df: DataFrame, features: Sequence[str], label: str, k: int =
     models = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("model")
     tagged = cells.select("*", models).withColumn("train", F.col("fold") != F.col("model"))
     train = tagged.filter("train")
-    unique = train.groupBy("feature", "model", "value").agg(F.lit(1).alias("n"))
+    unique = cut(train.groupBy("feature", "model", "value").agg(F.lit(1).alias("n")))  # read three times
     size = unique.groupBy("feature", "model").agg(F.count(F.lit(1)).alias("size"))
     size = F.broadcast(size)  # one row per column and fold
     few = unique.join(size.filter("size <= 64"), ["feature", "model"]).select("feature", "model", F.col("value").alias("edge"))
@@ -332,6 +332,7 @@ def numeric_leakage(df: DataFrame, features: Sequence[str], label: str, k: int =
     edges = few.unionByName(spaced)
     order = Window.partitionBy("feature", "model").orderBy("edge")  # at most 64 edges
     thresholds = edges.withColumn("thr", (F.col("edge") + F.lead("edge").over(order)) / 2).filter("thr IS NOT NULL").groupBy("feature", "model").agg(F.sort_array(F.collect_list("thr")).alias("thrs"))
+    thresholds = cut(thresholds)  # a row for each column and fold, read twice
     binned = tagged.join(F.broadcast(thresholds), ["feature", "model"]).withColumn("bin", F.size(F.filter("thrs", lambda t: t < F.col("value"))))
     counts = cut(binned.groupBy("feature", "model", "train", "bin", "y").agg(F.sum("n").alias("n")))  # at most 64 bins per feature and model
     totals = counts.groupBy("feature", "model", "train", "y").agg(F.sum("n").alias("total"))

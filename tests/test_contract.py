@@ -119,3 +119,13 @@ def test_locked_protocol_sees_every_change(spark):
     assert audit(df.withColumn("c", F.when(F.col("id") != 5, F.col("c")).otherwise(F.lit("s0")))) == {"content", "missing"}
     assert audit(df.distinct()) == {"rows", "ids", "labels", "content"}  # a repeated row does not cancel itself
     assert audit(df.filter("id < 0")) == {"rows", "ids", "labels", "content", "missing"}
+
+
+def test_leakage_finds_distinct_values_and_thresholds_once(spark, monkeypatch):
+    """What several steps read is written; a column that gives the class away is still found."""
+    kept, inner = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda df: kept.append(tuple(df.columns)) or inner(df))
+    df = spark.range(300).select((F.col("id") % 5).alias("fold"), F.when(F.col("id") % 2 == 0, "u").otherwise("v").alias("y"), (F.col("id") % 2).alias("leak"), (F.col("id") * 37 % 101).alias("noise"))
+    got = {r["feature"]: r["leak"] for r in C.numeric_leakage(df, ["leak", "noise"], "y").collect()}
+    assert got == {"leak": True, "noise": False}
+    assert {("feature", "model", "value", "n"), ("feature", "model", "thrs")} <= set(kept)
