@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark import StorageLevel
@@ -268,11 +269,33 @@ def temperature_scaled(probs: Sequence[str], temperature: float) -> list[Column]
     return [p / total for p in powers]
 
 
+def heaviest(df: DataFrame, mass: str, room: int, seed, key: Sequence[str]) -> DataFrame:
+    """The ``room`` rows of largest mass (a multiple of 1e-9); of those whose mass is where the room ends, the first in hash order.
+
+    Rows are counted by cells of masses, and by mass only inside the cell where the room ends, so neither table grows with the rows.
+    """
+    cell = F.rint(F.col(mass) * 1e4)  # at most 100,001 masses each
+
+    def end(counts: DataFrame, value: str, left: int) -> Row | None:
+        cum = running_sums(counts, value, {"cum": "n"}, descending=True)
+        return cum.filter(F.col("cum") > left).orderBy(F.desc(value)).first()
+
+    last = end(df.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")), "cell", room)
+    if last is None:
+        return df
+    left = room - (last["cum"] - last["n"])
+    edge = end(df.filter(cell == last["cell"]).groupBy(mass).agg(F.count(F.lit(1)).alias("n")), mass, left)
+    left -= edge["cum"] - edge["n"]
+    # one number decides: only rows of that very mass are ranked
+    part = with_hash_rank(df.filter(F.col(mass) == edge[mass]), seed, key).filter(F.col("hash_rank") <= left).drop("hash_rank")
+    return df.filter(F.col(mass) > edge[mass]).unionByName(part)
+
+
 def soft_targets(df: DataFrame, key: Sequence[str], hard: str, probs: Mapping[str, str], temperature: float = 2.0, soft_weight: float = 0.35, hard_weight: float = 1.0, emphasis: float = 0.5,
                  min_probability: float = 0.03, max_factor: float = 5.0) -> DataFrame:
     """Hard rows plus weighted soft rows, at most (max_factor - 1) x n of them, heaviest first.
 
-    The cap is found from the distribution of rounded masses and applied as one number, so rows are neither sorted nor joined.
+    A row gives at most one soft row a label, so with no more labels than max_factor - 1 the cap leaves nothing out and is not looked for.
     """
     k = len(probs)
     soft = dict(zip(probs, temperature_scaled(list(probs.values()), temperature)))
@@ -280,18 +303,13 @@ def soft_targets(df: DataFrame, key: Sequence[str], hard: str, probs: Mapping[st
     base = df.select(*key, F.col(hard).alias("__hard"), entropy.alias("__e"), *[c.alias(f"__s_{l}") for l, c in soft.items()])
     cells = F.array(*[F.struct(F.lit(l).alias("label"), F.lit(i).alias("i"), F.col(f"__s_{l}").alias("p")) for i, l in enumerate(probs)])
     each = base.select(*key, "__e", F.explode(cells).alias("c")).select(*key, "__e", "c.*").filter(F.col("p") >= min_probability)
-    each = each.withColumn("lift", 1 + emphasis * F.col("__e")).withColumn("mass", F.round(F.col("p") * F.col("lift"), 9))
-    room = F.floor(df.agg(F.count(F.lit(1)) * (max_factor - 1)).scalar())
-    counts = each.groupBy("mass").agg(F.count(F.lit(1)).alias("n"))
-    cum = running_sums(counts, "mass", {"cum": "n"}, descending=True)
-    # one number decides: the mass at which the cap falls; only rows of that very mass are ranked, in hash order
-    edge = cum.filter((F.col("cum") > room) & (F.col("cum") - F.col("n") < room)).select("mass", (F.lit(room) - F.col("cum") + F.col("n")).alias("left")).first()
-    least = cum.filter(F.col("cum") <= room).agg(F.min("mass")).scalar()
-    weighted = lambda d: d.select(*key, "label", (F.col("p") * soft_weight * F.col("lift")).alias("weight"))
-    whole = weighted(each.filter(F.col("mass") >= least))
-    part = weighted(with_hash_rank(each.filter(F.col("mass") == edge["mass"]), "edge", [*key, "i"]).filter(F.col("hash_rank") <= edge["left"])) if edge else whole.limit(0)
+    each = each.withColumn("lift", 1 + emphasis * F.col("__e"))
+    if k > max_factor - 1:
+        room = max(0, math.floor(df.count() * (max_factor - 1)))
+        each = heaviest(each.withColumn("mass", F.round(F.col("p") * F.col("lift"), 9)), "mass", room, "edge", [*key, "i"])
+    soft_rows = each.select(*key, "label", (F.col("p") * soft_weight * F.col("lift")).alias("weight")).withColumn("kind", F.lit("soft"))
     hard_rows = base.select(*key, F.col("__hard").alias("label"), F.lit(max(0.0, 1 - soft_weight) * hard_weight).alias("weight")).withColumn("kind", F.lit("hard"))
-    return hard_rows.unionByName(whole.unionByName(part).withColumn("kind", F.lit("soft")))
+    return hard_rows.unionByName(soft_rows)
 
 
 def hybrid_targets(df: DataFrame, key: Sequence[str], truth: str, probs: Mapping[str, str], confidence: Column, weights: tuple[float, float, float] = (0.45, 0.45, 0.10), min_probability: float = 0.03) -> DataFrame:

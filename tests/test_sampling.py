@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rulelens.functions.ordering import running_sums
 from rulelens.operators import sampling as SM
+from rulelens.plans.sampling import weights_by_kind
 
 
 def greedy(x, score, k, weight=0.5):
@@ -72,3 +74,37 @@ def test_forests_read_written_sides(spark, monkeypatch):
     monkeypatch.setattr(P.SM, "out_of_fold", held)
     QUERIES["sm11_real_synthetic_gap"](spark, "/root/testdata/sf0.001").collect()
     assert seen == [([], spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count(), P.N_DRAWS)]
+
+
+@pytest.mark.parametrize("copies, factor", [(0, 2.0), (9000, 1.6), (9000, 1.9), (0, 3.9), (9000, 0.5)])
+def test_heaviest_soft_targets_are_found_by_counts_that_do_not_grow(spark, monkeypatch, copies, factor):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([1.0, 1.0, 1.0], 20_000)
+    p[:copies] = [0.5, 0.3, 0.2]  # ties at the cap
+    df = spark.createDataFrame([(i, "a", *map(float, r)) for i, r in enumerate(p)], "id long, y string, a double, b double, c double")
+    ordered = []
+    monkeypatch.setattr(SM, "running_sums", lambda counts, *a, **k: ordered.append(counts.count()) or running_sums(counts, *a, **k))
+    got = SM.soft_targets(df, ["id"], "y", {"a": "a", "b": "b", "c": "c"}, max_factor=factor).filter("kind = 'soft'").toPandas()
+    s = np.sqrt(np.maximum(p, 1e-12))
+    s /= s.sum(axis=1, keepdims=True)
+    lift = 1 + 0.5 * -(s * np.log(s)).sum(axis=1, keepdims=True) / np.log(3)
+    masses = np.sort((s * lift)[s >= 0.03])[::-1]
+    room = max(0, int(20_000 * (factor - 1)))
+    assert len(got) == min(room, len(masses)) and not got.duplicated(["id", "label"]).any()
+    assert np.sort(got["weight"].to_numpy())[::-1] / 0.35 == pytest.approx(masses[:room], abs=2e-9)
+    assert max(ordered) <= 15_001  # cells of masses, however many masses there are
+
+
+def test_soft_targets_are_not_ordered_where_all_fit(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a", 0.5, 0.3, 0.2), (2, "b", 1.0, 0.0, 0.0), (3, None, None, 0.6, 0.4)], "id long, y string, a double, b double, c double")
+    monkeypatch.setattr(SM, "running_sums", lambda *a, **k: pytest.fail("masses were put in order"))
+    got = SM.soft_targets(df, ["id"], "y", {"a": "a", "b": "b", "c": "c"}, max_factor=4.0)
+    assert {(r["id"], r["label"]) for r in got.filter("kind = 'soft'").collect()} == {(1, "a"), (1, "b"), (1, "c"), (2, "a"), (3, "b"), (3, "c")}
+    assert got.filter("kind = 'hard'").count() == 3
+
+
+def test_weights_of_many_rows_add_up(spark):
+    rows = spark.range(0, 30_000_000, 1, 4).select(F.lit("hard").alias("kind"), F.xxhash64("id").alias("rid"), F.lit(0.65).alias("weight"))
+    got = weights_by_kind(rows).collect()
+    assert [(r["kind"], r["n"]) for r in got] == [("hard", 30_000_000)]
+    assert got[0]["weight"] == pytest.approx(19500.0, rel=0, abs=1e-8)  # one sum a task is off by more than 1e-7
