@@ -196,9 +196,7 @@ def _(t):
 def _(t):
     s = specs(t)
     pool = CF.donor_pool(judged(t), "id", "cls", CASE_FEATURES, 3)
-    found = CF.donor_search(chosen(t), pool, s, case_teacher, target_margin)
-    best = found.withColumn("place", F.row_number().over(Window.partitionBy("task").orderBy("loss", "member"))).filter("place = 1")
-    return described(best, s)
+    return described(CF.donor_search(chosen(t), pool, s, case_teacher, target_margin, best=1), s)
 
 
 @query("cf13_loss", f"""WITH {FIXED}, k AS (SELECT *, total/200000.0::DOUBLE + balance/10000.0::DOUBLE - 1.2::DOUBLE AS g, month/6.0::DOUBLE - total/400000.0::DOUBLE - 0.3::DOUBLE AS s FROM fd)

@@ -165,3 +165,15 @@ def test_a_sweep_is_scored_without_ordering_its_grid(spark):
                 wanted[i, f] = min(cross)[2]
     assert {(r["id"], r["feature"]): pytest.approx(r["crossing"]) for r in found.collect()} == wanted and wanted
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_best_members_are_the_first_of_the_last_generation(spark, tables, specs):
+    """``best`` ranks members where they were made, and stages too large to be compiled are split."""
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    pool = CF.donor_pool(judged(tables), "id", "cls", CASE_FEATURES, 3)
+    run = lambda best: CF.donor_search(plan.chosen(tables, 0.02), pool, specs, case_teacher, plan.target_margin, population=12, elite=4, generations=1, best=best).toPandas()
+    every, two = run(None), run(2)
+    want = every.sort_values(["loss", "member"]).groupby("task").head(2)
+    key = lambda df: sorted(zip(df["task"], df["member"], df["loss"], df["total"]))
+    assert key(two) == key(want) and set(two["place"]) == {1, 2} and "block" not in two and "__h" not in two
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == CF.COMPILED
