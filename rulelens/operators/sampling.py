@@ -9,8 +9,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from rulelens.functions.hashing import gaussian, pick, uniform
+from rulelens.functions.lineage import written
 from rulelens.functions.neighbours import nearest
-from rulelens.functions.ordering import running_sums, top_k, with_hash_rank
+from rulelens.functions.ordering import first_by_hash, running_sums, top_k, with_hash_rank
 from rulelens.functions.shapes import add, hits, join_small, long_form, share, unions
 from rulelens.operators.trees import normalised_entropy
 
@@ -250,13 +251,14 @@ def bisect(pairs: DataFrame, features: Sequence[str], teacher: Callable[[Mapping
 
 def boundary_points(df: DataFrame, key: str, features: Sequence[str], label: str, teacher: Callable, scales: Mapping[str, float], anchors: int, seed: int = 3, max_distance: float = 5.0) -> DataFrame:
     """Boundary rows between a bounded set of anchors and their nearest row of another class, with their plausibility."""
-    base = with_hash_rank(df.select(key, label, *features), seed, [key]).filter(F.col("hash_rank") <= anchors).drop("hash_rank")
+    df = written(df.select(key, label, *features), "rows")  # read for each search and join, so nothing before is made again
+    base = written(first_by_hash(df, seed, [key], anchors), "anchors")
     near = nearest(df, base, features, 1, key, key, scales, corpus_label=label, query_label=label).filter(F.col("distance") <= max_distance).select(key, "neighbour")
     other = df.select(F.col(key).alias("neighbour"), *[F.col(f).alias(f"o_{f}") for f in features])
-    cut = bisect(base.join(near, key).join(other, "neighbour"), features, teacher, label)
+    cut = bisect(F.broadcast(base.join(near, key)).join(other, "neighbour"), features, teacher, label)  # as many rows as anchors at most
     moved = F.sqrt(add([((F.col(f"b_{f}") - F.col(f)) / float(scales[f])) ** 2 for f in features]))
     kept = cut.withColumn("boundary_class", teacher({f: F.col(f"b_{f}") for f in features})).filter(F.col("boundary_class") != F.col(label)).withColumn("moved", moved)
-    points = kept.select(key, label, "boundary_class", "moved", *[F.col(f"b_{f}").alias(f) for f in features])
+    points = written(kept.select(key, label, "boundary_class", "moved", *[F.col(f"b_{f}").alias(f) for f in features]), "points")
     manifold = nearest(df, points, features, 1, key, key, scales).select(key, F.col("distance").alias("manifold"))
     return points.join(manifold, key).withColumn("plausibility", F.exp(-F.col("manifold")) * F.exp(-0.15 * F.col("moved")))
 
